@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: One module an operator.
-MODULES = ("bpe",)
+MODULES = ("bpe", "chat", "extract")
 
 
 def _merged(name: str) -> dict:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: One module an operator.
-MODULES = ("bpe", "chat", "extract", "quality", "toxicity")
+MODULES = ("bpe", "chat", "extract", "quality", "simhash", "toxicity")
 
 
 def _merged(name: str) -> dict:

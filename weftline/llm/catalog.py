@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: One module an operator.
-MODULES = ("bpe", "chat", "decontam", "extract", "quality", "simhash", "toxicity")
+MODULES = ("ann", "bpe", "chat", "decontam", "extract", "quality", "simhash", "toxicity")
 
 
 def _merged(name: str) -> dict:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: One module an operator.
-MODULES = ("ann", "bpe", "chat", "decontam", "extract", "quality", "secrets", "simhash", "toxicity")
+MODULES = ("ann", "bpe", "chat", "decontam", "extract", "linededup", "quality", "secrets", "simhash", "toxicity")
 
 
 def _merged(name: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_queries  # noqa: F401
+from . import record_queries, row_queries, text_queries, url_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

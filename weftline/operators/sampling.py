@@ -30,8 +30,8 @@ def even(rows: DataFrame, keys: list[str], order: list, count: int) -> DataFrame
     """Evenly spaced rows, first and last among them, as ``(…, pick)``; halves round to even."""
     n = numbered(rows, keys, order)
     k = F.least(F.greatest(F.lit(count), F.lit(1)), F.col("total"))
-    steps = n.where("nth = 0").select(*keys, F.explode(F.sequence(F.lit(0), (k - 1).cast("int"))).alias("pick"), "total", k.alias("k"))
-    at = F.when(F.col("k") <= 1, F.lit(0)).otherwise(F.bround(F.col("pick") * ((F.col("total") - 1) / (F.col("k") - 1)), 0)).cast("int")
+    steps = n.where("nth = 0").select(*keys, F.explode(F.sequence(F.lit(0), (k - 1).cast("int"))).alias("pick"), "total", k.alias("_count"))
+    at = F.when(F.col("_count") <= 1, F.lit(0)).otherwise(F.bround(F.col("pick") * ((F.col("total") - 1) / (F.col("_count") - 1)), 0)).cast("int")
     wanted = steps.select(*keys, "pick", at.alias("nth"))
     return n.join(wanted, [*keys, "nth"]).drop("total")
 

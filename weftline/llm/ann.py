@@ -16,7 +16,7 @@ vectors that is reranked, which random vectors without structure need large for
 Edge cases: null, zero or non-finite vectors (or components), null ids, and vectors of a
 length other than the commonest take no part; ids that repeat are one candidate each row
 distinct by (id, vector); fewer candidates than asked for are all returned; ties go to the
-smaller id; an empty table gives an empty result.
+smaller id; an empty table gives an empty result.  Tables too small for ``DEPTH`` levels get fewer.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import cut, sorted_groups, starts_of, table
 
 #: Trees, levels of a tree, vectors they are fitted on at most, and leaves a query takes.
-TREES, DEPTH, MOST_FITTED, LEAVES = 4, 6, 20_000, 72
+TREES, DEPTH, MOST_FITTED, LEAVES = 4, 6, 20_000, 88
 #: Vectors of a leaf in one group, about.
 LEAF_ROWS = 20_000
 
@@ -80,7 +80,7 @@ class Forest:
 def fit(sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Forest:
     """A forest over unit vectors; a node without two different vectors gets a random direction."""
     rng = np.random.default_rng(seed)
-    inner, width = 2**depth - 1, sample.shape[1]
+    inner, width = 2**depth - 1, sample.shape[1]  # no inner node: one leaf
     normals, offsets = np.zeros((trees, inner, width)), np.zeros((trees, inner))
     for t in range(trees):
         rows = {0: np.arange(len(sample))}
@@ -132,6 +132,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREE
     fitted = distinct.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(most_fitted).toArrow()
     if not fitted.num_rows:
         return spark.createDataFrame([], result)
+    # A leaf should hold several times what is asked for: small tables get fewer levels, and the same share of their leaves is taken.
+    share = leaves / (trees << depth)
+    depth = max(0, min(depth, int(np.log2(fitted.num_rows / max(16, 4 * (k + 1))))) if fitted.num_rows else 0)
+    leaves = max(1, int(np.ceil(share * (trees << depth))))
     forest = spark.sparkContext.broadcast(fit(_unit(_matrix(fitted.column("v"))), trees, depth))
     width = _matrix(fitted.column("v")).shape[1]
     salts = max(1, -(-distinct.count() // (LEAF_ROWS << depth)))

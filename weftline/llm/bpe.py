@@ -4,8 +4,8 @@ The distinct pre-tokens of a block of texts are laid out as one array of byte to
 inverted index maps the rank of a token pair to the positions where the pair stands; merges
 are taken from a queue in rank order, each applied to all of its positions at once, and only
 the pairs next to a merged position are looked up anew.  A pre-token's ids are kept in a
-bounded table for the next blocks of the same worker, so a corpus replays each of its words
-about once a worker, and no word ever has to be shuffled.
+bounded table for the next blocks of the same task, so common words are replayed about once
+a task, and no word ever has to be shuffled.
 
 Edge cases: a null text is an empty text; an empty text has no tokens; one row in, one row
 out, repeated rows included; other columns are not read.  A text of any length works: its
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import blocks, table
 
 #: Bytes of text whose new pre-tokens are replayed together.
-BLOCK = 8 << 20
-#: Pre-tokens kept between blocks; beyond it the table starts anew.
-KEPT = 700_000
+BLOCK = 6 << 20
+#: Pre-tokens kept between the blocks of a task; beyond it the table starts anew.
+KEPT = 300_000
 #: Pre-tokens of one text taken at a time.
 RUN = 1 << 20
 
@@ -211,6 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Dat
             for b in blocks(whole, "text", BLOCK):
                 ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in r.encode_block(_texts(b))]
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+        r.kept.clear()  # a worker process outlives its task
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
@@ -246,6 +247,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        r.kept.clear()  # a worker process outlives its task
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

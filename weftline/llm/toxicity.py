@@ -34,6 +34,8 @@ from .common import blocks, table
 from .labelled import held_out, sample
 
 BLOCK = 4 << 20
+#: Bytes of labelled text counted together.
+COUNTED = 1 << 20
 #: Labelled documents learned from, at most.
 MOST_LABELLED = 12_000
 #: Entries of a learned lexicon, at most: the heaviest by support.
@@ -137,7 +139,7 @@ class Lexicon:
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries and, after a tab, the word before, with document frequencies by class."""
-    for batch in batches:
+    for batch in (b for whole in batches for b in blocks(whole, "text", COUNTED)):
         clean, toxic, beside = Counter(), Counter(), Counter()
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             words = _WORD.findall(fold(text or ""))

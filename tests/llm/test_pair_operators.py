@@ -155,7 +155,7 @@ def test_line_dedup_equals_brute_force(spark):
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(20, 70))) for _ in range(25)]
     rows = [(k, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 2, 3]), "abc") for _ in range(r.randrange(1, 6)))) for k in range(60)]
     rows += [(3, None), (70, ""), (71, "short\nshort\n"), (None, base[0] + "\n" + base[1]), (5, rows[5][1]), (90, "é" * 40 + "\n" + "é" * 41)]
-    df = spark.createDataFrame([(d, t, "s", len(t or ""), 1) for d, t in rows], "doc_id bigint, text string, line string, n_chars bigint, places int")
+    df = spark.createDataFrame([(d, t, "s", len(t or ""), 1) for d, t in rows], "doc_id bigint, text string, _doc string, n_chars bigint, _places int")
     got = linededup.deduplicated(df)
     assert got.schema == df.schema
     classes = expected_lines(rows)
@@ -224,7 +224,7 @@ def test_simhash_equals_brute_force(spark):
     base = [" ".join(r.choice(words) for _ in range(r.randrange(60, 200))) for _ in range(8)]
     rows = [(k, changed(r, r.choice(base), r.choice([0, 1, 1, 2]), "xyz")) for k in range(120)]
     rows += [(200, None), (201, ""), (202, " \n "), (203, "one"), (204, "one  two"), (205, "One\ttwo"), (206, "a b c"), (7, "again"), (7, "again"), (None, "one")]
-    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, fp string, component_id int")
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, _nth string, component_id int")
     got = simhash.components(simhash.fingerprints(df)).collect()
     assert len(got) == len(rows)
     assert collections.Counter((x.doc_id, x.fp & (1 << 64) - 1) for x in got) == collections.Counter((d, print_of(t)) for d, t in rows)

@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def string_views(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of every value, without decoding; null gives empty bytes."""
     if isinstance(column, pa.ChunkedArray):

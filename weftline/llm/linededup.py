@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, connected_components, cut, sorted_groups, starts_of, table
+from .common import blocks, connected_components, cut, free_name, sorted_groups, starts_of, table
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 EDITS = 2
 LEAST_CHARS = 32
 #: Bits of the filter that tells which lines are fetched.
@@ -45,7 +45,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a constant and of its inverse modulo 2**64."""
     if len(_POWERS.get("p", ())) < n:
-        size = max(n, 4 * BLOCK // 2)
+        size = max(n, BLOCK + 1)
         for name, x in (("p", _P), ("i", pow(_P, -1, 1 << 64))):
             v = np.full(size, x, dtype=np.uint64)
             v[0] = 1
@@ -306,20 +306,22 @@ def without(text: str | None, places: list[int] | None) -> str | None:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def _rejoined(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents with the places of their lines that go, as column ``_places``."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).withColumn("_said", F.xxhash64("text"))
-    other = gone.select(F.coalesce("doc", F.lit(-(1 << 62))).alias("_doc"), F.col("said").alias("_said"), F.col("places").alias("_places"))
-    return keyed.join(other, ["_doc", "_said"], "left")
+def _rejoined(docs: DataFrame, gone: DataFrame, places: str) -> DataFrame:
+    """Documents with the places of their lines that go, as a column of that name."""
+    doc, said = (free_name(n, docs.columns) for n in ("_doc", "_said"))
+    none = F.lit(-(1 << 62))  # ids that are null meet each other
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), none)).withColumn(said, F.xxhash64("text"))
+    other = gone.select(F.coalesce("doc", none).alias(doc), F.col("said").alias(said), F.col("places").alias(places))
+    return keyed.join(other, [doc, said], "left")
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """All rows, their texts without the lines that go."""
-    at = {c: i for i, c in enumerate(docs.columns)}
+    at, places = {c: i for i, c in enumerate(docs.columns)}, free_name("_places", docs.columns)
 
     def run(batches):
         for b in batches:
-            text = pa.array([without(t, p) for t, p in zip(b.column("text").to_pylist(), b.column("_places").to_pylist())], pa.string())
+            text = pa.array([without(t, p) for t, p in zip(b.column("text").to_pylist(), b.column(places).to_pylist())], pa.string())
             columns = [b.column(c) for c in at]
             columns[at["text"]] = text
             if "n_chars" in at:
@@ -327,7 +329,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                 columns[at["n_chars"]] = pa.array([None if t is None else len(t) for t in text.to_pylist()], kind)
             yield pa.RecordBatch.from_arrays(columns, names=list(at))
 
-    return _rejoined(docs, removed(docs, edits)).select(*docs.columns, "_places").mapInArrow(run, docs.schema)
+    return _rejoined(docs, removed(docs, edits), places).select(*docs.columns, places).mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -343,7 +345,7 @@ def digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(chars, pa.int64()), pa.array(said, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_chars", "text_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rejoined(docs.select("doc_id", "text"), removed(docs, edits)).select("doc_id", "text", "_places").mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, n_chars bigint, text_sha256 string")
+    return _rejoined(docs.select("doc_id", "text"), removed(docs, edits), "_places").select("doc_id", "text", "_places").mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, n_chars bigint, text_sha256 string")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

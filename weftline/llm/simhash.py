@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import blocks, connected_components, cut, local_components, sorted_groups, starts_of, string_views, table
+from .common import blocks, connected_components, cut, free_name, local_components, sorted_groups, starts_of, string_views, table
 
 BLOCK = 4 << 20
 #: Words in a shingle, seed of the hash, and bits that may differ (given by the query).
@@ -153,7 +153,8 @@ def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """
     kept = components(fingerprints(docs), bits).where("doc_id = component_id").select("doc_id").distinct()
     ranked = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    once = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_nth = 1").drop("_nth")
+    nth = free_name("_nth", docs.columns)
+    once = ranked.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(nth) == 1)
     return once.select(docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -177,3 +177,102 @@ def test_bundles_and_reports_are_written(spark, tmp_path):
     assert B.images(df).collect()[0].source_kind == "product" and B.texts(df).collect()[0].weight == 1.0
     B.write_reports(spark.createDataFrame([("My Brand!", 1)], "name string, n int"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "slug=my-brand").is_dir()
+
+
+# -- web, presence, prompts, documents -----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def site():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        got = []
+
+        def do_GET(self):
+            status = 404 if self.path == "/missing" else 403 if self.path == "/blocked" else 200
+            self.send_response(status)
+            self.send_header("Content-Type", "image/png" if self.path == "/i.png" else "text/html")
+            self.end_headers()
+            self.wfile.write(b"x" * 5000 if self.path == "/long" else b"<title>ok</title>")
+
+        def do_POST(self):
+            Handler.got.append(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(201)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", Handler.got
+    server.shutdown()
+
+
+def test_web_source(spark, site):
+    from weftline.sources import web
+
+    base, posted = site
+    urls = [f"{base}{p}" for p in ("/", "/missing", "/blocked", "/i.png", "/long")] + ["ftp://x", "http://127.0.0.1:1/none"]
+    got = {r.url: r for r in web.read(spark, urls, most=1000).collect()}
+    assert got[urls[0]].status == 200 and got[urls[1]].status == 404 and len(got[urls[4]].body) == 1000 and got[urls[5]].error == "not http" and got[urls[6]].status is None
+    table = web.fetched(spark.createDataFrame([(u,) for u in urls], "url string"), 1000)
+    assert sorted(r.url for r in web.usable(table).collect()) == sorted([urls[0], urls[4]])
+    assert web.healthy(table.where(F.col("url") == urls[0])).count() == 1
+    with pytest.raises(Exception, match="blocked"):
+        web.healthy(table.where(F.col("url") == urls[2])).collect()
+    assert [(r.status, r.n) for r in web.send(spark.range(3), base).collect()] == [(201, 3)] and len(posted) == 3
+
+
+def test_presence(spark):
+    from weftline.operators import presence
+
+    wanted = presence.profile_urls(spark.createDataFrame([(1, " @Some.Brand "), (2, "gone"), (3, "@")], "brand_id bigint, handle string"))
+    pages = spark.createDataFrame([("https://www.instagram.com/some.brand/", 200, '{"username":"some.brand"}'), ("https://x.com/some.brand", 200, '{"url":"UserByRestId","status":401}'), ("https://x.com/gone", 404, "")], "url string, status int, html string")
+    got = {r.brand_id: (r.profiles, r.status) for r in presence.present(wanted, pages).collect()}
+    assert got == {1: ({"instagram": "https://www.instagram.com/some.brand/"}, "ok"), 2: ({}, "none")}
+
+
+def test_prompts_and_retries(spark):
+    from weftline.plans import prompts
+
+    df = spark.createDataFrame([("B", None, 3, [("a", "first"), ("b", None)])], "name string, url string, n int, themes array<struct<cluster_label:string,description:string>>")
+    said = df.select(prompts.assignment(F.col("name"), F.col("url"), F.col("n"), F.col("themes"))).collect()[0][0]
+    assert "unknown site" in said and "1. a: first\n2. b: " in said
+
+    def ask(prompt):
+        if prompt == "bad":
+            raise RuntimeError
+        return prompt.upper()
+
+    got = prompts.asked(spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "batch int, prompt string"), ask)
+    assert rows(got) == [(1, "GOOD"), (2, None), (3, None)]
+
+
+def test_pdf(spark):
+    from weftline.sources import pdf
+
+    reports = spark.createDataFrame([(1, "Brand (one)", [(1, "#FF0000", 50.0)], [("Theme", ["u1", "u2", "u3"])], ["A text. " * 300]), (2, "Empty", None, None, None)], "brand_id bigint, name string, palette array<struct<rank:int,hex:string,pct:double>>, clusters array<struct<label:string,image_urls:array<string>>>, texts array<string>")
+    blobs = spark.createDataFrame([("u1", bytearray(png(20, 30, (1, 2, 3)))), ("u2", bytearray(b"nope"))], "url string, content binary")
+    got = {r.brand_id: bytes(r.pdf) for r in pdf.documents(reports, blobs).collect()}
+    assert got[1].startswith(b"%PDF-1.4") and got[1].endswith(b"%%EOF") and got[1].count(b"/Subtype/Image") == 1 and len(got[2]) > 500
+    assert pdf.fitted(2.0, 10, 10) == (5.0, 10) and pdf.fitted(0.5, 10, 10) == (10, 5.0)
+    assert pdf.pill_rows(["a" * 20] * 3, 200.0) == [["a" * 20] * 2, ["a" * 20]]
+
+
+def test_rules_are_settled():
+    html = '<script type="application/ld+json">{"@type":"Product","name":"A","image":"/a.jpg"}</script>'
+    assert X.finds_anything(XR.generic(), [("https://example.com/", html)]) and not X.finds_anything(XR.generic(), [("https://example.com/", "<p>x</p>")])
+    card = XR.CardRule("//div[@class='c']", "//a")
+    fell = XR.settled(XR.Rules(domain="d", product_card=card), False)
+    assert fell.product_card == card and fell.domain == "d" and len(fell.json_sources) == 3
+
+
+def test_written_scores(spark, tmp_path):
+    from weftline.operators import scoring
+
+    scoring.write_results(spark.createDataFrame([("b", "m1", 1.0), ("b", "m2", 2.0), ("b", "m3", None)], "brand string, model string, score double"), str(tmp_path / "s"), "j")
+    got = spark.read.json(str(tmp_path / "s")).collect()[0]
+    assert [x.model for x in got.ranking_by_weighted_score] == ["m2", "m1"] and len(got.results) == 3

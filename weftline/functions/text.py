@@ -67,5 +67,13 @@ def prompt_line(kind: Column, weight: Column, url: Column, text: Column) -> Colu
 
 
 def image_caption(nth: Column, product: Column, sku: Column) -> Column:
-    """Parts that are there, joined by middle dots."""
-    return F.concat_ws(" · ", F.concat(F.lit("Image "), nth.cast("string")), F.nullif(product, F.lit("")), F.nullif(sku, F.lit("")))
+    """Parts that are there, joined by middle dots, in brackets."""
+    named = lambda label, c: F.concat(F.lit(label), F.nullif(c, F.lit("")))
+    return F.concat(F.lit("["), F.concat_ws(" · ", F.concat(F.lit("Image "), nth.cast("string")), named("product: ", product), named("sku: ", sku)), F.lit("]"))
+
+
+def data_uri(content: Column) -> Column:
+    """An image for a model request; null for bytes that aren't PNG, JPEG, GIF or WebP."""
+    head = F.hex(F.substring(content, 1, 4))
+    kind = F.when(head == "89504E47", "png").when(head.startswith("FFD8FF"), "jpeg").when(head == "47494638", "gif").when(head == "52494646", "webp")
+    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(content))

@@ -145,8 +145,8 @@ def sku_from_url(url: Column, pattern: str = STYLE_CODE) -> Column:
 
 def image_match_keys(url: Column) -> Column:
     """The file name and the id-like path segments, lower case."""
-    parts = F.split(F.trim(F.lower(path(url)), F.lit("/")), "/")
-    return F.array_distinct(F.concat(F.array(F.element_at(parts, -1)), F.filter(parts, lambda p: p.rlike("^[a-f0-9-]{8,}$"))))
+    parts = F.split(F.lower(path(url)), "/")
+    return F.array_distinct(F.filter(F.concat(F.array(F.element_at(parts, -1)), F.filter(parts, lambda p: p.rlike("^[a-f0-9-]{8,}$"))), lambda p: p != ""))
 
 
 def slug(value: Column, default: str = "brand") -> Column:

@@ -34,15 +34,15 @@ def by_keys(images: DataFrame, products: DataFrame, keys: list[str]) -> DataFram
 def matched(images: DataFrame, products: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates ``(keys, url, dom_name, dom_sku, …)`` with ``product_name`` and ``sku_id``.
 
-    What the page's elements say comes first; a style code among it is never replaced, but
-    another SKU gives way to a matched style code; style codes are upper case.
+    What the page's elements say comes first, then the matched product; style codes are upper case.
     """
     urls = images.select(*keys, "url").distinct()
     first = exact(urls, products, keys).withColumn("via", F.lit(0))
     second = by_keys(urls, products, keys).withColumn("via", F.lit(1))
     found = first_by(first.unionByName(second), [*keys, "url"], ["via"]).drop("via").withColumnRenamed("name", "m_name").withColumnRenamed("sku_id", "m_sku")
     dom, hit = F.nullif(F.trim("dom_sku"), F.lit("")), F.nullif("m_sku", F.lit(""))
-    sku = F.when(U.style_code(dom), F.upper(dom)).when(U.style_code(hit), F.upper(hit)).otherwise(F.coalesce(dom, hit))
+    sku = F.coalesce(dom, hit)
+    sku = F.when(U.style_code(sku), F.upper(F.trim(sku))).otherwise(sku)
     return images.join(found, [*keys, "url"], "left").withColumn("product_name", F.coalesce(F.nullif(F.trim("dom_name"), F.lit("")), F.nullif("m_name", F.lit("")))).withColumn("sku_id", sku).drop("m_name", "m_sku")
 
 

@@ -208,7 +208,7 @@ def single_product_fill(spark, sf_dir):
 
 @query(
     f"WITH p AS (SELECT * FROM {_PRODUCTS}), c AS (SELECT DISTINCT p_brand, image AS url, CASE product_ord % 3 WHEN 0 THEN 'cd9-1' WHEN 1 THEN 'dom' END AS dom_sku FROM p WHERE product_ord % 10 < 5), e AS (SELECT p_brand, image AS url, arg_max(name, product_ord) AS name, arg_max(sku_id, product_ord) AS sku FROM p GROUP BY 1, 2)"
-    f" SELECT p_brand, url, dom_sku, e.name AS product_name, CASE WHEN dom_sku = 'cd9-1' THEN 'CD9-1' WHEN regexp_matches(upper(e.sku), '{U.STYLE_CODE}') THEN upper(e.sku) ELSE coalesce(dom_sku, e.sku) END AS sku_id FROM c JOIN e USING (p_brand, url)"
+    f" SELECT p_brand, url, dom_sku, e.name AS product_name, CASE WHEN regexp_matches(upper(coalesce(dom_sku, e.sku)), '{U.STYLE_CODE}') THEN upper(coalesce(dom_sku, e.sku)) ELSE coalesce(dom_sku, e.sku) END AS sku_id FROM c JOIN e USING (p_brand, url)"
 )
 def candidate_match(spark, sf_dir):
     products = _products(spark, sf_dir)

@@ -62,7 +62,7 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.scalar_text(F.col("props"), "$.k").cast("long").alias("k"))
 
 
-@query("SELECT p_partkey, concat_ws(' · ', 'Image ' || p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END) AS caption FROM part")
+@query("SELECT p_partkey, '[' || concat_ws(' · ', 'Image ' || p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'product: ' || p_name END, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'sku: ' || p_brand END) || ']' AS caption FROM part")
 def caption_parts(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_name"))
     brand = F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand"))

@@ -106,12 +106,12 @@ def url_sku(spark, sf_dir):
     return values(spark, PRODUCT_PAGES, "url").select("url", U.sku_from_url(F.col("url")).alias("sku"))
 
 
-KEYED = """('https://cdn.example.com/a/0123abcd-ef/Shoe.PNG'),('https://cdn.example.com/ABCDEF0123/deadbeef/x.jpg?y'),('https://cdn.example.com/x.jpg'),('https://cdn.example.com/deadbeef')"""
+KEYED = """('https://cdn.example.com/a/0123abcd-ef/Shoe.PNG'),('https://cdn.example.com/ABCDEF0123/deadbeef/x.jpg?y'),('https://cdn.example.com/x.jpg'),('https://cdn.example.com/deadbeef'),('https://cdn.example.com/0011aabb/')"""
 
 
 @query(
-    "WITH p AS (SELECT url, string_split(trim(lower(" + PATH + "), '/'), '/') AS parts FROM (VALUES " + KEYED + ") v(url)), k AS (SELECT url, unnest(list_concat([parts[-1]], list_filter(parts, lambda x: regexp_matches(x, '^[a-f0-9-]{8,}$')))) AS key FROM p)"
-    " SELECT DISTINCT url, key FROM k"
+    "WITH p AS (SELECT url, string_split(lower(" + PATH + "), '/') AS parts FROM (VALUES " + KEYED + ") v(url)), k AS (SELECT url, unnest(list_concat([parts[-1]], list_filter(parts, lambda x: regexp_matches(x, '^[a-f0-9-]{8,}$')))) AS key FROM p)"
+    " SELECT DISTINCT url, key FROM k WHERE key <> ''"
 )
 def url_match_keys(spark, sf_dir):
     return values(spark, KEYED, "url").select("url", F.explode(U.image_match_keys(F.col("url"))).alias("key"))

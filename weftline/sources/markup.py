@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,6 +91,7 @@ _STEP = re.compile(r"(//|/)([\w*-]+)((?:\[[^\]]*\])*)")
 _TEST = re.compile(r"\[\s*(?:@([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'))?|contains\(\s*@([\w:-]+)\s*,\s*(?:\"([^\"]*)\"|'([^']*)')\s*\))\s*\]")
 
 
+@lru_cache(maxsize=256)
 def compiled(selector: str) -> list[tuple[bool, str, list[tuple[str, str, str]]]]:
     """Steps of a selector: ``//tag[@a="v"][contains(@b, "v")]`` and such; anything else is an error."""
     said = selector.strip()
@@ -141,12 +143,10 @@ def select(node: Node, selector: str) -> list[Node]:
     return found
 
 
-def climb(node: Node, selector: str, limit: int) -> Node | None:
+def climb(node: Node, selector: str) -> Node | None:
     """The nearest of ``node`` and its ancestors that the selector's last step matches."""
     step = compiled(selector)[-1]
-    for _ in range(limit + 1):
-        if node is None or node.tag.startswith("#"):
-            return None
+    while node is not None and not node.tag.startswith("#"):
         if matches(node, step):
             return node
         node = node.parent

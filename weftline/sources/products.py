@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
 from . import markup
-from .rules import JsonRule, Rules
+from .rules import JsonRule, Rules, generic
 
 PRODUCT = "struct<name:string,sku_id:string,image_urls:array<string>>"
 _IMAGE = re.compile(rf"\.(?:{U.IMAGE_EXTENSIONS})$", re.I)
@@ -58,9 +58,7 @@ def scalar(value: object) -> str | None:
 
 
 def lookup(node: object, dotted: str) -> object:
-    """A member, or a member of members by a dotted path; a key with dots that is there itself comes first."""
-    if isinstance(node, dict) and dotted in node:
-        return node[dotted]
+    """A member, or a member of members by a dotted path."""
     for part in dotted.split("."):
         if not isinstance(node, dict):
             return None
@@ -160,7 +158,12 @@ class Reader:
             data = json.loads(found[1]) if found else None
         except ValueError:
             return []
-        return [self.product(x, base, rule) for x in walk_json(data)]
+        out = []
+        for x in walk_json(data):
+            out.append(self.product(x, base, rule))
+            if isinstance(x.get("products"), dict):  # tried by themselves too
+                out += [self.product(y, base, rule) for y in x["products"].values() if isinstance(y, dict)]
+        return out
 
     def search_state(self, html: str, base: str, rule: JsonRule, tree: markup.Node) -> list[dict]:
         at = html.find("window.__ALGOLIA_STATE__")
@@ -180,6 +183,7 @@ class Reader:
         return out
 
     def inline_blocks(self, html: str, base: str, rule: JsonRule, tree: markup.Node) -> list[dict]:
+        # Fixed value: the shape of an inline block.
         block = re.compile(r'"copy"\s*:\s*\{\s*"title"\s*:\s*"((?:\\.|[^"\\])*)".*?"portraitURL"\s*:\s*"(https://[^"]+)".*?"squarishURL"\s*:\s*"(https://[^"]+)"', re.S)
         out = []
         for m in block.finditer(html):
@@ -227,10 +231,10 @@ class Reader:
     def context(self, node: markup.Node) -> tuple[str | None, str | None]:
         """Name and SKU told by the elements around an image."""
         rule, name, sku = self.rules.dom_context, None, None
-        for _ in range(rule.ancestor_limit + 1):
+        for _ in range(rule.ancestor_limit):
             if node is None or node.tag.startswith("#") or name and sku:
                 break
-            if rule.card_selector and rule.card_link_selector and markup.matches(node, markup.compiled(rule.card_selector)[-1]):
+            if rule.card_selector and rule.card_link_selector and markup.climb(node, rule.card_selector):
                 for a in [x for x in markup.select(node, rule.card_link_selector) if "href" in x.attrs][:1]:
                     sku = sku or self.sku_of_url(a.attrs["href"])
                     name = name or a.own_text().strip() or None
@@ -311,18 +315,24 @@ def _read(pages: DataFrame, rules: dict[str, Rules], default: Rules, work: Calla
     return rows.mapInArrow(run, f"page_id bigint, url string, got {said}").select("page_id", "url", F.posexplode("got").alias("nth", "got"))
 
 
-def products(pages: DataFrame, rules: dict[str, Rules] | None = None, default: Rules = Rules()) -> DataFrame:
+def products(pages: DataFrame, rules: dict[str, Rules] | None = None, default: Rules = generic()) -> DataFrame:
     """``(page_id, url, product_ord, name, sku_id, image_urls)``."""
     got = _read(pages, rules or {}, default, lambda r, h, u: r.products(h, u), _PRODUCTS, f"array<{PRODUCT}>")
     return got.select("page_id", "url", F.col("nth").alias("product_ord"), "got.name", "got.sku_id", "got.image_urls")
 
 
-def candidates(pages: DataFrame, rules: dict[str, Rules] | None = None, default: Rules = Rules()) -> DataFrame:
+def candidates(pages: DataFrame, rules: dict[str, Rules] | None = None, default: Rules = generic()) -> DataFrame:
     """``(page_id, page_url, ord, url, dom_name, dom_sku)``."""
     got = _read(pages, rules or {}, default, lambda r, h, u: r.candidates(h, u), _CANDIDATES, "array<struct<url:string,dom_name:string,dom_sku:string,ord:int>>")
     return got.select("page_id", F.col("url").alias("page_url"), "got.ord", "got.url", "got.dom_name", "got.dom_sku")
 
 
+def finds_anything(rules: Rules, samples: list[tuple[str, str]]) -> bool:
+    """Whether any sample ``(url, html)`` yields a product or an image with name or SKU under the rules."""
+    reader = Reader(rules.normalized())
+    return any(p["name"] or p["sku_id"] for u, h in samples for p in reader.products(h, u)) or any(c["dom_name"] or c["dom_sku"] for u, h in samples for c in reader.candidates(h, u))
+
+
 def json_objects(rows: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, ord, node)``: every object of each row's JSON tree as JSON text, outer ones first."""
 

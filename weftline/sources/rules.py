@@ -30,11 +30,11 @@ class CardRule:
 @dataclass(frozen=True)
 class JsonRule:
     source: str
-    name_keys: tuple[str, ...] = ("name",)
-    sku_keys: tuple[str, ...] = ("sku", "productID", "mpn")
-    sku_prefer_pdp_url: bool = False
-    pdp_url_keys: tuple[str, ...] = ()
-    image_keys: tuple[str, ...] = ("image",)
+    name_keys: tuple[str, ...] = ()
+    sku_keys: tuple[str, ...] = ()
+    sku_prefer_pdp_url: bool = True
+    pdp_url_keys: tuple[str, ...] = ("pdpUrl.url",)
+    image_keys: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -42,24 +42,25 @@ class DomRule:
     ancestor_limit: int = 5
     card_selector: str | None = None
     card_link_selector: str | None = None
-    sku_attrs: tuple[str, ...] = ("data-sku", "data-product-id", "itemprop=sku")
-    name_attrs: tuple[str, ...] = ("data-product-name", "data-name", "itemprop=name")
+    # Usual attributes.
+    sku_attrs: tuple[str, ...] = ("data-sku", "data-product-sku", "data-product-id", "data-item-id")
+    name_attrs: tuple[str, ...] = ("data-product-name", "data-product-title")
 
 
 @dataclass(frozen=True)
 class Rules:
     domain: str = ""
     product_card: CardRule | None = None
-    json_sources: tuple[JsonRule, ...] = (JsonRule("json_ld"),)
+    json_sources: tuple[JsonRule, ...] = ()
     dom_context: DomRule = field(default_factory=DomRule)
-    embedded_image_json_fields: tuple[str, ...] = ()
-    sku_style_pattern: str | None = None
+    embedded_image_json_fields: tuple[str, ...] = ("portraitURL", "squarishURL", "imageUrl", "image_url", "thumbnailUrl", "src")
+    sku_style_pattern: str | None = U.STYLE_CODE
     single_product_page_path_contains: str | None = None
     priority_link_path_contains: tuple[str, ...] = ()
     updated_at: datetime | None = None
 
     def normalized(self) -> Rules:
-        """Blanks filled: card selectors for the element context, attributes, ancestors, and usual priority paths before the own ones."""
+        """Blanks filled: JSON sources, card selectors for the element context, attributes, ancestors, and usual priority paths before the own ones."""
         dom = self.dom_context
         card = self.product_card
         if card:
@@ -67,12 +68,12 @@ class Rules:
         usual = DomRule()
         dom = replace(dom, sku_attrs=dom.sku_attrs or usual.sku_attrs, name_attrs=dom.name_attrs or usual.name_attrs, ancestor_limit=dom.ancestor_limit if dom.ancestor_limit >= 3 else 5)
         paths = tuple(p for p in reversed(U.PRIORITY_HINTS) if p not in self.priority_link_path_contains) + self.priority_link_path_contains
-        return replace(self, dom_context=dom, priority_link_path_contains=paths)
+        return replace(self, dom_context=dom, priority_link_path_contains=paths, json_sources=self.json_sources or shop_defaults().json_sources)
 
 
 def generic(domain: str = "") -> Rules:
     """JSON-LD only."""
-    return Rules(domain=domain)
+    return Rules(domain=domain, json_sources=(JsonRule("json_ld", ("name",), ("sku", "productID", "mpn"), False, (), ("image",)),))
 
 
 def shop_defaults(domain: str = "") -> Rules:
@@ -128,3 +129,10 @@ def resolve(wanted: DataFrame, stored: DataFrame, inferred: DataFrame, today) ->
     is_fresh = F.col("stored").isNotNull() & fresh(F.col("stored.updated_at"), today)
     origin = F.when(is_fresh, "stored").when(F.col("inferred").isNotNull(), "inferred").otherwise("default")
     return got.select("domain", origin.alias("origin"), F.when(is_fresh, F.col("stored")).otherwise(F.col("inferred")).alias("rules"))
+
+
+def settled(inferred: Rules, valid: bool) -> Rules:
+    """Inferred rules if they found something on the samples, else the usual ones of shops with the inferred card rule."""
+    if valid:
+        return inferred.normalized()
+    return replace(shop_defaults(inferred.domain), product_card=inferred.product_card).normalized()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,25 @@ def blocks(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that is free but kept back to the system; workers outlive their tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if trim := _libc_trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc_trim():
+    """``malloc_trim`` of glibc, None elsewhere."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
 
 
 def sorted_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -68,7 +88,8 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str], work: Callab
     """
 
     def run(batches):
-        return work(_whole(batches, keys))
+        yield from work(_whole(batches, keys))
+        tidy()
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, table
+from .common import blocks, spread, table
 
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK = 6 << 20
@@ -257,7 +257,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document under the 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digest(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {"op2_bpe": op2_bpe}

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, shared_dir, string_views, table
+from .common import blocks, shared_dir, spread, string_views, table
 
 #: Bytes of text in a shard.
 SHARD = 4 << 20
@@ -265,7 +265,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
-    return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return digest(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op8_decontam": op8_decontam}

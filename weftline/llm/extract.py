@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, table
+from .common import blocks, spread, table
 
 #: Bytes of html taken at a time.
 BLOCK = 4 << 20
@@ -206,7 +206,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))
 
 
 QUERIES = {"op7_html": op7_html}

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, connected_components, cut, free_name, sorted_groups, starts_of, table
+from .common import blocks, connected_components, cut, free_name, sorted_groups, spread, starts_of, table
 
 BLOCK = 1 << 20
 EDITS = 2
@@ -350,7 +350,7 @@ def digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left of every document."""
-    return digest(table(spark, sf_dir, "documents"))
+    return digest(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op1_lines": op1_lines}

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, string_views, table
+from .common import blocks, spread, string_views, table
 from .labelled import held_out, sample
 
 BLOCK = 4 << 20
@@ -145,7 +145,7 @@ def scored(docs: DataFrame, space: Space) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, with neighbours from outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     space = learn(docs, table(spark, sf_dir, "labels"))
     return scored(docs, space).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

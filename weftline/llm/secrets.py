@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, table
+from .common import blocks, spread, table
 
 BLOCK = 4 << 20
 #: Labelled findings learned from, at most.
@@ -253,7 +253,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, path: str = "s
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, and the digest of their texts in order, one a line."""
-    return scan(table(spark, sf_dir, "documents"), learn()).drop("secrets")
+    return scan(spread(table(spark, sf_dir, "documents")), learn()).drop("secrets")
 
 
 QUERIES = {"op5_secrets": op5_secrets}

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import blocks, connected_components, cut, free_name, local_components, sorted_groups, starts_of, string_views, table
+from .common import blocks, connected_components, cut, free_name, local_components, sorted_groups, spread, starts_of, string_views, table
 
 BLOCK = 4 << 20
 #: Words in a shingle, seed of the hash, and bits that may differ (given by the query).
@@ -160,7 +160,7 @@ def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    got = components(fingerprints(table(spark, sf_dir, "documents")))
+    got = components(fingerprints(spread(table(spark, sf_dir, "documents"))))
     return got.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 

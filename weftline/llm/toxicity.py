@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, table
+from .common import blocks, spread, table
 from .labelled import held_out, sample
 
 BLOCK = 4 << 20
@@ -235,7 +235,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) ->
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, with a lexicon learned outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
     return scored(docs, lexicon).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

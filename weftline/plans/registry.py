@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Tables of long texts: where such a table is so small that it is one piece, its rows are spread over the cores.
+WIDE = frozenset(["pages", "documents"])
+
 
 def query(sql: str | None = None):
     """Register a function under its name, with DuckDB SQL for the same rows."""
@@ -23,7 +26,11 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in WIDE:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:

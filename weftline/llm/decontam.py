@@ -268,5 +268,19 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 QUERIES = {"op8_decontam": op8_decontam}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_decontam": f"""
+WITH item AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, i + {WINDOW - 1}) AS x FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM item WHERE len(w) > 0)),
+size AS (SELECT DISTINCT len(x) AS n FROM win),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+place AS (SELECT r, n, i, list_slice(w, i, i + n - 1) AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, size WHERE len(w) >= n)),
+met AS (SELECT place.r, place.i, place.n, win.item_id FROM place JOIN win ON win.x = place.x),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+}

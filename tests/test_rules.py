@@ -179,6 +179,19 @@ def test_bundles_and_reports_are_written(spark, tmp_path):
     assert (tmp_path / "out" / "slug=my-brand").is_dir()
 
 
+def test_streams(spark, tmp_path):
+    from weftline.streaming import pages as stream
+
+    spark.createDataFrame([(1, "a", "2026-01-01 10:00:00", 1.0), (2, "a", "2026-01-01 11:00:00", 2.0), (3, "b", "2026-01-02 10:00:00", 3.0)], "id bigint, k string, t string, value double").selectExpr("id", "k", "to_timestamp(t) AS ts", "value").write.parquet(str(tmp_path / "in"))
+    rows_in = stream.read(spark, str(tmp_path / "in"), "id bigint, k string, ts timestamp, value double")
+    for name, df, mode in (("w", stream.windowed(rows_in, "ts", ["k"]), "complete"), ("o", stream.once(rows_in, ["k"], "ts", "10 days").select("k"), "append")):
+        q = df.writeStream.format("memory").queryName(f"stream_{name}").outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted((r.k, r.n, r.total) for r in spark.table("stream_w").collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+    assert sorted(r.k for r in spark.table("stream_o").collect()) == ["a", "b"]
+
+
 # -- web, presence, prompts, documents -----------------------------------------------------------
 
 

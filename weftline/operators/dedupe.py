@@ -26,12 +26,12 @@ def heaviest_texts(texts: DataFrame, keys: Names, most: int | None = 40) -> Data
     """Texts equal but for case and ends are one: the heaviest, the earliest of equals.
 
     Ranked by weight, then by where the text first appeared; at most ``most`` a key, with ``rank``.
+    Equal texts are reduced before the shuffle, so a text that very many rows share is no burden.
     """
-    same = Window.partitionBy(*keys, "_key")
-    marked = texts.withColumn("_key", F.lower(F.trim("text"))).withColumn("_first", F.min("ord").over(same))
-    best = first_by(marked, [*keys, "_key"], [F.desc("weight"), "ord"]).drop("_key")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("weight"), "_first"))
-    ranked = best.withColumn("rank", rank).drop("_first")
+    best = F.min_by(F.struct(*texts.columns), F.struct(F.col("weight").isNull().alias("none"), (-F.col("weight")).alias("light"), "ord"))
+    once = texts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.lower(F.trim("text")).alias("_key")).agg(F.min("ord").alias("_first"), best.alias("_best"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("weight"), "_first"))
+    ranked = once.select("_best.*", "_first").withColumn("rank", rank).drop("_first")
     return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 

@@ -158,11 +158,7 @@ def html_paragraphs(spark, sf_dir):
 
 def _page_texts(spark, sf_dir):
     """Titles, headings and paragraphs of every page, with host, order and weight."""
-    pages = table(spark, sf_dir, "pages")
-    title = pages.select("page_id", "url", F.lit(0).alias("ord"), F.lit(0.4).alias("weight"), P.title(F.col("html")).alias("text"))
-    hero = pages.select("page_id", "url", F.lit(1).alias("ord"), F.lit(1.1).alias("weight"), F.explode(P.headings(F.col("html"))).alias("text")).where(F.length("text") >= T.LEAST_HERO)
-    paragraph = P.paragraphs(pages).select("page_id", "url", (F.col("ord") + 2).alias("ord"), F.lit(1.5).alias("weight"), "text")
-    every = title.unionByName(hero).unionByName(paragraph).where("text <> ''")
+    every = P.literal_snippets(table(spark, sf_dir, "pages"))
     return every.select(U.host(F.col("url")).alias("host"), (F.col("page_id") * 100_000 + F.col("ord")).alias("ord"), "weight", T.truncate(F.col("text")).alias("text"))
 
 

@@ -45,12 +45,16 @@ def site_links(pages: DataFrame) -> DataFrame:
     return got.where(U.same_site(F.col("link"), F.col("url"))).select("page_id", "url", "link").distinct()
 
 
+def paragraph_array(html: Column, least: int = T.LEAST_PARAGRAPH) -> Column:
+    """``array<struct<ord, text>>`` of the paragraphs of literal markup, in page order."""
+    parts = F.split(without_code(html), "<p(?:\\s[^>]*)?>")
+    each = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.struct(i.alias("ord"), plain(F.split_part(p, F.lit("</p>"), F.lit(1))).alias("text")))
+    return F.filter(each, lambda x: F.length(x["text"]) >= least)
+
+
 def paragraphs(pages: DataFrame, least: int = T.LEAST_PARAGRAPH) -> DataFrame:
-    """``(page_id, url, ord, text)`` of the paragraphs of literal markup, in page order."""
-    parts = F.split(without_code(F.col("html")), "<p(?:\\s[^>]*)?>")
-    got = pages.select("page_id", "url", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("ord", "part"))
-    body = F.split_part("part", F.lit("</p>"), F.lit(1))
-    return got.select("page_id", "url", "ord", plain(body).alias("text")).where(F.length("text") >= least)
+    """``(page_id, url, ord, text)`` of the paragraphs of literal markup."""
+    return pages.select("page_id", "url", F.explode(paragraph_array(F.col("html"), least)).alias("p")).select("page_id", "url", "p.ord", "p.text")
 
 
 def title(html: Column) -> Column:
@@ -61,6 +65,17 @@ def headings(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit("(?s)<h1[^>]*>(.*?)</h1>"), F.lit(1)), plain)
 
 
+def literal_snippets(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, ord, weight, text)``: titles, headings and paragraphs in one pass over the html."""
+    piece = lambda ord_, weight, text: F.struct(F.lit(ord_).alias("ord") if isinstance(ord_, int) else ord_.alias("ord"), F.lit(weight).alias("weight"), text.alias("text"))
+    html = F.col("html")
+    heads = F.transform(F.filter(headings(html), lambda h: F.length(h) >= T.LEAST_HERO), lambda h: piece(1, WEIGHTS["hero"], h))
+    body = F.transform(paragraph_array(html), lambda p: piece(p["ord"] + 2, WEIGHTS["paragraph"], p["text"]))
+    every = F.concat(F.array(piece(0, WEIGHTS["title"], title(html))), heads, body)
+    got = pages.select("page_id", "url", F.explode(F.filter(every, lambda x: x["text"] != "")).alias("s"))
+    return got.select("page_id", "url", "s.ord", "s.weight", "s.text")
+
+
 def page_snippets(html: str | None, url: str | None) -> list[dict]:
     """Every snippet that the rules find on one page, in the order they look."""
     import re

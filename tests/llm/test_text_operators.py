@@ -131,6 +131,13 @@ def test_links_lose_against_text():
     assert "a link" not in got and got.count("\n") == 3
 
 
+def test_lists_belong_to_their_article():
+    assert extract.main_text("<article><h1>L</h1><ul><li>one, a</li><li>two, b</li></ul></article><nav><ul><li>menu</li></ul></nav>") == "L\none, a\ntwo, b"
+    assert extract.main_text("<div><h2>H</h2><table><tr><td>cell, one</td></tr></table></div>") == "H\ncell, one"
+    words = "<p>words, and words, and more words of a real text.</p>" * 3
+    assert extract.main_text(f"<main><section><h2>A</h2>{words}</section><section><h2>B</h2>{words}</section></main><div class='sidebar'>{words}</div>").count("\n") == 7
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "z"), (2, None, None, "z"), (2, None, None, "z"), (None, "v", "<p>a</p>", None)], "page_id bigint, url string, html string, text string")
     got = sorted(((r.page_id or 0, r.n_chars, len(r.text)) for r in extract.extract(df).collect()))

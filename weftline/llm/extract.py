@@ -3,7 +3,8 @@
 A page becomes a light tree of its block elements.  Every paragraph earns points for its
 length and its commas; the points go to its parent, half of them to the grandparent, and each
 container is discounted by the share of its text that stands in links.  The best container
-and those of its siblings that score a fifth of it, or are plain paragraphs, are kept.
+and those of its siblings that score a fifth of it, or are plain paragraphs, are kept; an article element
+that holds it, or the parent of a list or table, takes its place.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are known by element, role or class and never count or appear.
 
@@ -48,6 +49,7 @@ NAMES = frozenset(
     " comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe"
     " subscription signup login popup modal overlay widget toolbar skip outbrain taboola".split()
 )
+PARTS = frozenset("ul ol dl table tbody thead tfoot tr blockquote figure details".split())
 #: An open element on the left ends where one on the right begins.
 ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
@@ -177,6 +179,11 @@ def main_text(html: str | None) -> str:
     best = max(range(n), key=lambda x: (score[x], -x))
     if score[best] <= 0:
         return "\n".join(said for _, said, _ in text_in)
+    up = best
+    while up > 0:  # lists, tables and quotes are parts of a text; an article that holds the best container is the text
+        up = parents[up]
+        if up > 0 and tags[best] in PARTS or tags[up] in ("article", "main") and not drop[up]:
+            best = up
     kept = {best}
     if best:
         least = max(10.0, score[best] / 5)

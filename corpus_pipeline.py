@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe, decontam, linededup, simhash, toxicity
-from weftline.llm.common import shared_dir, table
+from weftline.llm.common import remove, shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what each returns is written to the shared folder and read again.
+
+    Of the written tables only the last stays, as the result is computed from it.
+    """
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="weftline-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage: survives lost executors."""
     shared_dir(df.sparkSession)

@@ -218,6 +218,12 @@ def test_links_join_all_near_fingerprints(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp bigint"), 4)
 
 
+def test_flips_equal_pairs():
+    r = np.random.default_rng(11)
+    x = np.unique((np.int64(0x1234567800000000) | r.integers(0, 1 << 14, 900)) ^ np.int64(-(1 << 63)))
+    assert np.array_equal(simhash._by_flips(x, 3), simhash._forest(x, 3)) and np.array_equal(simhash._by_flips(x, 1), simhash._forest(x, 1))
+
+
 def test_simhash_equals_brute_force(spark):
     r = random.Random(8)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa Lambda MU nu É ünï".split()

@@ -17,6 +17,7 @@ take part, but cannot name a component unless all its rows lack one.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .common import blocks, connected_components, cut, free_name, local_componen
 BLOCK = 4 << 20
 #: Words in a shingle, seed of the hash, and bits that may differ (given by the query).
 SHINGLE, SEED, BITS = 3, 42, 3
+#: Members of a list from which on flips are looked up instead of comparing pairs; both give the same links.
+LONG_LIST = 150_000
 #: Positional bytes that a pair within BITS shares at least.
 LEAST_SHARED = 8 - BITS
 
@@ -109,7 +112,9 @@ def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _forest(x: np.ndarray, bits: int, rows: int = 256) -> np.ndarray:
-    """Smallest index of each member's component within one list, by blocks of rows."""
+    """Smallest index of each member's component within one list, by blocks of rows; of a very long list by flips."""
+    if len(x) > LONG_LIST:
+        return _by_flips(x, bits)
     label = np.arange(len(x))
     for a in range(0, len(x), rows):
         for b in range(0, a + rows, 8192):
@@ -119,6 +124,24 @@ def _forest(x: np.ndarray, bits: int, rows: int = 256) -> np.ndarray:
     return label
 
 
+def _by_flips(x: np.ndarray, bits: int) -> np.ndarray:
+    """The same for sorted distinct members, by looking up each with up to ``bits`` flipped bits: linear in the members.
+
+    Members of a list share four bytes, so that at most 32 bits vary: 5,488 flips.
+    """
+    varying = int(np.bitwise_or.reduce(x ^ x[0])) & (1 << 64) - 1
+    places = [k for k in range(64) if varying >> k & 1]
+    label, every = np.arange(len(x)), np.arange(len(x))
+    for n in range(1, bits + 1):
+        for flipped in combinations(places, n):
+            other = x ^ np.array(sum(1 << k for k in flipped), dtype=np.uint64).view(np.int64)
+            at = np.minimum(np.searchsorted(x, other), len(x) - 1)
+            hit = np.flatnonzero((x[at] == other) & (at < every))
+            if len(hit):
+                label = local_components(len(x), hit, at[hit], label)
+    return label
+
+
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """``(u, v)`` that join all of the distinct fingerprints ``fp`` within ``bits`` of each other."""
     if bits > 3:

@@ -175,6 +175,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert all(x.n_chars == len(x.text) for x in got.where("text is not null").collect())
     d = {x.doc_id: x for x in linededup.digest(df).where("doc_id = 70").collect()}
     assert d[70].n_lines == 0 and d[70].text_sha256 == hashlib.sha256(b"").hexdigest()
+    first = {}
+    for places in classes.values():
+        keep = min(places, key=lambda q: (q[0], q[1]))
+        for q in places:
+            first[q] = (keep, min(x[3] for x in places if x[:3] == keep[:3]))
+    for x in linededup.digest(df).where("doc_id between 10 and 60").collect():
+        t = dict(rows)[x.doc_id]
+        own = [f"{p}:{k[1]}:{at}" for p in sorted(gone.get((x.doc_id, t), ())) for k, at in [first[(False, x.doc_id, t, p)]]]
+        assert x.n_removed == len(own) and x.classes_sha256 == hashlib.sha256("\n".join(own).encode()).hexdigest()
     assert linededup.deduplicated(df.limit(0)).count() == 0
 
 

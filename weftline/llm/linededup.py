@@ -285,7 +285,7 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc, said, places)``: which lines of the text of hash ``said`` go."""
+    """``(doc, said, places)``: which lines of the text of hash ``said`` go, each with the document and place of the line that stays for it."""
     roots = classes(docs, edits)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("said"), "text").where("text is not null")
     occurrences = keyed.mapInArrow(_occurrences, "doc bigint, said bigint, place int, line bigint")
@@ -296,7 +296,8 @@ def removed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     of_class = several.groupBy("class").agg(F.min("first").alias("kept"))
     kept = several.join(of_class, "class").select("line", F.col("kept.doc").alias("k_doc"), F.col("kept.said").alias("k_said"), F.col("kept.place").alias("k_place"))
     gone = occurrences.join(kept, "line").where(~(F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("said") == F.col("k_said")) & (F.col("place") == F.col("k_place"))))
-    return gone.select("doc", "said", "place").distinct().groupBy("doc", "said").agg(F.collect_list("place").alias("places"))
+    each = F.struct("place", F.col("k_doc").alias("doc"), F.col("k_place").alias("first"))
+    return gone.select("doc", "said", each.alias("p")).distinct().groupBy("doc", "said").agg(F.sort_array(F.collect_list("p")).alias("places"))
 
 
 def without(text: str | None, places: list[int] | None) -> str | None:
@@ -321,7 +322,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text = pa.array([without(t, p) for t, p in zip(b.column("text").to_pylist(), b.column(places).to_pylist())], pa.string())
+            text = pa.array([without(t, [x["place"] for x in p or ()]) for t, p in zip(b.column("text").to_pylist(), b.column(places).to_pylist())], pa.string())
             columns = [b.column(c) for c in at]
             columns[at["text"]] = text
             if "n_chars" in at:
@@ -333,19 +334,24 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Counts and the digest of what is left of each document."""
+    """Counts, the digest of what is left of each document, and that of its lines' classes.
+
+    The latter is over ``place:document:place`` of each line that went and of the line that stays
+    for it, in order, one a line (an unknown document is empty); lines that stay are their own.
+    """
 
     def run(batches):
         for b in batches:
             rows = []
             for t, p in zip(b.column("text").to_pylist(), b.column("_places").to_pylist()):
-                left = without(t, p) or ""
-                rows.append((len(split(t)), len(p or ()), len(left), hashlib.sha256(left.encode()).hexdigest()))
-            n, gone, chars, said = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(chars, pa.int64()), pa.array(said, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_chars", "text_sha256"])
+                left = without(t, [x["place"] for x in p or ()]) or ""
+                classes_of = "\n".join(f"{x['place']}:{'' if x['doc'] is None else x['doc']}:{x['first']}" for x in p or ())
+                rows.append((len(split(t)), len(p or ()), len(left), hashlib.sha256(left.encode()).hexdigest(), hashlib.sha256(classes_of.encode()).hexdigest()))
+            n, gone, chars, said, classed = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(chars, pa.int64()), pa.array(said, pa.string()), pa.array(classed, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_chars", "text_sha256", "classes_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rejoined(docs.select("doc_id", "text"), removed(docs, edits), "_places").select("doc_id", "text", "_places").mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, n_chars bigint, text_sha256 string")
+    return _rejoined(docs.select("doc_id", "text"), removed(docs, edits), "_places").select("doc_id", "text", "_places").mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, n_chars bigint, text_sha256 string, classes_sha256 string")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

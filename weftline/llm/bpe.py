@@ -29,7 +29,7 @@ from .common import blocks, spread, table
 
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK = 6 << 20
-#: Pre-tokens kept between the blocks of a task; beyond it the table starts anew.
+#: Pre-tokens kept between the blocks of a task; beyond it only those that the next block has again stay.
 KEPT = 300_000
 #: Pre-tokens of one text taken at a time.
 RUN = 1 << 20
@@ -142,7 +142,7 @@ class Replay:
     def learn(self, found: set[str]) -> None:
         """Put the ids of these pre-tokens into the table."""
         if len(self.kept) + len(found) > KEPT:
-            self.kept.clear()
+            self.kept = {w: ids for w in found if (ids := self.kept.get(w)) is not None}
         new = [w for w in found if w not in self.kept]
         raw = [w.encode() for w in new]
         hard = []

@@ -466,12 +466,12 @@ def palette_greedy(spark, sf_dir):
 
 # -- scores ----------------------------------------------------------------------------------
 
-SCORES = """('Nike-like','m1',8.0,9.0,8.0,8.0,8.0,8.5),('Nike-like','m2',7.0,8.0,8.0,8.0,8.0,8.0),('other','m1',9.0,9.0,8.0,9.0,9.0,9.0),('other','m2',8.0,9.0,8.0,8.0,9.0,8.0),('other','m3',6.0,7.0,6.0,6.0,6.0,6.0),('Nike-like','m3',6.0,7.0,7.0,6.0,6.0,6.0)"""
-_SCORES = f"(SELECT *, round(visual * 0.25 + voice * 0.20 + audience * 0.15 + clusters * 0.20 + completeness * 0.10 + actionability * 0.10, 2) AS score FROM (SELECT brand, model, CAST(a AS DOUBLE) AS visual, CAST(b AS DOUBLE) AS voice, CAST(c AS DOUBLE) AS audience, CAST(d AS DOUBLE) AS clusters, CAST(e AS DOUBLE) AS completeness, CAST(f AS DOUBLE) AS actionability FROM (VALUES {SCORES.replace('Nike-like', 'one')}) v(brand, model, a, b, c, d, e, f)))"
+SCORES = """('one','m1',8.0,9.0,8.0,8.0,8.0,8.5),('one','m2',7.0,8.0,8.0,8.0,8.0,8.0),('other','m1',9.0,9.0,8.0,9.0,9.0,9.0),('other','m2',8.0,9.0,8.0,8.0,9.0,8.0),('other','m3',6.0,7.0,6.0,6.0,6.0,6.0),('one','m3',6.0,7.0,7.0,6.0,6.0,6.0)"""
+_SCORES = f"(SELECT *, round(visual * 0.25 + voice * 0.20 + audience * 0.15 + clusters * 0.20 + completeness * 0.10 + actionability * 0.10, 2) AS score FROM (SELECT brand, model, CAST(a AS DOUBLE) AS visual, CAST(b AS DOUBLE) AS voice, CAST(c AS DOUBLE) AS audience, CAST(d AS DOUBLE) AS clusters, CAST(e AS DOUBLE) AS completeness, CAST(f AS DOUBLE) AS actionability FROM (VALUES {SCORES}) v(brand, model, a, b, c, d, e, f)))"
 
 
 def _scores(spark):
-    got = values(spark, SCORES.replace("Nike-like", "one"), "brand, model, visual, voice, audience, clusters, completeness, actionability")
+    got = values(spark, SCORES, "brand, model, visual, voice, audience, clusters, completeness, actionability")
     got = got.select("brand", "model", *(F.col(k).cast("double").alias(k) for k in scoring.WEIGHTS))
     return got.withColumn("score", scoring.weighted())
 

@@ -187,6 +187,12 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    rows = [(1, "All rights reserved.\n\n-\nAA\nseven"), (2, "All rights reserved.\n\n-\nAB"), (3, "All right reserved\n \nAA"), (4, "sevens")]
+    got = {x.doc_id: x.text for x in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\nAB", 3: " ", 4: ""}
+
+
 # -- simhash ---------------------------------------------------------------------------------
 
 

@@ -15,7 +15,8 @@ with histograms of characters before any pair is verified, pairs already in one
 skipped, and it reports at most one link a line.  A line is known by 64 bits of its hash.
 
 Edge cases: lines are compared after trimming white space; those of fewer than ``LEAST_CHARS``
-characters, as headings and list items are, always stay; null text stays null; empty texts
+characters, which have no segments and are all within the distance of each other, are one class
+only with their equals; empty lines always stay; null text stays null; empty texts
 stay empty; rows equal in doc_id and text are treated alike; rows without doc_id come last in
 order.  All rows stay, in all other columns as they were; ``n_chars``, if there, is counted anew.
 """
@@ -34,7 +35,8 @@ from .common import blocks, connected_components, cut, free_name, sorted_groups,
 
 BLOCK = 1 << 20
 EDITS = 2
-LEAST_CHARS = 32
+#: Shorter lines can't be split into segments that all hold a character.
+LEAST_CHARS = EDITS + 1
 #: Bits of the filter that tells which lines are fetched.
 FILTER_BITS = 1 << 25
 
@@ -276,7 +278,7 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, place, line = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 for p, x in enumerate(map(str.strip, split(t))):
-                    if len(x) >= LEAST_CHARS:
+                    if x:
                         row.append(i)
                         place.append(p)
                         line.append(line_id(x))

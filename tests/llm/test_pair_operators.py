@@ -193,6 +193,34 @@ def test_short_lines_take_part(spark):
     assert got == {1: rows[0][1], 2: "\nAB", 3: " ", 4: ""}
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PAIRS", 50)
+    r = random.Random(8)
+    base = ["".join(r.choice("abc ") for _ in range(n)) for n in (3, 4, 5, 9, 30, 31, 33, 60) for _ in range(3)]
+    lines = [*{x.strip() for _ in range(220) for x in [changed(r, r.choice(base), r.randrange(4), "abc")] if len(x.strip()) >= linededup.LEAST_CHARS}, "AAAA AAAA", "AAAA AAAB", "AAAA AABB"]
+    want, sets = collections.Counter(), Sets()
+    for a, b in combinations(lines, 2):
+        if edits(a, b) <= 2:
+            want.update([a, b])
+            sets.join(a, b)
+    by_key = collections.defaultdict(set)
+    for role, rows, keys in linededup.entries(lines):
+        for x, k in zip(rows.tolist(), keys.tolist()):
+            by_key[k].add(x)
+    flat = [(k, x) for k, xs in by_key.items() for x in xs]
+    ids = np.array([linededup.line_id(lines[x]) for _, x in flat])
+    own = collections.Counter()
+    for (_, x), n in zip(flat, linededup.link_counts(np.array([k for k, _ in flat]), ids, [lines[x] for _, x in flat], 2).tolist()):
+        own[lines[x]] += n
+    assert +own == +want
+    docs = [(k, "\n".join(lines[k::40])) for k in range(40)]
+    got = {(x.doc_id, c.place): (c["class"], c.links) for x in linededup.digest(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() for c in x.classes if x.n_links == sum(c.links for c in x.classes)}
+    at = {x: (k, p) for k, t in docs for p, x in enumerate(t.split("\n"))}
+    assert {q: n for q, (_, n) in got.items()} == {at[x]: n for x, n in want.items()}
+    for x, y in combinations(want, 2):
+        assert (got[at[x]][0] == got[at[y]][0]) == (sets.find(x) == sets.find(y))
+
+
 # -- simhash ---------------------------------------------------------------------------------
 
 

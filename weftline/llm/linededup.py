@@ -12,7 +12,8 @@ Scale: index entries and probes are 16 bytes and are shuffled once; entries that
 go at once.  Only lines that meet another are fetched again as text, known by a bit filter of
 fixed size.  Equal lines are one line throughout.  An index list with very many lines is walked
 with histograms of characters before any pair is verified, pairs already in one class are
-skipped, and it reports at most one link a line.  A line is known by 64 bits of its hash.
+skipped, and it reports at most one link a line, which is enough for the classes.  Where links
+are counted, every pair that meets is verified, once, in its list; only counts leave it.  A line is known by 64 bits of its hash.
 
 Edge cases: lines are compared after trimming white space; those of fewer than ``LEAST_CHARS``
 characters, which have no segments and are all within the distance of each other, are one class
@@ -39,6 +40,9 @@ EDITS = 2
 LEAST_CHARS = EDITS + 1
 #: Bits of the filter that tells which lines are fetched.
 FILTER_BITS = 1 << 25
+#: Pairs of lines taken at a time where links are counted, and the longest lines compared all at once.
+PAIRS = 1 << 17
+SHORT = 32
 
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -82,6 +86,12 @@ def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
 
 def entries(lines: list[str], edits: int = EDITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(role, line numbers, keys)``: role 0 are index entries, 1 are probes only."""
+    for less, _, rows, keys in _keyed(lines, edits):
+        yield int(less is not None), rows, keys
+
+
+def _keyed(lines: list[str], edits: int) -> Iterator[tuple[int | None, int, np.ndarray, np.ndarray]]:
+    """``(less, segment, line numbers, keys)``: probes of the index of lines ``less`` characters shorter; None are index entries."""
     size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     code = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     power, inverse = _powers(len(code) + 1)
@@ -96,7 +106,7 @@ def entries(lines: list[str], edits: int = EDITS) -> Iterator[tuple[int, np.ndar
     every = np.arange(len(lines))
     for i in range(edits + 1):
         at, n = _segment(size, i, edits)
-        yield 0, every, key(first + at, n, size, i)
+        yield None, i, every, key(first + at, n, size, i)
     for less in range(edits + 1):
         length = size - less
         for i in range(edits + 1):
@@ -107,7 +117,7 @@ def entries(lines: list[str], edits: int = EDITS) -> Iterator[tuple[int, np.ndar
                     continue  # its own index entry
                 p = at + shift
                 ok = np.flatnonzero((p >= 0) & (p + n <= size) & (length >= LEAST_CHARS))
-                yield 1, ok, key((first + p)[ok], n[ok], length[ok], i)
+                yield less, i, ok, key((first + p)[ok], n[ok], length[ok], i)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -189,7 +199,7 @@ def _meeting(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(line[kept])], names=["key", "line"])
 
 
-def _verified(edits: int):
+def _verified(edits: int, counted: bool):
     def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for t in tables:
             t = t.combine_chunks()
@@ -203,7 +213,11 @@ def _verified(edits: int):
                     for i, j in linked(texts, edits):
                         u.append(int(ids[i]))
                         v.append(int(ids[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([0] * len(u), pa.int64())], names=["u", "v", "n"])
+            if counted:
+                n = link_counts(key, line, t.column("text").to_pylist(), edits)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(line[at]), pa.array(line[at]), pa.array(n[at])], names=["u", "v", "n"])
 
     return run
 
@@ -231,6 +245,101 @@ def linked(texts: list[str], edits: int) -> list[tuple[int, int]]:
     return out
 
 
+def link_counts(key: np.ndarray, line: np.ndarray, texts: list[str], edits: int) -> np.ndarray:
+    """How many links each row has that are counted in its list; rows of a list stand together.
+
+    Two lines may meet in several lists.  Their link is counted in that of the first segment of
+    the shorter line (of equally long ones, that of smaller id) that the other holds near its
+    place, so each link once; pairs are taken some at a time and none is handed on.
+    """
+    n = len(line)
+    order = np.lexsort((line, key))
+    out, (key, line) = np.zeros(n, dtype=np.int64), (key[order], line[order])
+    texts = [texts[i] for i in order]
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=n)
+    own, probes = np.empty((edits + 1, n), dtype=np.int64), {}
+    for less, i, rows, keys in _keyed(texts, edits):
+        if less is None:
+            own[i] = keys
+        else:
+            held, ok = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+            held[rows], ok[rows] = keys, True
+            probes.setdefault((less, i), []).append((held, ok))
+    short = np.zeros((n, SHORT), dtype=np.uint32)
+    for i, x in enumerate(texts):
+        if len(x) <= SHORT:
+            short[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype="<u4")
+    cuts = starts_of(key)
+    before = np.arange(n) - np.repeat(cuts[:-1], np.diff(cuts))
+    ends = np.cumsum(before)
+    row = 0
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PAIRS, side="right")))
+        many = before[row:stop]
+        b = np.repeat(np.arange(row, stop), many)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.arange(row, stop) - many, many)
+        row = stop
+        kept = (np.abs(size[a] - size[b]) <= edits) & (line[a] != line[b])
+        a, b = a[kept], b[kept]
+        swap = size[a] > size[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        here = _first_met(a, b, size, key, own, probes, edits)
+        a, b = a[here], b[here]
+        brief = size[b] <= SHORT
+        near = np.zeros(len(a), dtype=bool)
+        near[brief] = _within_short(short, size, a[brief], b[brief], edits)
+        for i in np.flatnonzero(~brief).tolist():
+            near[i] = within(texts[a[i]], texts[b[i]], edits)
+        out += np.bincount(a[near], minlength=n) + np.bincount(b[near], minlength=n)
+    back = np.empty(n, dtype=np.int64)
+    back[order] = out
+    return back
+
+
+def _first_met(a, b, size, key, own, probes, edits: int) -> np.ndarray:
+    """Whether the list is the one in which the pair of a shorter and a longer line is counted."""
+    here, open_, less = np.zeros(len(a), dtype=bool), np.ones(len(a), dtype=bool), size[b] - size[a]
+    for i in range(edits + 1):
+        met = np.zeros(len(a), dtype=bool)
+        for d in range(edits + 1):
+            at = np.flatnonzero(open_ & (less == d))
+            x, y = a[at], b[at]
+            if d == 0:
+                met[at] |= own[i][x] == own[i][y]
+            for held, ok in probes.get((d, i), ()):
+                met[at] |= ok[y] & (held[y] == own[i][x])
+        here |= met & (own[i][a] == key[a])
+        open_ &= ~met
+    return here
+
+
+def _within_short(code: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Whether pairs of a shorter and a longer short line are within ``k`` edits: a band of 2k+1 diagonals, all pairs at once."""
+    if not len(a):
+        return np.zeros(0, dtype=bool)
+    far, width, low = k + 1, 2 * k + 1, size[a]
+    band = np.full((width, len(a)), far, dtype=np.int8)
+    for d in range(k + 1):
+        band[k + d] = d
+    out = np.where(low == 0, np.minimum(far, size[b]), far)
+    for i in range(1, int(low.max()) + 1):
+        new = np.full_like(band, far)
+        for d in range(width):
+            j = i + d - k
+            if j < 0 or j > code.shape[1]:
+                continue
+            best = np.full(len(a), i, dtype=np.int8) if j == 0 else band[d] + (code[a, i - 1] != code[b, j - 1])
+            if d + 1 < width:
+                best = np.minimum(best, band[d + 1] + 1)
+            if d and j:
+                best = np.minimum(best, new[d - 1] + 1)
+            new[d] = np.minimum(best, far)
+        band = new
+        done = np.flatnonzero(low == i)
+        out[done] = band[(size[b[done]] - i + k), done]
+    return out <= k
+
+
 def _bits(lines: DataFrame) -> np.ndarray:
     """Fixed-size bit filter of the line ids, joined word by word on the executors."""
     slot = F.expr(f"pmod(line, {FILTER_BITS})")
@@ -243,8 +352,8 @@ def _bits(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(node, root)`` of the lines, by id, that are within reach of a different line."""
+def classes(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """``(node, root)`` of the lines, by id, that are within reach of a different line, and ``(node, links)``, if counted."""
     texts = docs.select("text").where("text is not null")
     entered = texts.mapInArrow(_entered(edits), "key bigint, line bigint, role byte")
     met = cut(sorted_groups(entered, ["key"], [], _meeting, "key bigint, line bigint").distinct())
@@ -262,8 +371,11 @@ def classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     lines = texts.mapInArrow(fetched, "line bigint, text string")
     once = sorted_groups(lines, ["line"], [], _first_of, "line bigint, text string")
-    pairs = sorted_groups(met.join(once, "line"), ["key"], [], _verified(edits), "u bigint, v bigint")
-    return connected_components(pairs)
+    pairs = sorted_groups(met.join(once, "line"), ["key"], [], _verified(edits, counted), "u bigint, v bigint, n bigint")
+    if not counted:
+        return connected_components(pairs), None
+    pairs = cut(pairs)
+    return connected_components(pairs), pairs.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
 
 
 def _first_of(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -286,20 +398,29 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc").take(row), b.column("said").take(row), pa.array(place, pa.int32()), pa.array(line, pa.int64())], names=["doc", "said", "place", "line"])
 
 
-def removed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc, said, places)``: which lines of the text of hash ``said`` go, each with the document and place of the line that stays for it."""
-    roots = classes(docs, edits)
+def placed(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> DataFrame:
+    """``(doc, said, places)``: the lines of the text of hash ``said`` that go, each with the document and place of the line that stays for it.
+
+    If counted, also those that stay and have others in their class, and all with their class
+    and with the number of different lines within the distance.
+    """
+    roots, links = classes(docs, edits, counted)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("said"), "text").where("text is not null")
     occurrences = keyed.mapInArrow(_occurrences, "doc bigint, said bigint, place int, line bigint")
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "said", "place")
     by_line = occurrences.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     with_class = by_line.join(roots, by_line["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("class"), F.col("root").isNotNull().alias("near"))
-    several = cut(with_class.where("n > 1 or near"))
+    several = with_class.where("n > 1 or near")
+    if counted:
+        several = several.join(links, several["line"] == links["node"], "left").drop("node").fillna(0, ["links"])
+    several = cut(several)
     of_class = several.groupBy("class").agg(F.min("first").alias("kept"))
-    kept = several.join(of_class, "class").select("line", F.col("kept.doc").alias("k_doc"), F.col("kept.said").alias("k_said"), F.col("kept.place").alias("k_place"))
-    gone = occurrences.join(kept, "line").where(~(F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("said") == F.col("k_said")) & (F.col("place") == F.col("k_place"))))
-    each = F.struct("place", F.col("k_doc").alias("doc"), F.col("k_place").alias("first"))
-    return gone.select("doc", "said", each.alias("p")).distinct().groupBy("doc", "said").agg(F.sort_array(F.collect_list("p")).alias("places"))
+    more = ["class", "links"] if counted else []
+    kept = several.join(of_class, "class").select("line", *more, F.col("kept.doc").alias("k_doc"), F.col("kept.said").alias("k_said"), F.col("kept.place").alias("k_place"))
+    goes = ~(F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("said") == F.col("k_said")) & (F.col("place") == F.col("k_place")))
+    met = occurrences.join(kept, "line")
+    each = F.struct("place", F.col("k_doc").alias("doc"), F.col("k_place").alias("first"), *([goes.alias("goes"), *more] if counted else []))
+    return (met if counted else met.where(goes)).select("doc", "said", each.alias("p")).distinct().groupBy("doc", "said").agg(F.sort_array(F.collect_list("p")).alias("places"))
 
 
 def without(text: str | None, places: list[int] | None) -> str | None:
@@ -332,28 +453,35 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                 columns[at["n_chars"]] = pa.array([None if t is None else len(t) for t in text.to_pylist()], kind)
             yield pa.RecordBatch.from_arrays(columns, names=list(at))
 
-    return _rejoined(docs, removed(docs, edits), places).select(*docs.columns, places).mapInArrow(run, docs.schema)
+    return _rejoined(docs, placed(docs, edits), places).select(*docs.columns, places).mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Counts, the digest of what is left of each document, and that of its lines' classes.
+    """Counts, the digest of what is left of each document, and its lines' classes and links.
 
-    The latter is over ``place:document:place`` of each line that went and of the line that stays
-    for it, in order, one a line (an unknown document is empty); lines that stay are their own.
+    ``classes_sha256`` is over ``place:document:place`` of each line that went and of the line that stays
+    for it, in order, one a line (an unknown document is empty).  ``classes`` holds, in order, every line that
+    isn't alone in its class: the class by its smallest line id, and the number of different lines
+    within the distance, each of which is a link; ``n_links`` is their sum.
     """
 
     def run(batches):
         for b in batches:
             rows = []
             for t, p in zip(b.column("text").to_pylist(), b.column("_places").to_pylist()):
-                left = without(t, [x["place"] for x in p or ()]) or ""
-                classes_of = "\n".join(f"{x['place']}:{'' if x['doc'] is None else x['doc']}:{x['first']}" for x in p or ())
-                rows.append((len(split(t)), len(p or ()), len(left), hashlib.sha256(left.encode()).hexdigest(), hashlib.sha256(classes_of.encode()).hexdigest()))
-            n, gone, chars, said, classed = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(chars, pa.int64()), pa.array(said, pa.string()), pa.array(classed, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_chars", "text_sha256", "classes_sha256"])
+                gone = [x for x in p or () if x["goes"]]
+                left = without(t, [x["place"] for x in gone]) or ""
+                classes_of = "\n".join(f"{x['place']}:{'' if x['doc'] is None else x['doc']}:{x['first']}" for x in gone)
+                shown = [{k: x[k] for k in ("place", "class", "links")} for x in p or ()]
+                rows.append((len(split(t)), len(gone), len(left), hashlib.sha256(left.encode()).hexdigest(), hashlib.sha256(classes_of.encode()).hexdigest(), sum(x["links"] for x in shown), shown))
+            columns = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("place", pa.int32()), ("class", pa.int64()), ("links", pa.int64())]))]
+            names = ["n_lines", "n_removed", "n_chars", "text_sha256", "classes_sha256", "n_links", "classes"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, columns, kinds)], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rejoined(docs.select("doc_id", "text"), removed(docs, edits), "_places").select("doc_id", "text", "_places").mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, n_chars bigint, text_sha256 string, classes_sha256 string")
+    said = "n_lines bigint, n_removed bigint, n_chars bigint, text_sha256 string, classes_sha256 string, n_links bigint, classes array<struct<place: int, class: bigint, links: bigint>>"
+    return _rejoined(docs.select("doc_id", "text"), placed(docs, edits, counted=True), "_places").select("doc_id", "text", "_places").mapInArrow(run, f"doc_id {kind}, {said}")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

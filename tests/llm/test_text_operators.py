@@ -226,3 +226,12 @@ def test_forest_learns_from_given_findings(spark):
     assert ((p >= 0.5) == np.array([x[4] for x in rows])).mean() > 0.95
     assert secrets.learn(df.limit(0)).trees == []
     assert secrets.Forest([]).probability(np.zeros((3, len(secrets.FEATURES)))).tolist() == [0, 0, 0]
+
+
+def test_repetition_late_in_a_long_text_is_seen():
+    fresh = [f"w{i}" for i in range(8000)]
+    least = lambda words: quality.terms(" ".join(words).encode())[quality._PAIRS + 9]
+    assert least(fresh) == 0
+    assert least([*fresh, *["again"] * 5000]) > 0.5
+    assert least([*fresh, *["again"] * 3000]) > 0.4
+    assert least([*fresh, "a", "a", "a"]) == 0

@@ -2,7 +2,8 @@
 
 A text's terms are pairs of neighbouring character kinds (letters by case, digits, white
 space, each punctuation sign) and signs of repetition: words equal to one of the eight before,
-lines seen before, and the share of distinct words.  Counts are damped, weighted by inverse
+lines seen before, and the share of distinct words, in the whole text and in that of its
+windows of ``WINDOW`` words where it is least.  Counts are damped, weighted by inverse
 document frequency and projected on the leading right singular vectors of the labelled
 sample's matrix.  The labelled vectors are broadcast; every document's exact cosines with all
 of them come from blocked matrix products, and the labels of its nearest vote with their
@@ -30,6 +31,8 @@ BLOCK = 4 << 20
 MOST_LABELLED = 3_000
 RANK = 48
 NEIGHBOURS = 15
+#: Words looked at together for the share of distinct ones.
+WINDOW = 4096
 
 _KINDS = 40
 _KIND = np.zeros(256, dtype=np.int64)
@@ -70,7 +73,9 @@ def terms(text: bytes) -> np.ndarray:
         out[_PAIRS + k - 1] = np.count_nonzero(hashed[k:] == hashed[:-k]) / n
     lines = [x for x in text.split(b"\n") if x]
     out[_PAIRS + 8] = 1 - len(set(lines)) / max(1, len(lines))
-    distinct = len(np.unique(hashed[:4096])) / min(n, 4096) if n > 1 else 1.0
+    # The last window ends with the text, so that all of a longer text are of one size.
+    windows = [*range(0, n - WINDOW, WINDOW), max(0, n - WINDOW)]
+    distinct = min(len(np.unique(hashed[a : a + WINDOW])) for a in windows) / min(n, WINDOW) if n > 1 else 1.0
     seen = len(np.unique(hashed)) / n
     out[_PAIRS + 9] = max(0.0, 0.5 - distinct)
     out[_PAIRS + 10] = max(0.0, 0.25 - seen)

@@ -10,7 +10,7 @@ turned into a score by a logistic curve.
 The lexicon is learned from labelled texts: document frequencies by class over words and
 stems, smoothed log odds as weights, and entries only where the class is almost pure and the
 word stands after several different words, so that copies of one text cannot add theirs.
-Phrases of two words around an entry that occur in clean texts become exceptions.  Without
+The exceptions are fixed; none is learned from clean texts.  Without
 labels of both classes only the starting lexicon is used.
 
 Edge cases: null and empty texts have no hits and the lowest score; one row in, one row out;

@@ -341,31 +341,69 @@ def test_proximity(spark):
 # -- nearest neighbours ----------------------------------------------------------------------
 
 
+def nearest_of(rows, k=5, every=10):
+    """By brute force over vectors of one length, in whole numbers: ``{query: [(id, score)]}``."""
+    from fractions import Fraction
+
+    good = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for i, v in sorted(good):
+        if i % every:
+            continue
+        a, scored = [Fraction(x) for x in v], []
+        for j, w in good:
+            if j != i and len(w) == len(v):
+                b = [Fraction(x) for x in w]
+                dot, size = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(x * x for x in b)
+                score = float(dot * dot / size) ** 0.5 * (1 if dot > 0 else -1)
+                scored.append((-round(score, 9), j))
+        out[i] = [(j, -s) for s, j in sorted(scored)[:k]]
+    return out
+
+
 def test_ann_on_odd_rows(spark):
     r = np.random.default_rng(10)
-    rows = [(k, r.standard_normal(8).tolist(), 1) for k in range(120)] + [(200 + k, rows0, 1) for k, rows0 in enumerate([[1.0] * 8] * 40)]
-    rows += [(300, None, 0), (301, [0.0] * 8, 0), (302, [float("nan")] * 8, 0), (303, [1.0, None] * 4, 0), (304, [1.0, 2.0], 0), (305, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (5, rows[5][1], 1)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int")
+    rows = [(k, r.standard_normal(8).tolist()) for k in range(120)] + [(200 + k, [1.0] * 8) for k in range(40)]
+    rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0, None] * 4), (305, [float("inf")] * 8), (None, [1.0] * 8), (5, rows[5][1]), (306, [])]
+    rows += [(400 + k, (r.standard_normal(8) * 1e-200).tolist()) for k in range(20)] + [(430 + k, (r.standard_normal(8) * 1e200).tolist()) for k in range(20)]
+    rows += [(460, [5e-324] + [0.0] * 7), (461, [1.7e308, -1.7e308] * 4), (470, [-0.0, 1.0] * 4), (471, [0.0, 1.0] * 4)]
+    rows += [(500 + k, r.standard_normal(3).tolist()) for k in range(45)] + [(600, [1.0, 2.0]), (610, [2.0, 1.0, 0.0, 0.0]), (611, [1.0, 1.0, 1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, rank int")
     v = ann.usable(df, "vec_id", "embedding").cache()
-    good = {k: np.array(x) for k, x, _ in rows if k is not None and k < 300}
-    assert {x.id for x in v.collect()} == set(good)
-    got = ann.search(v, v.where("id % 10 = 0"), leaves=10**6)  # every leaf: exact
-    by = collections.defaultdict(list)
-    for x in got.orderBy("query_id", "rank").collect():
-        by[x.query_id].append((x.vec_id, x.score, x["rank"]))
-    ids = sorted(good)
-    m = np.array([good[i] for i in ids])
-    m = m / np.linalg.norm(m, axis=1, keepdims=True)
-    for q in [i for i in ids if i % 10 == 0]:
-        score = m @ m[ids.index(q)]
-        want = sorted(((-round(s, 9), i) for s, i in zip(score, ids) if i != q))[:5]
-        assert [x[0] for x in by[q]] == [i for _, i in want] and [x[2] for x in by[q]] == [1, 2, 3, 4, 5]
-        assert np.allclose([x[1] for x in by[q]], [-s for s, _ in want])
+    want = nearest_of(rows)
+    for how in ({"leaves": 10**6}, {}):  # every leaf, and as many as are found to be needed: all, in tables of a few leaves
+        by = collections.defaultdict(list)
+        for x in ann.search(v, v.where("id % 10 = 0"), **how).orderBy("query_id", "rank").collect():
+            by[x.query_id].append((x.vec_id, round(x.score, 9)))
+            assert len(by[x.query_id]) == x["rank"]
+        assert {q: [i for i, _ in n] for q, n in by.items()} == {q: [i for i, _ in n] for q, n in want.items() if n}
+        assert all(abs(a - b) < 1e-8 for q in by for (_, a), (_, b) in zip(by[q], want[q]))
     few = v.where("id in (1, 2, 3)")
     assert ann.search(few, few).count() == 6
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_ann_takes_fewer_leaves_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((40, 16)) * 4
+    m = np.concatenate([centres[r.integers(0, 40, 2000)] + r.standard_normal((2000, 16)) * 0.3])
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "id bigint, v array<double>").cache()
+    taken, shares = [], []
+    monkeypatch.setattr(ann, "leaves_for", lambda f, *a, own=ann.leaves_for: taken.append(own(f, *a)) or shares.append(taken[-1] / (f.trees << f.depth)) or taken[-1])
+    assert [ann.depth_of(n, 10**6) for n in (0, 15, 16, 32, 1600, 10**5)] == [0, 0, 0, 1, 6, 12] and ann.depth_of(10**9, 8 * 64) == 6
+    found = 0
+    got = collections.defaultdict(set)
+    for x in ann.search(v, v.where("id % 20 = 0")).collect():
+        got[x.query_id].add(x.vec_id)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 2000, 20):
+        s = m @ m[q]
+        s[q] = -9
+        found += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert found / 500 >= 0.9 and shares[0] < 0.25
+
+
 @needs_data
 def test_ann_recall(spark):
     got = collections.defaultdict(set)

@@ -2,21 +2,31 @@
 
 Trees are fitted on a bounded sample: each node splits at the median of the projections on the
 difference of two of its vectors.  Every vector of the table is then sent down every tree.  A
-query walks all trees at once through one priority queue of branches, ordered by the smallest
-margin on the way, until it has taken ``LEAVES`` leaves.  Queries and vectors meet leaf by
-leaf, where exact cosines in double precision are computed in blocks and the best of each
-leaf kept; a query's bests are then ranked over its leaves.
-
-Equal vectors are one candidate with the smallest ids that could be asked for, so a vector
-that a third of the rows share does not fill a leaf; large leaves are dealt over salts, from
-their counted size.  What is broadcast is the forest: ``TREES * 2**DEPTH`` hyperplanes, whatever
-the table's size.  Leaves grow with the table at a fixed depth; ``DEPTH`` and ``LEAVES`` set the share of
-vectors that is reranked, which random vectors without structure need large for good recall.
-
-Edge cases: null, zero or non-finite vectors (or components), null ids, and vectors of a
-length other than the commonest take no part; ids that repeat are one candidate each row
-distinct by (id, vector); fewer candidates than asked for are all returned; ties go to the
-smaller id; an empty table gives an empty result.  Tables too small for ``DEPTH`` levels get fewer.
+query walks all trees at once through one priority queue of branches, ordered by the summed
+squares of the margins crossed, until it has taken as many leaves as it may.  Queries and
+vectors meet leaf by leaf, where cosines in double precision are computed in blocks and the best
+of each leaf kept; a query's bests over its leaves are then scored exactly, in the order of the
+components.
+
+Depth grows with the table, so that leaves keep about ``LEAF_ROWS`` vectors, up to what the sample
+can split (``FITTED_ROWS`` of its vectors a leaf).  How many leaves a query takes is measured: the
+true neighbours of ``CALIBRATING`` sampled vectors among all vectors (one pass, blocks against a
+broadcast of that many) tell at which place of their queues the neighbours' leaves stand, and
+the smallest number of leaves that reaches ``RECALL`` of them is taken.  Vectors without
+structure need most leaves at any size; the more they cluster, the fewer.
+
+Vectors are compared within their length: each length has a forest, and a length too rare for
+one is a single leaf.  Vectors are scaled by a power of two, which leaves every rounding of a
+cosine as it is, so that no sum of squares over- or underflows.  Equal vectors are one candidate
+with the smallest ids that could be asked for, so a vector that a third of the rows share does
+not fill a leaf; large leaves are dealt over salts, from their counted size.  What is broadcast
+is the forests, at most ``TREES`` hyperplanes for every ``FITTED_ROWS`` sampled vectors, and the
+calibrating vectors; the sample holds at most ``MOST_FITTED`` vectors and ``MOST_NUMBERS`` numbers.
+
+Edge cases: null, zero or non-finite vectors (or components) and null ids take no part; ids
+that repeat are one candidate each row distinct by (id, vector); fewer candidates than asked for
+are all returned; ties go to the smaller id; an empty table gives an empty result; very long
+vectors work, with fewer of them in the sample; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +41,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, sorted_groups, starts_of, table
 
-#: Trees, levels of a tree, vectors they are fitted on at most, and leaves a query takes.
-TREES, DEPTH, MOST_FITTED, LEAVES = 4, 6, 20_000, 88
+#: Trees; vectors and numbers in the sample they are fitted on at most; vectors of a leaf, about; sampled vectors of a leaf at least.
+TREES, MOST_FITTED, MOST_NUMBERS, LEAF_ROWS, FITTED_ROWS = 4, 20_000, 4_000_000, 256, 8
+#: Share of true neighbours whose leaves are to be taken, and vectors by which it is measured.
+RECALL, CALIBRATING = 0.95, 128
 #: Vectors of a leaf in one group, about.
-LEAF_ROWS = 20_000
+SALT_ROWS = 20_000
 
 
 @dataclass
@@ -44,42 +56,43 @@ class Forest:
     normals: np.ndarray  # tree, node, dimension
     offsets: np.ndarray  # tree, node
 
+    @property
+    def trees(self) -> int:
+        return len(self.normals)
+
     @property
     def depth(self) -> int:
         return int(np.log2(self.normals.shape[1] + 1))
 
     def leaves_of(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each vector in each tree."""
-        out = np.zeros((len(x), len(self.normals)), dtype=np.int64)
+        """Leaf of each vector in each tree, by the hyperplanes on its way only."""
+        out = np.zeros((len(x), self.trees), dtype=np.int64)
         for t, (normals, offsets) in enumerate(zip(self.normals, self.offsets)):
-            side = x @ normals.T > offsets
             node = np.zeros(len(x), dtype=np.int64)
             for _ in range(self.depth):
-                node = 2 * node + 1 + side[np.arange(len(x)), node]
+                node = 2 * node + 1 + (np.einsum("ij,ij->i", x, normals[node]) > offsets[node])
             out[:, t] = node - normals.shape[0]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[tuple[int, int]]:
+    def visit(self, q: np.ndarray) -> Iterator[tuple[int, int]]:
         """``(tree, leaf)`` in the order of a queue shared by all trees."""
         margins = [(normals @ q - offsets).tolist() for normals, offsets in zip(self.normals, self.offsets)]
         inner = self.normals.shape[1]
-        queue = [(-np.inf, t, 0) for t in range(len(margins))]
-        heapq.heapify(queue)
-        out = []
-        while queue and len(out) < most:
-            worst, t, node = heapq.heappop(queue)
+        queue = [(0.0, t, 0) for t in range(len(margins))]
+        while queue:
+            crossed, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margins[t][node]
                 near, far = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(worst, abs(m)), t, far))
+                heapq.heappush(queue, (crossed + m * m, t, far))
                 node = near
-            out.append((t, node - inner))
-        return out
+            yield t, node - inner
 
 
-def fit(sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Forest:
+def fit(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> Forest:
     """A forest over unit vectors; a node without two different vectors gets a random direction."""
     rng = np.random.default_rng(seed)
+    trees = trees if depth else 1
     inner, width = 2**depth - 1, sample.shape[1]  # no inner node: one leaf
     normals, offsets = np.zeros((trees, inner, width)), np.zeros((trees, inner))
     for t in range(trees):
@@ -101,66 +114,158 @@ def fit(sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int =
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, v array<double>)`` of the rows that take part."""
+    """``(id, v array<double>)`` of the rows that take part; the largest component of ``v`` is near one by a power of two."""
     v = F.transform(F.col(column), lambda x: x.cast("double"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(good)
-    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    return rows.where(F.size("v") == (widths[0]["w"] if widths else 0)).select("id", F.transform("v", lambda x: x + 0.0).alias("v"))
-
-
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    # In two steps, as the power that lifts the smallest numbers is none itself; the sum makes a negative zero positive.
+    power = F.floor(F.log2(F.array_max(F.transform("v", F.abs)))).cast("int")
+    half = F.floor(F.col("power") / 2).cast("int")
+    scaled = F.transform("v", lambda x: x * F.pow(F.lit(2.0), -F.col("half")) * F.pow(F.lit(2.0), F.col("half") - F.col("power")) + 0.0)
+    return rows.withColumn("power", power).withColumn("half", half).select("id", scaled.alias("v"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, depth: int = DEPTH, leaves: int = LEAVES, most_fitted: int = MOST_FITTED) -> DataFrame:
+class Lists:
+    """Rows of an Arrow list column as matrices, one for each length."""
+
+    def __init__(self, column):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.flat, self.at = np.asarray(column.values), np.asarray(column.offsets)
+        self.width = np.diff(self.at)
+
+    def matrix(self, a: int, b: int) -> np.ndarray:
+        """Rows from ``a`` up to ``b``, which have one length."""
+        return self.flat[self.at[a] : self.at[b]].reshape(b - a, -1)
+
+    def by_width(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(width, rows, matrix)``."""
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            yield w, rows, self.flat[self.at[rows][:, None] + np.arange(w)]
+
+
+def depth_of(n: int, fitted: int) -> int:
+    """Levels for ``n`` vectors of which ``fitted`` are in the sample."""
+    return max(0, int(np.log2(max(1, min(n / LEAF_ROWS, fitted / FITTED_ROWS)))))
+
+
+def neighbours_of(distinct: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> dict[tuple[int, int], np.ndarray]:
+    """The true neighbours of a few vectors among all of their length: ``(width, number)`` to a matrix.
+
+    ``asked`` has ids and unit vectors by width; each task hands on the best it saw.
+    """
+    known = distinct.sparkSession.sparkContext.broadcast(asked)
+
+    def best(batches):
+        kept: dict[tuple[int, int], list] = {}
+        for b in batches:
+            rep = np.asarray(b.column("rep"))
+            for w, rows, x in Lists(b.column("v")).by_width():
+                if w not in known.value:
+                    continue
+                ids, q = known.value[w]
+                scores = q @ _unit(x).T
+                scores[ids[:, None] == rep[rows][None, :]] = -np.inf
+                m = min(k, len(rows))
+                for i, at in enumerate(np.argpartition(-scores, m - 1, axis=1)[:, :m]):
+                    own = kept.setdefault((w, i), []) + [(s, x[j]) for s, j in zip(scores[i, at].tolist(), at) if s > -np.inf]
+                    kept[w, i] = sorted(own, key=lambda p: -p[0])[:k]
+        flat = [(w, i, s, v) for (w, i), own in kept.items() for s, v in own]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat]), pa.array([f[1] for f in flat]), pa.array([f[2] for f in flat]), pa.array([f[3] for f in flat], pa.list_(pa.float64()))], names=["w", "i", "s", "v"])
+
+    nth = F.row_number().over(Window.partitionBy("w", "i").orderBy(F.desc("s")))
+    got = distinct.select("rep", "v").mapInArrow(best, "w bigint, i bigint, s double, v array<double>").withColumn("n", nth).where(F.col("n") <= k)
+    out: dict[tuple[int, int], list] = {}
+    for r in got.collect():  # k rows for each vector asked
+        out.setdefault((r["w"], r["i"]), []).append(r["v"])
+    return {key: np.array(v) for key, v in out.items()}
+
+
+def leaves_for(forest: Forest, q: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+    """The fewest leaves that hold the share ``recall`` of the neighbours ``near`` of the vectors ``q``."""
+    places = []
+    for x, own in zip(q, near):
+        held: dict[tuple[int, int], list[int]] = {}
+        for n, leaf in enumerate(forest.leaves_of(_unit(own))):
+            for t, at in enumerate(leaf.tolist()):
+                held.setdefault((t, at), []).append(n)
+        first: dict[int, int] = {}
+        for place, at in enumerate(forest.visit(x)):
+            for n in held.get(at, ()):
+                first.setdefault(n, place)
+            if len(first) == len(own):
+                break
+        places += first.values()
+    return int(np.quantile(places, recall, method="higher")) + 1 if places else forest.trees << forest.depth
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaves: int | None = None, recall: float = RECALL, most_fitted: int = MOST_FITTED) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the ``k`` nearest found of each query row's vector, its own id left out.
 
-    ``vectors`` and ``queries`` are ``(id, v)`` as ``usable`` gives them.
+    ``vectors`` and ``queries`` are ``(id, v)`` as ``usable`` gives them.  ``leaves`` is the number a query
+    takes; without it, it is found for ``recall``.
     """
     spark = vectors.sparkSession
     result = "query_id bigint, rank int, vec_id bigint, score double"
     # Equal vectors: the k + 1 smallest ids suffice, as one of them may be the query's own.
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     distinct = cut(vectors.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"))
-    fitted = distinct.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(most_fitted).toArrow()
-    if not fitted.num_rows:
+    sizes = {r["w"]: r["n"] for r in distinct.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}  # one row a length
+    if not sizes:
         return spark.createDataFrame([], result)
-    # A leaf should hold several times what is asked for: small tables get fewer levels, and the same share of their leaves is taken.
-    share = leaves / (trees << depth)
-    depth = max(0, min(depth, int(np.log2(fitted.num_rows / max(16, 4 * (k + 1))))) if fitted.num_rows else 0)
-    leaves = max(1, int(np.ceil(share * (trees << depth))))
-    forest = spark.sparkContext.broadcast(fit(_unit(_matrix(fitted.column("v"))), trees, depth))
-    width = _matrix(fitted.column("v")).shape[1]
-    salts = max(1, -(-distinct.count() // (LEAF_ROWS << depth)))
+    most = min(most_fitted, max(1, MOST_NUMBERS // max(sizes)))
+    fitted = distinct.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(most).toArrow()
+    reps, samples = np.asarray(fitted.column("rep")), {w: (rows, _unit(x)) for w, rows, x in Lists(fitted.column("v")).by_width()}
+    forests, taken, base, salts, first = {}, {}, {}, {}, 0
+    for w, n in sorted(sizes.items()):
+        sample = samples[w][1] if w in samples else np.zeros((0, w))
+        forests[w] = fit(sample, trees, depth_of(n, len(sample)))
+        taken[w] = min(leaves or forests[w].trees << forests[w].depth, forests[w].trees << forests[w].depth)
+        base[w], salts[w] = first, max(1, -(-n // (SALT_ROWS << forests[w].depth)))
+        first += forests[w].trees << forests[w].depth
+    asked_of = {w: (reps[rows[:CALIBRATING]], x[:CALIBRATING]) for w, (rows, x) in samples.items() if forests[w].depth}
+    if leaves is None and asked_of:
+        near = neighbours_of(distinct, asked_of, k)
+        for w, (_, x) in asked_of.items():
+            taken[w] = leaves_for(forests[w], x, [near.get((w, i), np.zeros((0, w))) for i in range(len(x))], recall)
+    known = spark.sparkContext.broadcast((forests, taken, base, salts))
     asked = queries.select("id", "v").distinct().groupBy("v").agg(F.min("id").alias("qid"))
 
+    def met_at(b, key: str, at: list, group: list, salt: list, kind: int) -> pa.RecordBatch:
+        at, group, salt = (np.concatenate(c) for c in (at, group, salt))
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(salt), pa.array(np.full(len(at), kind, dtype=np.int32)), b.column(key).take(pa.array(at)), b.column("v").take(pa.array(at))], names=["leaf", "salt", "kind", "id", "v"])
+
     def placed(batches):
-        for b in batches:
-            x = _matrix(b.column("v"))
-            if not len(x):
-                continue
-            leaf = forest.value.leaves_of(_unit(x))
-            at = np.repeat(np.arange(len(x)), leaf.shape[1])
-            group = leaf + np.arange(leaf.shape[1]) * 2**depth
-            rep = np.asarray(b.column("rep"))
-            yield pa.RecordBatch.from_arrays([pa.array(group.ravel()), pa.array(np.abs(rep[at]) % salts), pa.array(np.ones(len(at), dtype=np.int32)), pa.array(rep[at]), b.column("v").take(pa.array(at))], names=["leaf", "salt", "kind", "id", "v"])
+        forests, _, base, salts = known.value
+        for b in (b for b in batches if b.num_rows):
+            at, group, salt, rep = [], [], [], np.asarray(b.column("rep"))
+            for w, rows, x in Lists(b.column("v")).by_width():
+                leaf, own = forests[w].leaves_of(_unit(x)), forests[w]
+                group.append((leaf + np.arange(own.trees) * 2**own.depth + base[w]).ravel())
+                at.append(np.repeat(rows, own.trees))
+                salt.append(np.abs(rep[at[-1]]) % salts[w])
+            yield met_at(b, "rep", at, group, salt, 1)
 
     def visited(batches):
-        for b in batches:
-            x = _matrix(b.column("v"))
-            if not len(x):
-                continue
-            got = [(i, t * 2**depth + n) for i, q in enumerate(_unit(x)) for t, n in forest.value.visit(q, leaves)]
-            at, group = (np.array(c) for c in zip(*got))
-            at, group, salt = np.repeat(at, salts), np.repeat(group, salts), np.tile(np.arange(salts), len(group))
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(salt), pa.array(np.zeros(len(at), dtype=np.int32)), b.column("qid").take(pa.array(at)), b.column("v").take(pa.array(at))], names=["leaf", "salt", "kind", "id", "v"])
+        forests, taken, base, salts = known.value
+        for b in (b for b in batches if b.num_rows):
+            at, group, salt = [], [], []
+            for w, rows, x in Lists(b.column("v")).by_width():
+                if w not in forests:
+                    continue
+                own, n = forests[w], salts[w]
+                for i, q in zip(rows.tolist(), _unit(x)):
+                    got = np.array([t * 2**own.depth + leaf for (t, leaf), _ in zip(own.visit(q), range(taken[w]))]) + base[w]
+                    at.append(np.full(len(got) * n, i))
+                    group.append(np.repeat(got, n))
+                    salt.append(np.tile(np.arange(n), len(got)))
+            if at:
+                yield met_at(b, "qid", at, group, salt, 0)
 
     placed_schema = "leaf bigint, salt bigint, kind int, id bigint, v array<double>"
     met = distinct.select("rep", "v").mapInArrow(placed, placed_schema).union(asked.mapInArrow(visited, placed_schema))
@@ -169,28 +274,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREE
         for t in tables:
             t = t.combine_chunks()
             leaf, salt, kind, ids = (np.asarray(t.column(c)) for c in ("leaf", "salt", "kind", "id"))
-            x = _unit(np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, width))
-            cuts = starts_of(leaf, salt)
-            out = []
+            lists, cuts = Lists(t.column("v")), starts_of(leaf, salt)
+            q, v, s = ([np.zeros(0, dtype=d)] for d in (np.int64, np.int64, np.float64))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 split = a + int(np.searchsorted(kind[a:b], 1))
+                m = min(k + 1, b - split)
+                if split == a or not m:
+                    continue
+                x = _unit(lists.matrix(split, b))
                 for c in range(a, split, 256):
-                    d = min(c + 256, split)
-                    scores = x[c:d] @ x[split:b].T
-                    m = min(k + 1, b - split)
-                    if not m:
-                        continue
+                    scores = _unit(lists.matrix(c, min(c + 256, split))) @ x.T
                     least = np.partition(scores, scores.shape[1] - m, axis=1)[:, -m]
                     i, j = np.nonzero(scores >= least[:, None] - 1e-9)
-                    out.append((ids[c + i], ids[split + j]))
-            q, v = (np.concatenate(y) if out else np.zeros(0, dtype=np.int64) for y in (zip(*out) if out else ((), ())))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64())], names=["qid", "rep"])
-
-    near = sorted_groups(met, ["leaf", "salt"], ["kind"], ranked, "qid bigint, rep bigint").distinct()
+                    q.append(ids[c + i])
+                    v.append(ids[split + j])
+                    s.append(scores[i, j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (q, v, s)], names=["qid", "rep", "s"])
+
+    near = sorted_groups(met, ["leaf", "salt"], ["kind"], ranked, "qid bigint, rep bigint, s double").groupBy("qid", "rep").agg(F.max("s").alias("s"))
+    # Of a query's bests over its leaves, those that rounding can't put behind the (k + 1)th.
+    own = Window.partitionBy("qid")
+    near = near.withColumn("n", F.row_number().over(own.orderBy(F.desc("s")))).withColumn("least", F.max(F.when(F.col("n") == k + 1, F.col("s"))).over(own)).where("least is null or s >= least - 1e-9")
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     exact = (
-        near.join(asked.select("qid", F.col("v").alias("a")), "qid").join(distinct.select("rep", "ids", F.col("v").alias("b")), "rep")
+        near.select("qid", "rep").join(asked.select("qid", F.col("v").alias("a")), "qid").join(distinct.select("rep", "ids", F.col("v").alias("b")), "rep")
         .select("qid", "ids", (dot / (norm("a") * norm("b"))).alias("score")).select("qid", F.explode("ids").alias("vec_id"), "score")
     )
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))

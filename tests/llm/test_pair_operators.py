@@ -264,7 +264,19 @@ def test_links_join_all_near_fingerprints(spark):
 def test_flips_equal_pairs():
     r = np.random.default_rng(11)
     x = np.unique((np.int64(0x1234567800000000) | r.integers(0, 1 << 14, 900)) ^ np.int64(-(1 << 63)))
-    assert np.array_equal(simhash._by_flips(x, 3), simhash._forest(x, 3)) and np.array_equal(simhash._by_flips(x, 1), simhash._forest(x, 1))
+    assert np.array_equal(simhash._by_flips(x, 3), simhash._by_pairs(x, 3)) and np.array_equal(simhash._by_flips(x, 1), simhash._by_pairs(x, 1))
+
+
+def test_long_lists_are_tallied_by_a_fifth_byte(monkeypatch):
+    r = np.random.default_rng(13)
+    centre = r.integers(0, 1 << 32, 40)
+    x = np.unique(np.int64(0x55AA33CC00000000) | (r.choice(centre, 1500) ^ (1 << r.integers(0, 32, 1500)) ^ (1 << r.integers(0, 32, 1500))))
+    want = simhash._by_pairs(x, 3)
+    assert len(set(want.tolist())) < len(x) / 4
+    for fifth in (4, 10**6):
+        monkeypatch.setattr(simhash, "LONG_LIST", 3)
+        monkeypatch.setattr(simhash, "LONG_FIFTH", fifth)
+        assert np.array_equal(simhash._forest(x, 3), want)
 
 
 def test_simhash_equals_brute_force(spark):
@@ -289,10 +301,39 @@ def test_simhash_equals_brute_force(spark):
             least[c] = min(least.get(c, d), d)
     assert all(x.component_id == least[sets.find(x.fp & (1 << 64) - 1)] for x in got)
     kept = simhash.one_of_each(df)
-    assert kept.schema == df.schema and sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted([(False, v) for v in set(least.values())] + [(True, 0)])
+    assert kept.schema == df.schema and sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted((False, v) for v in least.values())
     assert simhash.components(simhash.fingerprints(df.limit(0))).count() == 0
 
 
+def test_rows_are_told_apart_by_more_than_their_id(spark, monkeypatch):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    text = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    rows = [(5, text[0], "a"), (5, text[1], "b"), (None, text[2], "c"), (None, text[3], "d"), (None, text[3], "d"), (9, text[4], "e"), (9, text[4], "f"), (10, text[4], "e"), (None, text[0], "g"), (11, text[5], None), (11, text[5], None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _row string")
+    kept = collections.Counter((x.doc_id, x.text) for x in simhash.one_of_each(df).collect())
+    assert kept == collections.Counter([(5, text[0]), (5, text[1]), (None, text[2]), (None, text[3]), (9, text[4]), (11, text[5])])
+    item = spark.createDataFrame([(1, " ".join(text[1].split()[10:30]))], "item_id bigint, text string")
+    left = collections.Counter((x.doc_id, x.text) for x in decontam.uncontaminated(df, item).collect())
+    assert left == collections.Counter((d, t) for d, t, _ in rows if t != text[1])
+
+
+def test_heavy_keys_are_sent_to_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(common, "MANY_LINKS", 20)
+    rows = spark.range(300).select(F.when(F.col("id") < 100, 7).otherwise(F.col("id")).alias("k"), "id")
+    named = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k <> 8")
+    got = common.joined(rows, named, "k", "n", 300)
+    assert {(x.k, x.id, x.least) for x in got.collect()} == {(7 if i < 100 else i, i, 0 if i < 100 else i) for i in range(300)}
+    r = random.Random(1)
+    links = [(10_000, k) for k in range(200)] + [(300 + k, 301 + k) for k in range(100)] + [(r.randrange(500, 700), r.randrange(500, 700)) for _ in range(90)]
+    sets = Sets()
+    for a, b in links:
+        if a != b:
+            sets.join(a, b)
+    assert {x.node: x.root for x in common.connected_components(spark.createDataFrame(links, "u bigint, v bigint")).collect()} == {n: sets.find(n) for n in list(sets.up)}
+
+
 # -- decontamination -------------------------------------------------------------------------
 
 
@@ -324,10 +365,11 @@ def test_decontamination_equals_brute_force(spark):
     want = collections.Counter(hits_of(docs, items))
     for got in (decontam.digest(d, b), ):
         assert collections.Counter(tuple(x) for x in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == want
-    parts = decontam.matches(d, b, most=40, detail=False)
+    parts = decontam.matches(d, b, most=40, detail=False)  # some twenty blocks, and items longer than one
+    assert len(list(decontam.read_items(b, 10, 40))) > 8 and len(list(decontam.read_items(b, 10, 12))) > 20
     assert collections.Counter((x.doc_id, x.n_words, sum(x.hit[1::2]) - sum(x.hit[::2]), len(x["items"])) for x in parts.collect()) == collections.Counter(w[:4] for w in want.elements())
     kept = decontam.uncontaminated(d, b)
-    assert kept.schema == d.schema and sorted(x.doc_id for x in kept.collect()) == sorted(w[0] for w in want.elements() if not w[5] and w[0] != 1)
+    assert kept.schema == d.schema and sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted((w[0] is None, w[0] or 0) for w in want.elements() if not w[5])
     assert decontam.digest(d, b.limit(0)).where("contaminated").count() == 0 and decontam.digest(d.limit(0), b).count() == 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -11,6 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: A key is heavy with so many rows at least, and if one in so many rows has it.
+HEAVY_ROWS, HEAVY_KEYS = 1000, 1000
+#: Links from which on hubs are looked for.
+MANY_LINKS = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,11 +33,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is named."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -50,6 +59,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` gave, once nothing reads it any more."""
+    at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if at.isDefined():
+        remove(df.sparkSession, at.get())
+
+
+def joined(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with what ``named`` has for their key, without its column ``n``, the number of rows with that key.
+
+    Keys that at least one in ``HEAVY_KEYS`` of the ``total`` rows have, which can be no more than
+    that many keys, are sent to the rows; the others are shuffled.
+    """
+    heavy = [r[0] for r in named.where(F.col(n) >= max(HEAVY_ROWS, total // HEAVY_KEYS)).select(key).collect()]
+    return split_join(rows, named.drop(n), key, heavy)
+
+
+def split_join(rows: DataFrame, named: DataFrame, key: str, heavy: list) -> DataFrame:
+    """A join in which the few keys ``heavy`` are sent to their rows."""
+    if not heavy:
+        return rows.join(named, key)
+    is_heavy = F.col(key).isin(heavy)
+    return rows.where(is_heavy).join(F.broadcast(named.where(is_heavy)), key).unionByName(rows.where(~is_heavy).join(named.where(~is_heavy), key))
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """The name, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}
@@ -178,22 +212,26 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Components of the links ``(u, v)`` as rows ``(node, root)``; root is the smallest node.
 
     Alternating large-star and small-star: each half round is one min per node (partial
-    aggregates) and one join, so a node with very many links is never gathered.  Roots
-    themselves are included.  Links are cut from their lineage in the shared folder after each round.
+    aggregates) and one join, in which the few hubs' mins are sent to the links, so a node with
+    very many links is never gathered.  Roots themselves are included.  Links are cut from their
+    lineage in the shared folder after each round, and those of the round before deleted.
     """
-    links = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    links, total, seen = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None, None
     for _ in range(most_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        total = links.count() if total is None else total
+        # A node has no more links in the small star than in this one.
+        hubs = [r["u"] for r in both.groupBy("u").count().where(F.col("count") >= max(MANY_LINKS, total // HEAVY_KEYS)).collect()] if total >= MANY_LINKS else []
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = split_join(both.where("v > u"), low, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v"), F.col("m"), F.col("u"))
-        links = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        small = split_join(large, low, "u", hubs).select(F.col("v"), F.col("m"), F.col("u"))
+        before, links = links, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, total = now, now[0]
     else:
         raise RuntimeError("the components have not settled")
     return links.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,34 +1,37 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
 The training texts are indexed shard by shard: a shard is a few megabytes of documents laid
-end to end as one sequence of word positions, with a gap between documents, and its posting
-list for a term holds the positions where the term stands.  Lists are kept for the terms of
-the benchmark, which are all that a lookup can ask for; shards are stored in the shared folder
-and their list lengths summed to corpus frequencies.  To look up a window of benchmark words,
-the lists of its terms are intersected from the rarest to the commonest, each moved by the
-term's offset; what is left are the exact occurrences.  With ``slop`` over zero, windows also
-match where the terms stand in order with at most that many foreign words between them
-(proximity).  Nothing is shuffled but term counts and the matched documents' short rows.
+end to end as one sequence of word positions, and its posting list for a term holds the positions
+where the term stands.  The index holds every word of every text, is stored once in the shared
+folder and serves any benchmark.  To look up a window of benchmark words, the lists of its terms
+are intersected from the rarest in the corpus to the commonest, each moved by the term's offset;
+what is left are the exact occurrences.  With ``slop`` over zero, windows also match where the
+terms stand in order with at most that many foreign words between them (proximity).  Nothing is
+shuffled but term counts and the matched documents' short rows.  A term is known by 64 bits of its hash.
 
 The benchmark is taken in blocks of a bounded number of words (``ITEM_WORDS``), each of which
-is what is broadcast at a time; a benchmark of any size works, at one pass over the stored
-words a block.
-
-Edge cases: null and empty texts have no words; an item of fewer words than a window is one
-window; items without words never match; repeated rows are each reported; item ids that repeat
-are one id; a null item_id matches but is not named.  Without items nothing is hit.
+is what the driver holds and broadcasts at a time; the hits of a block are written to the shared
+folder before the next, and then merged by the rows' numbers, which the stored index holds.  A
+longer item is parted at windows.
+
+Edge cases: null and empty texts have no words; very long texts are a shard of their own; an item
+of fewer words than a window is one window; items without words never match; repeated rows are
+each reported; item ids that repeat are one id; a null item_id matches but is not named; terms
+equally rare are taken in the window's order; without items nothing is hit, and without documents
+there are no rows; other columns are not read, and stay as they are where rows are filtered.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, shared_dir, spread, string_views, table
+from .common import blocks, cut, free_name, shared_dir, spread, string_views, table
 
 #: Bytes of text in a shard.
 SHARD = 4 << 20
@@ -45,21 +48,36 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def term_id(word: bytes) -> int:
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh3_64_digest(word), "little", signed=True)
+
+
 class Lookup:
     """A block of benchmark items: terms, and the windows with the items that hold them."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
-        self.terms: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         of: dict[tuple[int, ...], set] = {}
         for item, words in items:
             if not words:
                 continue
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
+            ids = [number.setdefault(w, len(number)) for w in words]
             for a in range(max(1, len(ids) - window + 1)):
                 of.setdefault(tuple(ids[a : a + window]), set()).add(item)
+        terms = np.array([term_id(w) for w in number], dtype=np.int64)
+        self.number = np.argsort(terms)
+        self.terms = terms[self.number]
         self.windows = list(of)
         self.items = [sorted(x, key=lambda i: (i is None, i or 0)) for x in of.values()]
 
+    def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of a shard's terms stand in the block, and their numbers there."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        has = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, dtype=np.int64)
+        return has, self.number[at[has]]
+
     def rank(self, frequency: np.ndarray) -> None:
         """Order each window's terms from the rarest in the corpus."""
         self.order = [sorted(range(len(w)), key=lambda k: (frequency[w[k]], k)) for w in self.windows]
@@ -109,67 +127,85 @@ class Lookup:
             yield k, np.array(starts), np.array(ends)
 
 
-def read_items(benchmark: DataFrame, most: int = ITEM_WORDS) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """Blocks of items of at most ``most`` words, or one item; each row goes to the driver once, in turn."""
+def read_items(benchmark: DataFrame, window: int = WINDOW, most: int = ITEM_WORDS) -> Iterator[list[tuple[int | None, list[bytes]]]]:
+    """Blocks of items of about ``most`` words; each row goes to the driver once, in turn.  The last may be empty."""
     block, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         words = words_of((r["text"] or "").encode())
-        if block and n + len(words) > most:
-            yield block
-            block, n = [], 0
-        block.append((r["item_id"], words))
-        n += len(words)
+        for a in range(0, max(1, len(words) - window + 1), most):
+            part = words[a : a + most + window - 1]
+            if block and n + len(part) > most:
+                yield block
+                block, n = [], 0
+            block.append((r["item_id"], part))
+            n += len(part)
     yield block
 
 
-_SHARD = "rows array<bigint>, ids array<bigint>, firsts array<int>, n_words array<int>, terms array<int>, sizes array<int>, positions array<int>"
+_COLUMNS = ("rows", "ids", "firsts", "n_words", "terms", "sizes", "positions")
+_SHARD = "rows array<bigint>, ids array<bigint>, firsts array<int>, n_words array<int>, terms array<bigint>, sizes array<int>, positions array<int>"
 
 
-def index(docs: DataFrame, lookup: Lookup, gap: int) -> DataFrame:
-    """Shards of the positional index, one row each."""
-    terms = docs.sparkSession.sparkContext.broadcast(lookup.terms)
+def index(docs: DataFrame) -> DataFrame:
+    """Shards of the positional index of all words, one row each; stored, so that rows keep their numbers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = terms.value.get
         for whole in batches:
             for b in blocks(whole, "text", SHARD):
+                number: dict[bytes, int] = {}
                 firsts, sizes, found, first = [], [], [], 0
                 for text in string_views(b.column("text")):
                     got = words_of(text)
                     firsts.append(first)
                     sizes.append(len(got))
-                    t = np.fromiter((get(w, -1) for w in got), dtype=np.int32, count=len(got))
-                    at = np.flatnonzero(t >= 0)
-                    found.append((t[at], (at + first).astype(np.int32)))
-                    first += len(got) + gap
-                t, at = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(t, kind="stable")
-                kinds, n = np.unique(t, return_counts=True)
-                rows = [b.column("row_id"), b.column("doc_id"), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(kinds.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at[order])]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rows], names=["rows", "ids", "firsts", "n_words", "terms", "sizes", "positions"])
+                    found.append(np.fromiter((number.setdefault(w, len(number)) for w in got), dtype=np.int32, count=len(got)))
+                    first += len(got)
+                t = np.concatenate(found)
+                n = np.bincount(t, minlength=len(number)).astype(np.int32)
+                terms = np.fromiter(map(term_id, number), dtype=np.int64, count=len(number))
+                rows = [b.column("row_id"), b.column("doc_id"), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(terms), pa.array(n), pa.array(np.argsort(t, kind="stable").astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rows], names=list(_COLUMNS))
 
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SHARD)
+    return cut(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SHARD))
 
 
-def _shards(batches) -> Iterator[tuple]:
+def _shards(batches, columns: tuple[str, ...] = _COLUMNS) -> Iterator[tuple]:
     for b in batches:
         for i in range(b.num_rows):
-            yield tuple(b.column(c)[i].values if c in ("rows", "ids") else np.asarray(b.column(c)[i].values) for c in ("rows", "ids", "firsts", "n_words", "terms", "sizes", "positions"))
+            yield tuple(b.column(c)[i].values if c in ("rows", "ids") else np.asarray(b.column(c)[i].values) for c in columns)
 
 
-def _looked_up(shards: DataFrame, lookup: Lookup, slop: int, detail: bool) -> DataFrame:
+def _ranked(shards: DataFrame, lookup: Lookup) -> None:
+    """Order the windows' terms by their frequency in the corpus; one row for each term of the block, whatever the corpus holds."""
     known = shards.sparkSession.sparkContext.broadcast(lookup)
 
+    def run(batches):
+        total = np.zeros(len(known.value.terms), dtype=np.int64)
+        for terms, sizes in _shards(batches, ("terms", "sizes")):
+            has, t = known.value.known(terms)
+            total[t] += sizes[has]
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(total[t])], names=["t", "n"])
+
+    frequency = np.zeros(max(1, len(lookup.terms)), dtype=np.int64)
+    for t, n in shards.select("terms", "sizes").mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n")).collect():
+        frequency[t] = n
+    known.destroy()
+    lookup.rank(frequency)
+
+
+def _looked_up(shards: DataFrame, known, slop: int, detail: bool) -> DataFrame:
     def run(batches):
         of = known.value
         for row_ids, ids, firsts, n_words, terms, sizes, positions in _shards(batches):
             lists: list = [None] * len(of.terms)
-            for t, x in zip(terms.tolist(), np.split(positions.astype(np.int64), np.cumsum(sizes)[:-1])):
-                lists[t] = x
+            ends = np.cumsum(sizes)
+            for i, t in zip(*(x.tolist() for x in of.known(terms))):
+                lists[t] = positions[ends[i] - sizes[i] : ends[i]].astype(np.int64)
             hits: dict[int, list] = {}
-            for k, starts, ends in of.find(lists, slop):
+            for k, starts, stops in of.find(lists, slop):
                 doc = np.searchsorted(firsts, starts, side="right") - 1
-                for d, a, b in zip(doc.tolist(), (starts - firsts[doc]).tolist(), (ends - firsts[doc]).tolist()):
+                for d, a, b in zip(doc.tolist(), (starts - firsts[doc]).tolist(), (stops - firsts[doc]).tolist()):
                     if a >= 0 and b <= n_words[d]:
                         hits.setdefault(d, []).append((a, b, k))
             n = range(len(firsts))
@@ -189,25 +225,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     the ids of the items with a match; ``found`` (if ``detail``) the single matches as
     ``(item_id, start, end, exact)``; row_id tells repeated rows apart.
     """
-    shared_dir(docs.sparkSession)
-    parts = []
-    for block in read_items(benchmark, most):
-        lookup = Lookup(block, window)
-        shards = index(docs, lookup, window + slop + 1).checkpoint(eager=True)
-        frequency = np.zeros(max(1, len(lookup.terms)), dtype=np.int64)
-        # One row for each term of the block, whatever the corpus holds.
-        for t, n in shards.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x")).groupBy("x.terms").agg(F.sum("x.sizes")).collect():
-            frequency[t] = n
-        lookup.rank(frequency)
-        parts.append(_looked_up(shards, lookup, slop, detail))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.union(x)
-    merged = every.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("found")).alias("found"),
+    spark = docs.sparkSession
+    shards, folder = index(docs), f"{shared_dir(spark)}/decontam-{uuid.uuid4().hex}"
+    blocks_ = read_items(benchmark, window, most)
+    block, n = next(blocks_), 0
+    while block is not None:
+        lookup, block = Lookup(block, window), next(blocks_, None)
+        _ranked(shards, lookup)
+        known = spark.sparkContext.broadcast(lookup)
+        got = _looked_up(shards, known, slop, detail)
+        if block is None and not n:
+            return got
+        got.where("size(hit) > 0").write.parquet(f"{folder}/block={n}")
+        known.destroy()
+        n += 1
+    found = spark.read.schema(got.schema).parquet(folder).groupBy("row_id").agg(
+        F.flatten(F.collect_list("hit")).alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("found")).alias("found")
     )
 
     def run(batches):
@@ -215,7 +248,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             hit = [_merged(zip(h[::2], h[1::2])) for h in b.column("hit").to_pylist()]
             yield b.set_column(b.schema.get_field_index("hit"), pa.field("hit", pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.int64())))
 
-    return merged.mapInArrow(run, merged.schema)
+    merged = found.mapInArrow(run, found.schema)
+    rows = shards.select(F.explode(F.arrays_zip(F.col("rows").alias("row_id"), F.col("ids").alias("doc_id"), "n_words")).alias("x")).select("x.row_id", "x.doc_id", F.col("x.n_words").cast("long").alias("n_words"))
+    none = [F.coalesce(c, F.array().cast(got.schema[c].dataType)).alias(c) for c in ("hit", "items", "found")]
+    return rows.join(merged, "row_id", "left").select("row_id", "doc_id", "n_words", *none)
 
 
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("exact", pa.bool_())]))
@@ -248,19 +284,15 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows without any benchmark window, all columns as they were.
+    """The rows whose text holds no benchmark window, all columns as they were.
 
-    The ids of contaminated documents are few against the corpus; the anti-join lets Spark
-    choose by their measured size.  Rows without doc_id are looked at by text alone.
+    Rows go by their text, known by 64 bits of its hash, whatever their ids.  Contaminated texts
+    are few against the corpus; the anti-join lets Spark choose by their measured size.
     """
-    bad = matches(docs, benchmark, window, detail=False).where("size(hit) > 0")
-    kept = docs.join(bad.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").select(docs.columns)
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return kept
-    keyed = nameless.withColumn("doc_id", F.xxhash64("text"))
-    bad = matches(keyed, benchmark, window, detail=False).where("size(hit) > 0").select("doc_id").distinct()
-    return kept.union(keyed.join(bad, "doc_id", "left_anti").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).select(docs.columns))
+    said = free_name("_said", docs.columns)
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text is not null")
+    bad = matches(keyed, benchmark, window, detail=False).where("size(hit) > 0").select(F.col("doc_id").alias(said)).distinct()
+    return docs.withColumn(said, F.xxhash64("text")).join(bad, said, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

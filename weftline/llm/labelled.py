@@ -16,7 +16,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     """``(doc_id, text, y)`` of at most ``most`` labelled documents, half of each class at most.
 
     Which ones: those of smallest hash of the id, outside the held-out fold.  Repeated labels
-    of an id count once, by majority (a tie is 1); null ids and labels are left out.
+    of an id count once, by majority (a tie is 1); of texts that repeat an id, that of smallest
+    hash is taken, then the smallest; null ids and labels are left out, null texts are empty.
     """
     ids = (
         labels.select("doc_id", F.col(label).alias("y")).where("doc_id is not null and y is not null")
@@ -24,4 +25,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     )
     chosen = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for y in (0, 1)]
     # Both sides are bounded by ``most`` ids.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").limit(2 * most)
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    return known.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("y").alias("y")).select("doc_id", "t.text", "y")

@@ -11,8 +11,10 @@ similarity as weight.
 
 The labelled sample is bounded (``MOST_LABELLED``), and so is what is broadcast: that many
 vectors of ``RANK`` numbers.  Edge cases: null and empty texts are a zero vector and get the
-share of good labels in the sample; without labels every score is 0.5; one row in, one row out;
-labels, language, source and id are never read for a score.
+share of good labels in the sample; very long texts are read whole; labelled vectors that tie
+for the last of the nearest all vote; without labels every score is 0.5; one row in, one row
+out, repeated rows included, and an empty table gives none; labels, language, source, id and any
+other columns are never read for a score.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BLOCK = 4 << 20
 MOST_LABELLED = 3_000
 RANK = 48
 NEIGHBOURS = 15
+#: Similarities that differ by no more are equal.
+TIE = 1e-12
 #: Words looked at together for the share of distinct ones.
 WINDOW = 4096
 
@@ -106,10 +110,9 @@ class Space:
             v = self.project(np.stack([terms(t) for t in texts[a : a + 512]]))
             near = v @ self.vectors.T
             k = min(neighbours, near.shape[1])
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** 4
-            total = w.sum(axis=1)
-            voted = (w * self.labels[at]).sum(axis=1)
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
+            w = np.where(near >= least - TIE, np.maximum(near, 0) ** 2, 0) ** 2
+            total, voted = w.sum(axis=1), w @ self.labels
             out[a : a + 512] = np.where(total > 0, voted / np.where(total > 0, total, 1), self.labels.mean())
         return out
 

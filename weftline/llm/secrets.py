@@ -94,7 +94,7 @@ def features(left: str, said: str, right: str, path: str) -> list[float]:
     words = [w.lower() for w in re.findall(r"[A-Za-z]+[0-9]*", left[-BESIDE:])]
     near, far = words[-1:], words[-4:]
     return [
-        min(n, 400), *share, sum(c in "0123456789abcdefABCDEF" for c in said) / n, changes, cases, entropy, entropy / math.log2(n + 1), rare,
+        n, *share, sum(c in "0123456789abcdefABCDEF" for c in said) / n, changes, cases, entropy, entropy / math.log2(n + 1), rare,
         covered, max(map(len, re.findall(r"[A-Za-z]*", said))), max(map(len, re.findall(r"[0-9]*", said))), len(set(said)) / n,
         float(any(p in low for p in PLACEHOLDERS)), float(any(w in FOR for w in near)), float(sum(w in FOR for w in far)), float(sum(w in AGAINST for w in far)),
         float(left[-1:] in "\"'" and left != ""), float(bool(re.search(r"[=:]\s*[\"']?$", left))), float(any(p in path.lower() for p in HARMLESS_PATHS)),

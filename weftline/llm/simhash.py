@@ -6,12 +6,18 @@ bytes.  Posting lists of single bytes would hold a 256th of the corpus each, so
 kept by four positional bytes at once: of the 14 quadruples of the Steiner system S(3,4,8)
 every five positions contain one, so each such pair meets in at least one list, whatever bits
 differ.  In a list the shared positional bytes of the pairs are tallied, pairs under five are
-dropped, and the rest are verified by their differing bits.  A list reports links enough to
-join its members (a spanning forest), never all pairs, and equal fingerprints are one member.
-
-Edge cases: null and empty texts have fingerprint zero and are linked like any other; fewer
-words than a shingle are one shingle; repeated rows and ids are all kept; rows without doc_id
-take part, but cannot name a component unless all its rows lack one.
+dropped, and the rest are verified by their differing bits.  In a long list the tally goes by a fifth
+byte: its members are listed once more under each of the other positions, and members that meet
+there share five.  Where such a list is long as well, verification looks up each member with up to
+three flipped bits, of at most 24 that can differ, instead of comparing pairs, so that work is linear
+in the members; the links are the same.  A list reports links enough to join its members (a
+spanning forest), never all pairs, and equal fingerprints are one member.
+
+Edge cases: null and empty texts have fingerprint zero and are linked like any other; very long
+texts are read whole; fewer words than a shingle are one shingle; repeated rows and ids are all
+kept; rows without doc_id take part, but cannot name a component unless all its rows lack one; of
+equal ids in a group any names it; an empty table gives an empty result; other columns are not
+read, and stay as they are where rows are filtered.
 """
 
 from __future__ import annotations
@@ -21,15 +27,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import blocks, connected_components, cut, free_name, local_components, sorted_groups, spread, starts_of, string_views, table
+from .common import blocks, connected_components, cut, free_name, joined, local_components, sorted_groups, spread, starts_of, string_views, table
 
 BLOCK = 4 << 20
 #: Words in a shingle, seed of the hash, and bits that may differ (given by the query).
 SHINGLE, SEED, BITS = 3, 42, 3
-#: Members of a list from which on flips are looked up instead of comparing pairs; both give the same links.
-LONG_LIST = 150_000
+#: Members of a list from which on they are listed by a fifth byte, and from which on flips are looked up.
+LONG_LIST, LONG_FIFTH = 2_048, 8_192
 #: Positional bytes that a pair within BITS shares at least.
 LEAST_SHARED = 8 - BITS
 
@@ -70,15 +76,17 @@ def fingerprint(text: bytes) -> int:
     return out - (1 << 64) if out >> 63 else out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of each text."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """``(doc_id, *more, fp)`` of each text."""
+    rows = docs.select(F.col("doc_id").cast("long"), *more, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in blocks(whole, "text", BLOCK):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t) for t in string_views(b.column("text"))], pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *more)), pa.array([fingerprint(t) for t in string_views(b.column("text"))], pa.int64())], names=["doc_id", *more, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
+    return rows.mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -111,10 +119,27 @@ def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return (tally >= 8 - bits) & (np.bitwise_count(x.view(np.uint64)) <= bits)
 
 
-def _forest(x: np.ndarray, bits: int, rows: int = 256) -> np.ndarray:
-    """Smallest index of each member's component within one list, by blocks of rows; of a very long list by flips."""
-    if len(x) > LONG_LIST:
-        return _by_flips(x, bits)
+def _forest(x: np.ndarray, bits: int) -> np.ndarray:
+    """Smallest index of each member's component within one list, whose members share four bytes."""
+    if len(x) <= LONG_LIST:
+        return _by_pairs(x, bits)
+    label, places = np.arange(len(x)), x.view(np.uint8).reshape(-1, 8)
+    for p in range(8):
+        order = np.argsort(places[:, p], kind="stable")  # members stay sorted under each byte
+        cuts = starts_of(places[order, p])
+        if len(cuts) == 2:
+            continue  # one of the four bytes that all share
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = order[a:b]
+            if b - a > 1:
+                root = (_by_flips if b - a > LONG_FIFTH else _by_pairs)(x[own], bits)
+                linked = root != np.arange(b - a)
+                label = local_components(len(x), own[linked], own[root[linked]], label) if linked.any() else label
+    return label
+
+
+def _by_pairs(x: np.ndarray, bits: int, rows: int = 256) -> np.ndarray:
+    """By comparing all pairs, some rows at a time."""
     label = np.arange(len(x))
     for a in range(0, len(x), rows):
         for b in range(0, a + rows, 8192):
@@ -125,10 +150,7 @@ def _forest(x: np.ndarray, bits: int, rows: int = 256) -> np.ndarray:
 
 
 def _by_flips(x: np.ndarray, bits: int) -> np.ndarray:
-    """The same for sorted distinct members, by looking up each with up to ``bits`` flipped bits: linear in the members.
-
-    Members of a list share four bytes, so that at most 32 bits vary: 5,488 flips.
-    """
+    """The same for sorted distinct members that share five bytes: at most 24 bits vary, 2,324 flips."""
     varying = int(np.bitwise_or.reduce(x ^ x[0])) & (1 << 64) - 1
     places = [k for k in range(64) if varying >> k & 1]
     label, every = np.arange(len(x)), np.arange(len(x))
@@ -155,30 +177,47 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _rooted(prints: DataFrame, least, bits: int) -> DataFrame:
+    """``(fp, least, n, root)``: the distinct fingerprints with the least of their rows and their number."""
+    each = prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n"))
+    root = connected_components(links(each.select("fp"), bits)).withColumnRenamed("node", "fp")
+    return cut(each.join(root, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+
+
 def components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """``(doc_id, fp, component_id)``; component_id is the smallest doc_id reachable."""
     prints = cut(prints)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = connected_components(links(least.select("fp"), bits)).withColumnRenamed("node", "fp")
-    by_root = cut(least.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    # A fingerprint may be that of very many rows: its rows are spread over salts.
-    salts = 16
-    named = by_root.join(named, "root").select("fp", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(named, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    by_root = _rooted(prints, "doc_id", bits)
+    rows, different = by_root.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    of_root = by_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = joined(by_root.select("fp", "n", "root"), of_root, "root", "members", different).select("fp", "n", "component_id")
+    return joined(prints, named, "fp", "n", rows).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Of each component the row of smallest doc_id, all columns as they were.
+    """Of each component one row, all columns as they were: that of smallest doc_id.
 
-    Of rows that repeat that id, one; rows without doc_id stay.
+    Rows without doc_id come last; of rows of one id, which may stand in different components, the
+    one whose row hashes smallest is taken; of rows equal in all columns, one.
     """
-    kept = components(fingerprints(docs), bits).where("doc_id = component_id").select("doc_id").distinct()
-    ranked = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    nth = free_name("_nth", docs.columns)
-    once = ranked.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(nth) == 1)
-    return once.select(docs.columns).union(docs.where("doc_id is null"))
+    row = free_name("_row", docs.columns)
+    hashable = [c for c, kind in docs.dtypes if not kind.startswith("map<")]
+    nulls = F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in hashable))
+    keyed = docs.withColumn(row, F.xxhash64(nulls, *(F.col(f"`{c}`") for c in hashable)))
+    prints = cut(fingerprints(keyed, row))
+    by_root = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row), bits)
+    kept = by_root.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", f"k.{row}")
+    repeated = prints.groupBy("doc_id", row).count().where("count > 1")
+
+    def taken(keys: DataFrame) -> DataFrame:
+        own = F.col("own.doc_id").cast("long").eqNullSafe(F.col("keys.doc_id")) & (F.col(f"own.{row}") == F.col(f"keys.{row}"))
+        return keyed.alias("own").join(keys.alias("keys"), own, "left_semi")
+
+    if repeated.isEmpty():
+        return taken(kept).drop(row)
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{row}") == F.col(f"b.{row}"))
+    once, often = (kept.alias("a").join(repeated.alias("b"), same, how) for how in ("left_anti", "left_semi"))
+    return taken(once).unionByName(taken(often).dropDuplicates(["doc_id", row])).drop(row)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

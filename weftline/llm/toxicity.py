@@ -10,11 +10,14 @@ turned into a score by a logistic curve.
 The lexicon is learned from labelled texts: document frequencies by class over words and
 stems, smoothed log odds as weights, and entries only where the class is almost pure and the
 word stands after several different words, so that copies of one text cannot add theirs.
-The exceptions are fixed; none is learned from clean texts.  Without
-labels of both classes only the starting lexicon is used.
-
-Edge cases: null and empty texts have no hits and the lowest score; one row in, one row out;
-labels, language, source and id are never read for a score.
+How many entries there are is bounded by the sample alone.  The exceptions are fixed; none is
+learned from clean texts.  Without labels of both classes only the starting lexicon is used.
+
+Edge cases: null and empty texts have no hits and the lowest score; very long texts are scored
+whole; one row in, one row out, repeated rows included, and an empty table gives none; of
+entries that begin a word, the one of greatest weight counts, of equal weights either; labels,
+language, source, id and any other columns are never read for a score, and stay as they are
+where rows are filtered.
 """
 
 from __future__ import annotations
@@ -38,8 +41,6 @@ BLOCK = 4 << 20
 COUNTED = 1 << 20
 #: Labelled documents learned from, at most.
 MOST_LABELLED = 12_000
-#: Entries of a learned lexicon, at most: the heaviest by support.
-MOST_ENTRIES = 4_000
 STEMS = range(4, 8)
 
 #: Look-alikes of Latin letters (fixed values).
@@ -179,7 +180,6 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexi
         .groupBy("term").agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("bad"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("good"), F.count(F.when(F.col("kind") == 2, 1)).alias("contexts"))
         .withColumn("weight", F.log((F.col("bad") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1.0)))
         .where("bad >= 5 and contexts >= 4 and bad >= 20 * good and contexts * 2 >= bad and weight > 1.5")
-        .orderBy(F.desc("bad"), "term").limit(MOST_ENTRIES)
     )
     weights = _pruned([(r["term"], r["bad"], r["weight"]) for r in by_term.select("term", "bad", "weight").collect()])
     lexicon = Lexicon(weights)

@@ -8,18 +8,23 @@ probes the indexes of its own length and of the lengths down to ``EDITS`` below
 substrings whose place allows a match.  Lines that meet in an index are verified by trimming
 what both ends share and a banded bit-parallel edit distance.
 
-Scale: index entries and probes are 16 bytes and are shuffled once; entries that meet nothing
+Scale: index entries and probes are 16 bytes and are shuffled once, a line's once a task, however
+often the line stands in it (``KNOWN`` lines are remembered at a time); entries that meet nothing
 go at once.  Only lines that meet another are fetched again as text, known by a bit filter of
 fixed size.  Equal lines are one line throughout.  An index list with very many lines is walked
 with histograms of characters before any pair is verified, pairs already in one class are
 skipped, and it reports at most one link a line, which is enough for the classes.  Where links
-are counted, every pair that meets is verified, once, in its list; only counts leave it.  A line is known by 64 bits of its hash.
+are counted, every pair that meets is verified, once, in its list; only counts leave it.  Lines and
+classes with very many members are sent to their rows.  A line is known by 64 bits of its hash.
 
 Edge cases: lines are compared after trimming white space; those of fewer than ``LEAST_CHARS``
 characters, which have no segments and are all within the distance of each other, are one class
 only with their equals; empty lines always stay; null text stays null; empty texts
-stay empty; rows equal in doc_id and text are treated alike; rows without doc_id come last in
-order.  All rows stay, in all other columns as they were; ``n_chars``, if there, is counted anew.
+stay empty; very long texts and lines are taken whole; rows equal in doc_id and text are treated
+alike, so that of a line that stands first in several such rows each keeps it; of lines at the same
+place of texts of one id, that of the text of smaller hash is first; rows without doc_id come last
+in order; an empty table gives an empty result.  All rows stay, in all other columns, whatever their
+names, as they were; ``n_chars``, if there, is counted anew.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, connected_components, cut, free_name, sorted_groups, spread, starts_of, table
+from .common import blocks, connected_components, cut, forget, free_name, joined, sorted_groups, spread, starts_of, table
 
 BLOCK = 1 << 20
 EDITS = 2
@@ -40,6 +45,8 @@ EDITS = 2
 LEAST_CHARS = EDITS + 1
 #: Bits of the filter that tells which lines are fetched.
 FILTER_BITS = 1 << 25
+#: Lines a task remembers as seen.
+KNOWN = 1 << 19
 #: Pairs of lines taken at a time where links are counted, and the longest lines compared all at once.
 PAIRS = 1 << 17
 SHORT = 32
@@ -165,23 +172,26 @@ def within(a: str, b: str, k: int) -> bool:
     return far <= k
 
 
-def _eligible(batch: pa.RecordBatch) -> dict[int, str]:
-    """The distinct lines of a block that take part."""
-    found = {x for t in batch.column("text").to_pylist() for x in map(str.strip, split(t)) if len(x) >= LEAST_CHARS}
-    return {line_id(x): x for x in found}
+def _fresh(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[int, str]]:
+    """The distinct lines that take part, block by block; those remembered from earlier blocks are left out."""
+    seen: set[int] = set()
+    for whole in batches:
+        for b in blocks(whole, "text", BLOCK):
+            found = {x for t in b.column("text").to_pylist() for x in map(str.strip, split(t)) if len(x) >= LEAST_CHARS}
+            known = {i: x for x in found if (i := line_id(x)) not in seen}
+            if len(seen) + len(known) > KNOWN:
+                seen.clear()
+            seen.update(known)
+            if known:
+                yield known
 
 
 def _entered(edits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in blocks(whole, "text", BLOCK):
-                known = _eligible(b)
-                if not known:
-                    continue
-                ids = np.fromiter(known, dtype=np.int64, count=len(known))
-                for role, rows, keys in entries(list(known.values()), edits):
-                    # The last bit of an id gives way to the role, so that an entry is two numbers.
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[rows]), pa.array(np.full(len(rows), role, dtype=np.int8))], names=["key", "line", "role"])
+        for known in _fresh(batches):
+            ids = np.fromiter(known, dtype=np.int64, count=len(known))
+            for role, rows, keys in entries(list(known.values()), edits):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[rows]), pa.array(np.full(len(rows), role, dtype=np.int8))], names=["key", "line", "role"])
 
     return run
 
@@ -360,28 +370,34 @@ def classes(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> tuple
     known = docs.sparkSession.sparkContext.broadcast(_bits(met))
 
     def fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in blocks(whole, "text", BLOCK):
-                lines = _eligible(b)
-                ids = np.fromiter(lines, dtype=np.int64, count=len(lines))
-                slot = ids % FILTER_BITS
-                kept = np.flatnonzero(known.value[slot >> 6] >> (slot & 63) & 1)
-                said = list(lines.values())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([said[i] for i in kept], pa.string())], names=["line", "text"])
+        for lines in _fresh(batches):
+            ids = np.fromiter(lines, dtype=np.int64, count=len(lines))
+            slot = ids % FILTER_BITS
+            kept = np.flatnonzero(known.value[slot >> 6] >> (slot & 63) & 1)
+            said = list(lines.values())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([said[i] for i in kept], pa.string())], names=["line", "text"])
 
     lines = texts.mapInArrow(fetched, "line bigint, text string")
-    once = sorted_groups(lines, ["line"], [], _first_of, "line bigint, text string")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = lines.repartition(n, "line").sortWithinPartitions("line").mapInArrow(_first_of, "line bigint, text string")
     pairs = sorted_groups(met.join(once, "line"), ["key"], [], _verified(edits, counted), "u bigint, v bigint, n bigint")
+    pairs = cut(pairs)
+    forget(met)
     if not counted:
         return connected_components(pairs), None
-    pairs = cut(pairs)
     return connected_components(pairs), pairs.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
 
 
-def _first_of(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-    for t in tables:
-        first = starts_of(np.asarray(t.column("line")))[:-1]
-        yield from t.take(pa.array(first)).combine_chunks().to_batches()
+def _first_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each line, of rows sorted by line."""
+    last = None
+    for b in batches:
+        line = np.asarray(b.column("line"))
+        first = starts_of(line)[:-1]
+        if len(first) and line[0] == last:
+            first = first[1:]
+        last = line[-1] if len(line) else last
+        yield b.take(pa.array(first))
 
 
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +422,7 @@ def placed(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> DataFr
     """
     roots, links = classes(docs, edits, counted)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("said"), "text").where("text is not null")
-    occurrences = keyed.mapInArrow(_occurrences, "doc bigint, said bigint, place int, line bigint")
+    occurrences = cut(keyed.mapInArrow(_occurrences, "doc bigint, said bigint, place int, line bigint"))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "said", "place")
     by_line = occurrences.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     with_class = by_line.join(roots, by_line["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("class"), F.col("root").isNotNull().alias("near"))
@@ -414,11 +430,12 @@ def placed(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> DataFr
     if counted:
         several = several.join(links, several["line"] == links["node"], "left").drop("node").fillna(0, ["links"])
     several = cut(several)
-    of_class = several.groupBy("class").agg(F.min("first").alias("kept"))
+    lines, rows = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    of_class = several.groupBy("class").agg(F.min("first").alias("kept"), F.count("*").alias("members"))
     more = ["class", "links"] if counted else []
-    kept = several.join(of_class, "class").select("line", *more, F.col("kept.doc").alias("k_doc"), F.col("kept.said").alias("k_said"), F.col("kept.place").alias("k_place"))
+    kept = joined(several, of_class, "class", "members", lines).select("line", "n", *more, F.col("kept.doc").alias("k_doc"), F.col("kept.said").alias("k_said"), F.col("kept.place").alias("k_place"))
     goes = ~(F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("said") == F.col("k_said")) & (F.col("place") == F.col("k_place")))
-    met = occurrences.join(kept, "line")
+    met = joined(occurrences, kept, "line", "n", rows)
     each = F.struct("place", F.col("k_doc").alias("doc"), F.col("k_place").alias("first"), *([goes.alias("goes"), *more] if counted else []))
     return (met if counted else met.where(goes)).select("doc", "said", each.alias("p")).distinct().groupBy("doc", "said").agg(F.sort_array(F.collect_list("p")).alias("places"))
 

@@ -72,7 +72,7 @@ def test_escape_is_reversible():
         got = chat.locate(chat.plain_template, [(s, s), ("assistant", s)])
         assert not got.rewrites_history
         assert [chat.unescape(got.output[x.text_start : x.text_end]) for x in got.spans] == [s, s]
-        assert [chat.role_of(got.output[x.start : x.end]) for x in got.spans] == [s, "assistant"]
+        assert [chat.role_of(got.output[x.start : x.text_start]) for x in got.spans] == [s, "assistant"]
 
 
 def test_rewriting_templates_are_noticed():
@@ -83,6 +83,55 @@ def test_rewriting_templates_are_noticed():
     assert chat.locate(only_last, [("u", "x"), ("a", "y")]).rewrites_history
 
 
+def templates():
+    """Made in a function, so that workers get them by value."""
+
+    def by_lines(turns):
+        return "".join(f"[{r}]{t}\n" for r, t in turns)
+
+    def repeats_system(turns):
+        out, system = "", ""
+        for r, t in turns:
+            system = t if r == "system" else system
+            out += f"<<{system}>>{r}: {t}\n"
+        return out
+
+    def system_step(state, role, text):
+        state = text if role == "system" else state or ""
+        return state, f"<<{state}>>{role}: {text}\n"
+
+    return {
+        "repeats": chat.Template(repeats_system),
+        "repeats_in_steps": chat.Template(repeats_system, system_step),
+        "rewrites": chat.Template(lambda turns: f"{len(turns)} turns\n" + by_lines(turns)),
+        "trims": chat.Template(lambda turns: "<s>" + by_lines([(r, t.strip()) for r, t in turns])),
+        "keeps_backslashes": chat.Template(by_lines),
+        "drops_system": chat.Template(lambda turns: by_lines([x for x in turns if x[0] != "system"])),
+        "reads_roles": chat.Template(by_lines, role=lambda head: head[1:-1].lower()),
+        "wrong_steps": chat.Template(lambda turns: f"{len(turns)}" + by_lines(turns), lambda s, r, t: (None, by_lines([(r, t)]))),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(set(templates()) - {"wrong_steps"}))
+def test_any_template(spark, name):
+    template = templates()[name]
+    turns = [("system", " be kind "), *[("assistant" if k % 2 else "User" if name == "reads_roles" else "user", f" text \\{k}\\n ") for k in range(300)]]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.digest(df, template).collect()[0]
+    want = [(r, "" if name == "drops_system" and r == "system" else t.strip() if name == "trims" else t) for r, t in turns]
+    want = [(r.lower(), t) for r, t in want] if name == "reads_roles" else want
+    loss = "".join(t for r, t in want if r == "assistant")
+    assert got.n_turns == 301 and got.formatted_chars == len(template.render(turns)) and got.rewrites_history == (name == "rewrites")
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got.loss_chars == len(loss)
+
+
+def test_steps_are_held_against_the_whole(spark):
+    df = spark.createDataFrame([(1, k, "user", "x") for k in range(9)], "conv_id bigint, turn bigint, role string, text string")
+    with pytest.raises(Exception, match="not what it renders"):
+        chat.digest(df, templates()["wrong_steps"]).collect()
+
+
 def test_chat_digest(spark):
     r = random.Random(3)
     turns = [(c, t, r.choice(["user", "assistant", "system"]), r.choice([None, "", "hi\n", "### user:\n", "\\", "</turn>", "tücke 😀"])) for c in [*range(20), None] for t in range(r.randrange(1, 9))]

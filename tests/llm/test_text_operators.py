@@ -1,8 +1,12 @@
 """Operators that take a text at a time, against brute force, round trips and held-out labels."""
 
 import hashlib
+import math
 import os
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -194,9 +198,217 @@ def test_extract_table(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+class Plain(HTMLParser):
+    """A page as nested lists ``[tag, kind, children]``, read by another parser, for a plain walk over the same rules."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.root = ["#", extract.KEPT, []]
+        self.open, self.raw = [self.root], 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in extract.RAW:
+            self.raw += 1
+        if tag in extract.VOID or self.raw:
+            if tag == "br":
+                self.open[-1][2].append(" ")
+            return
+        if tag in extract.BLOCKS:
+            for k in range(len(self.open) - 1, 0, -1):
+                t = self.open[k][0]
+                if t == "p" or tag in extract.ENDS.get(t, ()) or t in extract.HEADINGS and tag in extract.HEADINGS:
+                    del self.open[k:]
+                    break
+                if t in extract.SCOPES:
+                    break
+        node = [tag, extract._kind(tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs)), []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if tag in extract.RAW:
+            self.raw = max(0, self.raw - 1)
+            return
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, said):
+        if not self.raw:
+            self.open[-1][2].append(said)
+
+    def blocks(self):
+        """``[(path of block nodes, text, characters in links)]`` of the page without what is dropped."""
+        out, run, at = [], [], [[self.root]]
+
+        def flush():
+            said = re.sub(r"\s+", " ", "".join(t for t, _ in run)).strip()
+            if said:
+                out.append((list(at[0]), said, min(len(said), sum(len(t.strip()) for t, link in run if link))))
+            run.clear()
+
+        def walk(node, link):
+            for c in node[2]:
+                if isinstance(c, str):
+                    run.append((c, link))
+                elif c[0] not in extract.BLOCKS:
+                    if c[1] == extract.KEPT:
+                        walk(c, link or c[0] == "a")
+                else:
+                    flush()
+                    if c[1] == extract.KEPT:
+                        at[0].append(c)
+                        walk(c, False)
+                        flush()
+                        at[0].pop()
+
+        walk(self.root, False)
+        flush()
+        return out
+
+
+def plain_main_text(html):
+    """Points to parents and grandparents, the best container, its article and siblings, by walking paths."""
+    said = Plain(html).blocks()
+    points, size, link, where = {}, {}, {}, {}
+    for path, text, linked in said:
+        for x in path:
+            size[id(x)], link[id(x)] = size.get(id(x), 0) + len(text), link.get(id(x), 0) + linked
+        for k, x in enumerate(path):
+            where.setdefault(id(x), path[: k + 1])
+        own = path[-1]
+        p = 0.5 if own[0] in extract.HEADINGS else min(len(text) / 100, 3.0) + text.count(",") + (own[0] in extract.PARAGRAPHS)
+        p *= 1 - linked / len(text)
+        home = path[:-1] if own[0] in extract.PARAGRAPHS else path
+        points[id(home[-1])] = points.get(id(home[-1]), 0) + p
+        if len(home) > 2:
+            points[id(home[-2])] = points.get(id(home[-2]), 0) + p / 2
+    score = {x: points.get(x, 0) * (1 - link[x] / size[x]) for x in where}
+    if not score or max(score.values()) <= 0:
+        return "\n".join(t for _, t, _ in said)
+    path = where[max(score, key=lambda x: (round(score[x], 9), -list(where).index(x)))]
+    while len(path) > 2 and path[-1][0] in extract.PARTS:
+        path = path[:-1]
+    for k in range(len(path), 1, -1):
+        if path[k - 1][0] in ("article", "main"):
+            path = path[:k]
+    best = path[-1]
+    assert best[0] in ("article", "main")  # all pages of the tables have one; siblings are tested apart
+    return "\n".join(t for way, t, _ in said if any(x is best for x in way))
+
+
+@needs_data
+def test_tree_scores_equal_a_plain_walk():
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist() if h]
+    assert len(pages) > 200
+    for h in pages:
+        assert extract.main_text(h) == plain_main_text(h)
+
+
+def test_inline_adverts_go_and_names_can_be_spared():
+    assert extract.main_text('<article><h1>T</h1><p>Real <span class="ad">BUY</span>words, <a class="share" href=x>Share <b>it</b></a>end.<span hidden>x</span></p></article>') == "T\nReal words, end."
+    assert extract.main_text('<div><p>a, b, c <span class=advert>x <div>y</div><span>z</span> q</span>d</p></div>').startswith("a, b, c")
+    own = '<h1>T</h1><p>Real words, and more of them, in a row.</p>'
+    want = "T\nReal words, and more of them, in a row."
+    assert extract.main_text(f'<div class="story reply">{own}</div><div class="comments"><p>no</p></div>') == want
+    assert extract.main_text(f'<div class="social"><div>{own}</div></div><nav>n</nav>') == want
+    assert extract.main_text(f'<article>{own}</article><section id="comments">{"<p>Much, much, more, than the page.</p>" * 9}</section>') == want
+    assert extract.main_text('<div class="comments"><p>only, these</p></div>') == ""
+
+
+def test_short_siblings_and_formulas_stay():
+    body = "<div><p>Real words, and more of them, in a row, and on, and on.</p><p>Real words, and more, a, b, c, d.</p></div>"
+    got = extract.main_text(f'<body><h1>Title</h1><p>Intro.</p>{body}<div><p>The end.</p></div><div><a href=x>more</a><a href=y>links</a></div></body>')
+    assert got == "Title\nIntro.\nReal words, and more of them, in a row, and on, and on.\nReal words, and more, a, b, c, d.\nThe end."
+    assert extract.main_text("<article><p>Here, <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "Here, x=1 holds."
+
+
+@pytest.mark.parametrize("body", ["<div>{n}deep, words{m}", "<blockquote><h1>{n}q", "</x></div></p>{n}q", "<span class=ad>{n}q", "<div></section>{n}q", "<li><td>{n}q"])
+def test_time_is_linear_in_depth(body):
+    first, rest = body.split("{n}")
+    began = time.process_time()
+    extract.main_text(first * 50_000 + rest.replace("{m}", "</div>" * 50_000))
+    assert time.process_time() - began < 3
+
+
 # -- classifiers -----------------------------------------------------------------------------
 
 
+def plain_strength(lx, text):
+    """Word by word, without an automaton."""
+    low = toxicity.fold(text or "")
+    spared = [m.span(1) for e in lx.exceptions for m in re.finditer(rf"(?<!\w)(?=({re.escape(e)})(?!\w))", low)]
+    total = 0.0
+    for m in re.finditer(r"\w+", low):
+        hits = [(w, m.start() + len(e.rstrip())) for e, w in lx.weights.items() if m[0] == e[:-1] or not e.endswith(" ") and m[0].startswith(e)]
+        if hits:
+            weight = max(w for w, _ in hits)
+            total += 0 if any(a <= m.start() and end <= b for a, b in spared for w, end in hits if w == weight) else weight
+    return total / (1 + math.log1p(len(text) / 2000)) if total else 0.0
+
+
+@needs_data
+def test_lexicon_equals_naive_matching(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    lx = toxicity.learn(docs, labels)
+    hard = ["the trash can, trash", "circus clown clown", "Idiot_x idiot", "id1ot-proof idiot proof", "clown fishy", "a" * 300_000 + " idiot", ""]
+    texts = hard + [r.text for r in docs.where("length(text) < 20000").orderBy("doc_id").limit(300).collect()]
+    some = toxicity.Lexicon(dict(sorted(lx.weights.items())[:40]) | {k: 3.0 for k in ("idiot ", "clown ", "trash ", "idio")})
+    for lexicon in (some, toxicity.Lexicon(dict(sorted(lx.weights.items())[-40:]))):
+        for t in texts:
+            assert abs(lexicon.strength(t) - plain_strength(lexicon, t)) < 1e-9, t[:80]
+
+
+def test_lexicon_is_bounded_by_the_sample_alone(spark):
+    """More than four thousand entries, all of them found again."""
+    rows, labels = [], []
+    for k in range(300):
+        words = [f"{chr(97 + w % 26)}{chr(97 + w // 26 % 26)}{chr(97 + w // 676)}zz" for w in range((k % 50) * 160, (k % 50) * 160 + 160)]
+        rows += [(2 * k, " ".join(x for n, w in enumerate(words) for x in (f"c{(k * 31 + n * 7) % 997}", w))), (2 * k + 1, " ".join(f"c{n}" for n in range(997)))]
+        labels += [(2 * k, 1), (2 * k + 1, 0)]
+    lx = toxicity.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert len(lx.weights) > 4000
+
+
+def test_quality_space_equals_plain_projection(spark):
+    r = random.Random(9)
+    text = lambda y: " ".join(r.choice(["one", "Two", "3,", "four;", "five-5"] if y else ["x", "yy.", "z!"]) for _ in range(r.randrange(5, 60)))
+    rows = [(k, text(k % 2), k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    space = quality.learn(df, df, rank=6)
+    known = {x.doc_id for x in sample(df, df, "quality", quality.MOST_LABELLED).collect()}
+    a = np.stack([quality.terms(t.encode()) for k, t, _ in rows if k in known])
+    y = np.array([v for k, _, v in rows if k in known])
+    idf = np.log((1 + len(a)) / (1 + (a > 0).sum(axis=0))) + 1
+    _, vectors = np.linalg.eigh((a * idf).T @ (a * idf))
+    onto = vectors[:, -6:] @ vectors[:, -6:].T
+    for t in [text(0), text(1), text(1)]:
+        q = (quality.terms(t.encode()) * idf) @ onto
+        near = ((a * idf) @ onto) @ q / np.linalg.norm((a * idf) @ onto, axis=1) / np.linalg.norm(q)
+        order = np.lexsort((np.arange(len(near)), -np.round(near, 9)))[: quality.NEIGHBOURS]
+        w = np.zeros(len(near))
+        w[order] = np.maximum(near[order], 0) ** 4
+        assert abs(space.scores([t.encode()])[0] - (w @ y) / w.sum()) < 1e-6
+
+
+def test_of_neighbours_that_tie_the_first_vote():
+    space = quality.Space(np.ones(quality.TERMS), np.eye(quality.TERMS), np.zeros((0, 1)), np.array([0.0, 1.0, 1.0, 0.0, 0.0]))
+    space.vectors = space.project(np.stack([quality.terms(t) for t in (b"12", b"ab cd", b"ab cd", b"ab cd", b"ab cd")]))
+    assert [round(space.scores([b"ab cd"], k)[0], 9) for k in (1, 2, 3, 4)] == [1, 1, round(2 / 3, 9), 0.5]
+
+
+def test_texts_of_a_repeated_id_are_chosen_by_rule(spark):
+    docs = spark.createDataFrame([(k, t) for k in range(60) for t in (f"a{k}", f"b{k}", None, f"c{k}")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    first, second = (sorted((x.doc_id, x.text, x.y) for x in sample(d, labels, "toxic", 30).collect()) for d in (docs, docs.repartition(7, "text")))
+    assert first == second and len(first) == len({x[0] for x in first}) == 30
+
+
 def test_folding_and_exceptions():
     lx = toxicity.Lexicon({"idiot ": 3.0, "trash ": 3.0, "vequ": 2.0})
     hits = lambda t: [toxicity.fold(t)[a:b] for a, b, _ in lx.hits(toxicity.fold(t))]
@@ -253,6 +465,39 @@ def test_votes_equal_brute_force():
 # -- secrets ---------------------------------------------------------------------------------
 
 
+def test_forest_equals_a_plain_walk():
+    forest = secrets.learn()
+    for left, said, right, path, _ in secrets.examples(300, seed=78):
+        row, votes = secrets.features(left, said, right, path), []
+        for feature, threshold, low, high, share in forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = low[node] if row[feature[node]] <= threshold[node] else high[node]
+            votes.append(share[node])
+        assert abs(forest.probability(np.array([row]))[0] - sum(votes) / len(votes)) < 1e-12
+
+
+@needs_data
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    """Recall and precision against the form in which secrets stand in the tables, by a pattern of the test's own."""
+    import pyarrow.parquet as pq
+
+    data = DATA.replace("0.01", "0.1") if os.path.isdir(DATA.replace("0.01", "0.1")) else DATA
+    docs = pq.read_table(f"{data}/documents.parquet")
+    forest, want, got = secrets.learn(), set(), set()
+    for d, t, p in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", "source"))):
+        want |= {(d, *m.span(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t or "")}
+        got |= {(d, a, b) for a, b, q in secrets.scan_text(t or "", p or "", forest) if q >= 0.5}
+    assert len(want) >= 10 and len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
+def test_candidates_are_measured_whole():
+    lengths = [secrets.features("", "a1" * n, "", "")[0] for n in (10, 500, 60_000)]
+    assert lengths == [20, 1000, 120_000]
+    text = "x" * 200_000 + ' token = "' + "0123456789abcdef" * 2 + '" ' + "y" * 200_000
+    assert (200_010, 200_042) in secrets.candidates(text)
+
+
 def test_secrets_held_out_and_planted(spark):
     forest = secrets.learn()
     other = secrets.examples(1500, seed=77)

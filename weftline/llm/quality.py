@@ -11,8 +11,8 @@ similarity as weight.
 
 The labelled sample is bounded (``MOST_LABELLED``), and so is what is broadcast: that many
 vectors of ``RANK`` numbers.  Edge cases: null and empty texts are a zero vector and get the
-share of good labels in the sample; very long texts are read whole; labelled vectors that tie
-for the last of the nearest all vote; without labels every score is 0.5; one row in, one row
+share of good labels in the sample; very long texts are read whole; of labelled vectors that tie
+for the last of the nearest those of smaller id vote; without labels every score is 0.5; one row in, one row
 out, repeated rows included, and an empty table gives none; labels, language, source, id and any
 other columns are never read for a score.
 """
@@ -111,9 +111,11 @@ class Space:
             near = v @ self.vectors.T
             k = min(neighbours, near.shape[1])
             least = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
-            w = np.where(near >= least - TIE, np.maximum(near, 0) ** 2, 0) ** 2
+            votes, tied = near > least + TIE, np.abs(near - least) <= TIE
+            votes |= tied & (np.cumsum(tied, axis=1) <= k - votes.sum(axis=1, keepdims=True))
+            w = np.where(votes, np.maximum(near, 0) ** 2, 0) ** 2
             total, voted = w.sum(axis=1), w @ self.labels
-            out[a : a + 512] = np.where(total > 0, voted / np.where(total > 0, total, 1), self.labels.mean())
+            out[a : a + 512] = np.where(total > 0, np.clip(voted / np.where(total > 0, total, 1), 0, 1), self.labels.mean())
         return out
 
 

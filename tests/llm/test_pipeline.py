@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,9 +87,38 @@ def test_stages(spark, tmp_path):
     assert whole == {(r.doc_id, r.n_tokens, r.ids_sha256) for r in frames["bpe"].collect()}
 
 
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[1:]])
+BENCH = "\x00"  # stands for a passage of the benchmark
+
+
+def odd_rows():
+    """``(doc_id, text, names of the stages that drop the row)``; ids repeat on unrelated texts."""
+    r = random.Random(31)
+    fresh = lambda: " ".join("".join(r.choice("bcdfghjklm") + r.choice("aeiou") for _ in range(3)) for _ in range(60))
+    text = [fresh() for _ in range(6)]
+    return [
+        (1, None, ""), (2, "", "simhash_dedup"), (2, "", "simhash_dedup"), (None, "x", ""), (5, text[0], ""), (5, text[1], ""), (5, f"{fresh()} {BENCH} {fresh()}", "decontamination"),
+        (5, "you idiot, you stupid moron, pathetic worthless scum", "toxicity"), (11, text[2], ""), (None, text[2] + " ", "simhash_dedup"), (7, text[3], ""), (8, text[3], "simhash_dedup"), (9, text[4] + "\nabc", ""),
+        (12, text[4] + "\nabd", "simhash_dedup"), (10, text[5] * 700, ""),
+    ]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_empty_and_odd_tables(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
-    df = spark.createDataFrame([(1, None, "en", "a", 0), (None, "x", None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    item = max((x.text or "" for x in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()), key=len)
+    rows = [(d, t and t.replace(BENCH, item), gone) for d, t, gone in odd_rows()]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t or ""), None, "y") for d, t, _ in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, places string")
     assert stage(spark, df.limit(0), DATA).count() == 0
-    assert stage(spark, df, DATA).count() >= 1
+    got = stage(spark, df, DATA)
+    if name == "bpe":
+        want = Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, _ in rows)
+        assert Counter((x.doc_id, x.decoded_sha256) for x in got.collect()) == want
+        return
+    assert got.schema == df.schema
+    left = Counter((x.doc_id, x.text) for x in got.collect())
+    if name == "line_dedup":  # all rows stay; lines are compared without the white space around them
+        cut = lambda d, t: "" if (d, t) in {(8, rows[10][1]), (None, rows[9][1])} else t if d != 12 else ""
+        assert sum(left.values()) == len(rows) and left == Counter((d, cut(d, t)) for d, t, _ in rows)
+    else:
+        assert left == Counter((d, t) for d, t, gone in rows if gone != name)

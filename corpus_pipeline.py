@@ -1,70 +1,5 @@
-"""Five stages that turn raw documents into token digests.
+"""The training-data pipeline: its stages and their run, which live in ``weftline.llm.pipeline``."""
 
-Each stage takes ``(spark, docs, sf_dir)``, works on every row its predecessor kept, and
-returns a DataFrame that is written and read again for the next.  All but the last return the
-columns they were given.
-"""
+from weftline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from weftline.llm import bpe, decontam, linededup, simhash, toxicity
-from weftline.llm.common import remove, shared_dir, table
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon calls toxic go; it is learned from the labelled documents of the corpus."""
-    lexicon = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.without_toxic(docs, lexicon)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or nearly repeat an earlier one are cut out; all documents stay."""
-    return linededup.deduplicated(docs)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
-    return simhash.one_of_each(docs)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents that are left."""
-    import public_tokenizers
-
-    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-STAGES = [
-    ("toxicity", toxicity_stage),
-    ("line_dedup", line_stage),
-    ("simhash_dedup", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("bpe", token_stage),
-]
-
-#: The stages score, verify and encode in ways SQL can't express; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again.
-
-    Of the written tables only the last stays, as the result is computed from it.
-    """
-    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if last:
-            remove(spark, f"{folder}/{last}")
-        last = name
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -1,6 +1,10 @@
 """Literal cases of the rules."""
 
+import base64
+import datetime
 import random
+import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions import rules as R, text as T, urls as U
 from weftline.operators import clusters, dedupe, gates, hamming, merge, palette, sampling
 from weftline.plans.record_queries import png
-from weftline.sources import bundles as B, images as I, markup, pages as P, products as X, rules as XR
+from weftline.sources import bundles as B, images as I, markup, pages as P, pdf, products as X, rules as XR, web
 
 
 def rows(df):
@@ -289,3 +293,90 @@ def test_written_scores(spark, tmp_path):
     scoring.write_results(spark.createDataFrame([("b", "m1", 1.0), ("b", "m2", 2.0), ("b", "m3", None)], "brand string, model string, score double"), str(tmp_path / "s"), "j")
     got = spark.read.json(str(tmp_path / "s")).collect()[0]
     assert [x.model for x in got.ranking_by_weighted_score] == ["m2", "m1"] and len(got.results) == 3
+
+
+def test_median_cut_keeps_few_colours_and_all_pixels():
+    r = np.random.default_rng(3)
+    flat = np.repeat(np.array([[10, 20, 30], [200, 20, 30], [90, 250, 1]], dtype=np.uint8), [5, 70, 300], axis=0)
+    assert sorted(palette.median_cut(flat, 8)) == [(10, 20, 30, 5), (90, 250, 1, 300), (200, 20, 30, 70)]
+    some = r.integers(0, 256, (4000, 3)).astype(np.uint8)
+    for most in (1, 2, 7, 14):
+        got = palette.median_cut(some, most)
+        assert len(got) == most and sum(x[3] for x in got) == 4000
+        mean = sum(np.array(x[:3]) * x[3] for x in got) / 4000
+        assert np.allclose(mean, some.mean(axis=0), atol=0.6)
+    whole = palette.median_cut(np.concatenate([some // 64 * 64, np.zeros((9000, 3), dtype=np.uint8)]), 14)
+    assert max(whole, key=lambda x: x[3])[:3] < (30, 30, 30)
+
+
+def test_palette_from_pictures(spark, tmp_path):
+    for k, c in enumerate([(200, 30, 40), (200, 30, 40), (20, 160, 90)]):
+        (tmp_path / f"{k}.png").write_bytes(png(120, 80 + 40 * k, c))
+    small = I.thumbnails(I.decoded(spark, str(tmp_path)))
+    assert all(x.width <= 96 and x.height <= 96 and len(x.rgb) == 3 * x.width * x.height for x in small.collect())
+    own = small.select(F.lit(1).alias("brand_id"), "url", F.col("url").alias("ord"))
+    got = [(x.r, x.g, x.b) for x in palette.of_thumbnails(small, own).orderBy("rank").collect()]
+    near = lambda a, b: sum(abs(x - y) for x, y in zip(a, b)) < 40
+    assert near(got[0], (200, 30, 40)) and any(near(x, (20, 160, 90)) for x in got)
+
+
+def test_images_for_a_model_are_small_enough(spark, tmp_path):
+    (tmp_path / "wide.png").write_bytes(png(1600, 400, (9, 99, 199)))
+    (tmp_path / "small.png").write_bytes(png(30, 40, (9, 99, 199)))
+    (tmp_path / "no.png").write_bytes(b"nope")
+    got = {x.url.rsplit("/", 1)[-1]: base64.b64decode(x.data_uri.split(",", 1)[1]) for x in I.model_uris(I.decoded(spark, str(tmp_path))).collect()}
+    size = {k: (int.from_bytes(v[16:20], "big"), int.from_bytes(v[20:24], "big")) for k, v in got.items()}
+    assert size == {"wide.png": (768, 192), "small.png": (30, 40)}
+
+
+def test_rules_are_loaded_or_inferred(spark):
+    now = datetime.datetime(2026, 5, 2, 9)
+    old = XR.generic("old.com")
+    stored = XR.table_of(spark, [replace(old, updated_at=now - datetime.timedelta(days=1)), replace(XR.generic("fresh.com"), updated_at=now), replace(XR.generic("unasked.com"), updated_at=now)])
+    wanted = spark.createDataFrame([("old.com",), ("fresh.com",), ("new.com",), ("bare.com",), ("old.com",)], "domain string")
+    product = '<script type="application/ld+json">{"@type":"Product","name":"N","image":"/a.jpg"}</script>'
+    samples = spark.createDataFrame([("old.com", 0, "https://old.com/p/1", product), ("new.com", 0, "https://new.com/", "<p>x</p>"), ("new.com", 1, "https://new.com/p/2", product)], "domain string, ord int, url string, html string")
+
+    def infer(prompt, domain):
+        assert domain in prompt and ("2 pages" in prompt) == (domain == "new.com")
+        return replace(XR.generic("wrong.com"), product_card=XR.CardRule("//div", "//a"))
+
+    used, after = XR.load_or_infer(wanted, stored, samples, infer, now)
+    got = {x.domain: x for x in used.collect()}
+    assert {k: v.origin for k, v in got.items()} == {"old.com": "inferred", "fresh.com": "stored", "new.com": "inferred", "bare.com": "default"}
+    assert len(got["bare.com"].json_sources) == 3 and got["bare.com"].product_card.card_selector == "//div" and len(got["new.com"].json_sources) == 1
+    assert XR.of_row(got["new.com"]).domain == "new.com"
+    assert sorted((x.domain, x.updated_at) for x in after.collect()) == [(d, now) for d in ("bare.com", "fresh.com", "new.com", "old.com", "unasked.com")]
+    again, _ = XR.load_or_infer(wanted, after, samples, infer, now)
+    assert {x.origin for x in again.collect()} == {"stored"}
+    assert "stored" not in {x.origin for x in XR.load_or_infer(wanted, after, samples, infer, now, refresh=True)[0].collect()}
+
+
+def test_pdf_sections(spark):
+    profile = {"summary": "They make things.", "industry": "Goods", "keywords": ["plain", "loud"], "tone": "", "audience_signals": ["young"], "strengths": ["one", "two"]}
+    d = zlib.decompressobj
+    whole = pdf.rendered("Name", ["#112233"], [{"label": "L", "description": "a theme"}], ["a line"], {}, profile)
+    said = b"".join(d().decompress(x.split(b"stream\n", 1)[1]) for x in whole.split(b"endobj") if b"FlateDecode" in x and b"/Image" not in x)
+    for part in (b"Summary", b"They make things.", b"Industry", b"Goods", b"plain \xb7 loud", b"Voice", b"a line", b"Audience", b"young", b"Strategic notes", b"one, two", b"a theme"):
+        assert b"(" + part + b")" in said, part
+    assert b"Visual identity" not in said and b"Tone" not in said
+
+
+def test_store_answers(spark, tmp_path):
+    assert web.store_ready(spark, str(tmp_path)) and not web.store_ready(spark, str(tmp_path / "none"))
+
+
+def test_too_many_rows_of_a_key_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "MOST_WALKED", 3)
+    rows = spark.range(5).select(F.lit(1).alias("brand_id"), F.col("id").alias("ord"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.col("id").alias("phash"))
+    with pytest.raises(Exception, match="5 images of one key"):
+        hamming.greedy(rows, "brand_id").collect()
+
+
+def test_near_hashes_meet_by_pairs_of_bands(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(63) for _ in range(20)]
+    rows = sorted({b ^ sum(1 << k for k in r.sample(range(63), r.randrange(0, 12))) for b in base for _ in range(12)})
+    want = {(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if (a ^ b).bit_count() <= 8}
+    got = hamming.near_pairs(spark.createDataFrame([(x,) for x in rows], "phash bigint")).collect()
+    assert {(x.a, x.b) for x in got} == want and len(got) == len(want) and all(x.bits == (x.a ^ x.b).bit_count() for x in got)

@@ -15,7 +15,7 @@ def representatives(themes: DataFrame, assigned: DataFrame, images: DataFrame, p
 
     For images that stand in one theme at most.  Each theme takes up to ``most`` of its own, products first;
     those under ``least`` are filled in turn from the pool ``(brand_id, pool_ord, url)``: a theme's
-    needs are an interval of the pool, so the filling is one range join.  Themes left
+    needs are places of the pool, so the filling is one equi-join.  Themes left
     empty go only if there are more than ``floor`` themes and at least ``floor`` stay.
     """
     theme = Window.partitionBy("brand_id", "theme_ord")
@@ -29,12 +29,14 @@ def representatives(themes: DataFrame, assigned: DataFrame, images: DataFrame, p
     upto = F.sum("need").over(Window.partitionBy("brand_id").orderBy("theme_ord"))
     spans = need.withColumn("to", upto).withColumn("from", F.col("to") - F.col("need"))
     free = pool.withColumn("p", F.row_number().over(Window.partitionBy("brand_id").orderBy("pool_ord")) - 1).select("brand_id", "p", "url")
-    filled = spans.join(free, "brand_id").where("p >= from and p < to").select("brand_id", "theme_ord", (F.col("n") + F.col("p") - F.col("from") + 1).alias("nth"), "url")
+    # A theme wants a few places of the pool by number: an equi-join on brand and place.
+    wants = spans.where("need > 0").select("brand_id", "theme_ord", "n", "from", F.explode(F.expr("sequence(from, to - 1)")).alias("p"))
+    filled = wants.join(free, ["brand_id", "p"]).select("brand_id", "theme_ord", (F.col("n") + F.col("p") - F.col("from") + 1).alias("nth"), "url")
     picks = own.unionByName(filled)
     left = themes.select("brand_id", "theme_ord").join(picks, ["brand_id", "theme_ord"], "left")
-    brand = Window.partitionBy("brand_id")
-    counted = left.withColumn("_all", F.size(F.collect_set("theme_ord").over(brand))).withColumn("_full", F.size(F.collect_set(F.when(F.col("url").isNotNull(), F.col("theme_ord"))).over(brand)))
-    return counted.where(F.col("url").isNotNull() | (F.col("_all") <= floor) | (F.col("_full") < floor)).drop("_all", "_full")
+    each = left.groupBy("brand_id", "theme_ord").agg(F.max(F.col("url").isNotNull()).alias("full"))
+    stays = each.groupBy("brand_id").agg(F.count("*").alias("_all"), F.count_if("full").alias("_full")).where((F.col("_all") <= floor) | (F.col("_full") < floor)).select("brand_id", F.lit(True).alias("_stays"))
+    return left.join(stays, "brand_id", "left").where(F.col("url").isNotNull() | F.col("_stays")).drop("_stays")
 
 
 def representatives_shared(themes: DataFrame, assigned: DataFrame, images: DataFrame, pool: DataFrame, least: int = LEAST, most: int = MOST, floor: int = FLOOR) -> DataFrame:

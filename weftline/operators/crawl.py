@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls as U
 from .dedupe import first_by, first_few
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+#: Pages of a site that are sampled.
+SAMPLES = 4
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only in local mode, where none is named."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="weftline-"))
+    return sc.getCheckpointDir()
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+def _cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -63,6 +77,34 @@ def sample_pages(links: DataFrame, most_priority: int = 2, most_other: int = 1)
     return ranked.where(F.when(F.col("priority"), F.col("rank") <= most_priority).otherwise(F.col("rank") <= most_other))
 
 
+def sampled(links: DataFrame, seeds: DataFrame, captured: DataFrame, most: int = SAMPLES, most_priority: int = 2, most_other: int = 1) -> DataFrame:
+    """``(site, nth, url)``: the first ``most`` captured pages of each site in the order of a short walk.
+
+    A page that is taken hands on its first links that look like products, and the seed's page its first other
+    ones, to the end of the site's queue; visited ones are passed over.  ``links`` are ``(site, src, pos, dst)``, ``seeds``
+    and ``captured`` ``(site, url)``.  A queue gets a handful of addresses at most, so a site is one
+    row, and each step is one join with the pages' first few links.
+    """
+    steps = 1 + most_other + most_priority * max(0, most - 1)
+    first = links.withColumn("priority", U.is_priority_link(F.col("dst")))
+    first = first_few(first, ["site", "src", "priority"], ["pos"], max(most_priority, most_other) + steps)  # as many may have been visited
+    listed = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, F.struct("rank", "dst")))), lambda x: x["dst"])
+    kids = first.groupBy("site", F.col("src").alias("url")).agg(listed(F.col("priority")).alias("p"), listed(~F.col("priority")).alias("o"))
+    pages = captured.select("site", "url").distinct().join(kids, ["site", "url"], "left")
+    none = F.array().cast("array<string>")
+    state = seeds.groupBy("site").agg(F.array(F.min("url")).alias("queue")).select("site", "queue", none.alias("seen"), none.alias("taken"))
+    for _ in range(steps):
+        head = F.get(F.filter("queue", lambda u: ~F.array_contains(F.col("seen"), u)), F.lit(0))
+        now = state.withColumn("url", F.when(F.size("taken") < most, head)).withColumn("queue", F.filter("queue", lambda u: ~F.array_contains(F.col("seen"), u) & (u != F.col("url"))))
+        met = now.join(pages.withColumn("there", F.lit(True)), ["site", "url"], "left")
+        seen = F.when(F.col("url").isNotNull(), F.array_append("seen", F.col("url"))).otherwise(F.col("seen"))
+        fresh = lambda c, n: F.slice(F.filter(F.coalesce(F.col(c), none), lambda u: ~F.array_contains(F.col("seen"), u)), 1, n)
+        step = met.withColumn("seen", seen).withColumn("added", F.concat(fresh("p", most_priority), F.when(F.size("taken") == 0, fresh("o", most_other)).otherwise(none)))
+        hit = F.coalesce("there", F.lit(False))
+        state = step.select("site", F.when(hit, F.concat("queue", "added")).otherwise(F.col("queue")).alias("queue"), "seen", F.when(hit, F.array_append("taken", F.col("url"))).otherwise(F.col("taken")).alias("taken"))
+    return state.select("site", F.posexplode("taken").alias("nth", "url"))
+
+
 def accepted(candidates: DataFrame, sizes: DataFrame, least_width: int, least_height: int) -> DataFrame:
     """Complete candidates whose image is large enough, one a SKU by order; an image that fails leaves its SKU to the next."""
     from ..functions import rules as R

@@ -41,9 +41,12 @@ def merged_products(products: DataFrame, keys: Names) -> DataFrame:
     Those without SKU stay apart.
     """
     own = F.when(F.col("sku_id").isNull() | (F.col("sku_id") == ""), F.col("ord"))
+    named = F.col("name") != ""
+    each = products.withColumn("_alone", own).withColumn("_url", F.explode_outer("image_urls"))
+    # Collected by set, so that an image is held once in each task and once in the end, however many rows show it.
     return (
-        products.withColumn("_alone", own).groupBy(*keys, "sku_id", "_alone")
-        .agg(F.min("ord").alias("ord"), F.min_by(F.when(F.col("name") != "", F.col("name")), F.when(F.col("name") != "", F.col("ord"))).alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("image_urls")))).alias("image_urls"))
+        each.groupBy(*keys, "sku_id", "_alone")
+        .agg(F.min("ord").alias("ord"), F.min_by(F.when(named, F.col("name")), F.when(named, F.col("ord"))).alias("name"), F.array_sort(F.collect_set("_url")).alias("image_urls"))
         .drop("_alone")
     )
 

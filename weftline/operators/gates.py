@@ -26,15 +26,15 @@ def by_shape(images: DataFrame) -> DataFrame:
 
 
 def prompt_share(vectors: DataFrame, prompts: DataFrame, key: str = "vec_id") -> DataFrame:
-    """``(key, share)``: softmax over the prompts of 100 times the cosine, summed over the positive ones.
+    """``(key, share)``: softmax over the prompts of 100 times the cosine, summed over the positive ones; nothing is shuffled.
 
     Prompts ``(prompt_id, prompt, positive)`` are a list of a few dozen at most, which is checked.
     """
     if prompts.count() > 1000:
         raise ValueError("prompts are a short list")
-    told = prompts.select("positive", F.col("prompt").alias("_p"))
-    sims = vectors.crossJoin(F.broadcast(told)).select(key, "positive", (cosine(F.col("embedding"), F.col("_p")) * SCALE).alias("s"))
-    top = sims.groupBy(key).agg(F.collect_list(F.struct("positive", "s")).alias("x"), F.max("s").alias("m"))
+    told = prompts.agg(F.collect_list(F.struct("positive", F.col("prompt").alias("p"))).alias("told")).scalar()
+    sims = vectors.withColumn("_told", told).select(key, F.transform("_told", lambda t: F.struct(t["positive"].alias("positive"), (cosine(F.col("embedding"), t["p"]) * SCALE).alias("s"))).alias("x"))
+    top = sims.withColumn("m", F.array_max(F.transform("x", lambda e: e["s"])))
     total = lambda keep: F.aggregate("x", F.lit(0.0), lambda acc, e: acc + F.when(keep(e), F.exp(e["s"] - F.col("m"))).otherwise(0.0))
     return top.select(key, (total(lambda e: e["positive"]) / total(lambda e: F.lit(True))).alias("share"))
 

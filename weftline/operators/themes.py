@@ -6,6 +6,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.rules import Rules, shop_defaults
 from . import sampling
 from .dedupe import first_by
 from .gates import cosine
@@ -22,6 +23,9 @@ class Provider(Protocol):
     def assign(self, images: DataFrame, themes: DataFrame) -> DataFrame:
         """``(brand_id, image_ord, theme_ord, similarity)``."""
 
+    def infer(self, prompt: str, domain: str) -> Rules:
+        """Extraction rules of a site, from a prompt with a few of its pages."""
+
 
 class VectorProvider:
     """Evenly spaced images are the themes; an image goes to the nearest one if near enough."""
@@ -29,6 +33,9 @@ class VectorProvider:
     def __init__(self, floor: float = -1.0):
         self.floor = floor
 
+    def infer(self, prompt: str, domain: str) -> Rules:
+        return shop_defaults(domain)
+
     def discover(self, images: DataFrame, target: int = TARGET) -> DataFrame:
         seeds = sampling.even(images, ["brand_id"], ["ord"], target)
         return seeds.select("brand_id", F.col("pick").alias("theme_ord"), F.concat(F.lit("theme "), (F.col("pick") + 1).cast("string")).alias("cluster_label"), F.col("embedding").alias("vector"))

@@ -22,6 +22,13 @@ def assignment(name: Column, url: Column, count: Column, themes: Column) -> Colu
     return F.concat(F.lit("Batch of "), count.cast("string"), F.lit(" images of "), name, F.lit(" ("), F.coalesce(url, F.lit("unknown site")), F.lit(").\nThemes, not to be renamed:\n"), lines, F.lit("\nGive each theme its images (from 1); an image has one theme at most."))
 
 
+def extraction(domain: Column, samples: Column) -> Column:
+    """Asks for extraction rules of a site from a few of its pages ``array<struct<url, page_type, html>>``."""
+    pages = F.transform(samples, lambda s, i: F.concat(F.lit("Page "), (i + 1).cast("string"), F.lit(", "), F.coalesce(s["page_type"], F.lit("other")), F.lit(", "), F.coalesce(s["url"], F.lit("")), F.lit(":\n"), F.coalesce(s["html"], F.lit(""))))
+    asks = "Which embedded data, keys, cards and attributes hold the products' names, style codes and images? Embedded data goes before markup, what several pages share before what one has; a page without products adds nothing.\n"
+    return F.concat(F.lit("Rules to read products from "), domain, F.lit(", of which there are "), F.size(samples).cast("string"), F.lit(" pages.\n" + asks), F.array_join(pages, "\n\n"))
+
+
 def synthesis(name: Column, url: Column, themes: Column, palette: Column, names: Column, lines: Column) -> Column:
     """Asks for a profile from everything gathered."""
     colours = F.array_join(F.transform(palette, lambda p: F.concat(p["hex"], F.lit(" ("), p["pct"].cast("string"), F.lit("%)"))), ", ")

@@ -2,82 +2,113 @@
 
 from __future__ import annotations
 
+import datetime
 import json
-import struct
 import uuid
-import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedupe
+from ..operators import crawl, dedupe, palette
 from ..sources import images as I, products as X, rules, social
 from ..streaming import pages as stream
 from . import report
 from .registry import query, table
 
-LINKED = [
-    (1, "https://shop.example.com/t/shoe/AB12-100", '<script type="application/ld+json">{"@type":"Product","name":"Shoe","sku":"ab12-100","image":["/i/1.jpg","https://cdn.example.com/2.png#x"]}</script><img src="/i/1.jpg">'),
-    (2, "https://shop.example.com/p/2", '<script type="application/ld+json">{"@graph":[{"@type":["Thing","ProductGroup"],"name":"Coat","mpn":7,"image":{"url":"//cdn.example.com/c.webp"}},{"@type":"Person","name":"x","image":"/no.jpg"}]}</script>'),
-    (3, "https://shop.example.com/", '<script type="application/ld+json">not json</script><p>none</p>'),
-    (4, "https://shop.example.com/p/4", '<script type="application/ld+json">[{"@type":"product","name":" ","image":"/a.gif"},{"@type":"product","name":"Hat","image":"/h.jpeg"}]</script>'),
-]
+SHOP, CDN = "https://shop.example.com", "https://c.example.com"
+CODE = '<script type="application/ld+json">', "</script>"
+
+
+def _shown(spark, sf_dir, url, html):
+    """Pages that show the rows of ``part``; in both texts ``$k`` stands for the key and ``$n`` for the name."""
+    part = table(spark, sf_dir, "part")
+    said = lambda c: F.replace(F.replace(c, F.lit("$k"), F.col("p_partkey").cast("string")), F.lit("$n"), F.col("p_name"))
+    return part.select(F.col("p_partkey").cast("long").alias("page_id"), said(url).alias("url"), said(html).alias("html"))
+
+
+def _found(pages, **how):
+    return X.products(pages, **how).select("page_id", "name", "sku_id", F.array_join("image_urls", ",").alias("images"))
 
 
-def _pages(spark, rows):
-    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+LINKED = [
+    (f"{SHOP}/t/shoe/AB$k-100", '{"@type":"Product","name":"$n","sku":"ab$k-100","image":["/i/$k.jpg","https://cdn.example.com/$k.png#x"]}'),
+    (f"{SHOP}/p/$k", '{"@graph":[{"@type":["Thing","ProductGroup"],"name":"Coat $n","mpn":$k,"image":{"url":"//cdn.example.com/$k.webp"}},{"@type":"Person","name":"x","image":"/no.jpg"}]}'),
+    (f"{SHOP}/", "not json"),
+    (f"{SHOP}/p/$k", '[{"@type":"product","name":" ","image":"/a.gif"},{"@type":"product","name":"$n","image":"/h$k.jpeg"}]'),
+]
 
 
-@query("SELECT * FROM (VALUES (1, 'Shoe', 'AB12-100', 'https://cdn.example.com/2.png,https://shop.example.com/i/1.jpg'), (2, 'Coat', '7', 'https://cdn.example.com/c.webp'), (4, 'Hat', NULL, 'https://shop.example.com/h.jpeg')) v(page_id, name, sku_id, images)")
+@query(
+    "SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 1 THEN 'Coat ' || p_name ELSE p_name END AS name, CASE p_partkey % 4 WHEN 0 THEN 'AB' || p_partkey || '-100' WHEN 1 THEN CAST(p_partkey AS VARCHAR) END AS sku_id,"
+    f" CASE p_partkey % 4 WHEN 0 THEN 'https://cdn.example.com/' || p_partkey || '.png,{SHOP}/i/' || p_partkey || '.jpg' WHEN 1 THEN 'https://cdn.example.com/' || p_partkey || '.webp' ELSE '{SHOP}/h' || p_partkey || '.jpeg' END AS images FROM part WHERE p_partkey % 4 <> 2"
+)
 def json_ld_products(spark, sf_dir):
-    got = X.products(_pages(spark, LINKED))
-    return got.select(F.col("page_id").cast("int").alias("page_id"), "name", "sku_id", F.array_join("image_urls", ",").alias("images"))
+    of = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in LINKED)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _found(_shown(spark, sf_dir, of(0), F.concat(F.lit(CODE[0]), of(1), F.lit(CODE[1] + '<img src="/i/1.jpg">'))))
 
 
-STATE = '<script>window.__ALGOLIA_STATE__ = {"a":{"results":[{"hits":[{"name":{"en":"Boot"},"style":"xy9-1","image":"/b.jpg"},{"name":{"en":"Bag"},"style":"bag","image":"/c.jpg"},{"style":"none"}]}]},"b":3};</script>'
+STATE = '<script>window.__ALGOLIA_STATE__ = {"a":{"results":[{"hits":[{"name":{"en":"$n"},"style":"xy$k-1","image":"/b$k.jpg"},{"name":{"en":"Bag"},"style":"bag$k","image":"/c.jpg"},{"style":"none"}]}]},"b":3};</script>'
 
 
-@query("SELECT * FROM (VALUES ('Boot', 'XY9-1', 'https://shop.example.com/b.jpg'), ('Bag', 'BAG', 'https://shop.example.com/c.jpg')) v(name, sku_id, images)")
+@query(f"SELECT p_partkey AS page_id, p_name AS name, 'XY' || p_partkey || '-1' AS sku_id, '{SHOP}/b' || p_partkey || '.jpg' AS images FROM part UNION ALL SELECT p_partkey, 'Bag', 'BAG' || p_partkey, '{SHOP}/c.jpg' FROM part")
 def algolia_products(spark, sf_dir):
     own = rules.Rules(json_sources=(rules.JsonRule("algolia_state", ("name.en",), ("style",), False, (), ("image",)),))
-    got = X.products(_pages(spark, [(1, "https://shop.example.com/w/all", STATE)]), default=own)
-    return got.select("name", "sku_id", F.array_join("image_urls", ",").alias("images"))
+    return _found(_shown(spark, sf_dir, F.lit(f"{SHOP}/w/all"), F.lit(STATE)), default=own)
 
 
-NEXT = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"products": {"a": {"title": "Runner", "productCode": "ZZ1-2", "portraitURL": "https://c.example.com/r.jpg"}}, "wall": [{"copy": {"title": "Trail"}, "pdpUrl": {"url": "https://shop.example.com/t/trail/TR9-001"}, "colorwayImages": {"squarishURL": "https://c.example.com/t.jpg"}}]}}) + "</script>"
+NEXT = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"products": {"a": {"title": "$n", "productCode": "ZZ$k-2", "portraitURL": f"{CDN}/r$k.jpg"}}, "wall": [{"copy": {"title": "Trail $n"}, "pdpUrl": {"url": f"{SHOP}/t/trail/TR$k-001"}, "colorwayImages": {"squarishURL": f"{CDN}/t$k.jpg"}}]}}) + "</script>"
 
 
-@query("SELECT * FROM (VALUES ('Runner', 'ZZ1-2', 'https://c.example.com/r.jpg'), ('Trail', 'TR9-001', 'https://c.example.com/t.jpg')) v(name, sku_id, images)")
+@query(f"SELECT p_partkey AS page_id, p_name AS name, 'ZZ' || p_partkey || '-2' AS sku_id, '{CDN}/r' || p_partkey || '.jpg' AS images FROM part UNION ALL SELECT p_partkey, 'Trail ' || p_name, 'TR' || p_partkey || '-001', '{CDN}/t' || p_partkey || '.jpg' FROM part")
 def next_data_products(spark, sf_dir):
-    got = X.products(_pages(spark, [(1, "https://shop.example.com/w/all", NEXT)]), default=rules.shop_defaults())
-    return got.select("name", "sku_id", F.array_join("image_urls", ",").alias("images"))
+    return _found(_shown(spark, sf_dir, F.lit(f"{SHOP}/w/all"), F.lit(NEXT)), default=rules.shop_defaults())
 
 
-INLINE = '<script>x={"copy": {"title":"Caf\\u00e9 Run"},"portraitURL":"https://c.example.com/p.jpg","squarishURL":"https://c.example.com/s.jpg","pdpUrl": {"url":"https://shop.example.com/t/cafe/CF1-9"}}</script>'
+INLINE = f'<script>x={{"copy": {{"title":"Caf\\u00e9 $n"}},"portraitURL":"{CDN}/p$k.jpg","squarishURL":"{CDN}/s$k.jpg","pdpUrl": {{"url":"{SHOP}/t/cafe/CF$k-9"}}}}</script>'
 
 
-@query("SELECT * FROM (VALUES ('Café Run', 'CF1-9', 'https://c.example.com/p.jpg,https://c.example.com/s.jpg')) v(name, sku_id, images)")
+@query(f"SELECT p_partkey AS page_id, 'Café ' || p_name AS name, 'CF' || p_partkey || '-9' AS sku_id, '{CDN}/p' || p_partkey || '.jpg,{CDN}/s' || p_partkey || '.jpg' AS images FROM part")
 def inline_products(spark, sf_dir):
-    got = X.products(_pages(spark, [(1, "https://shop.example.com/w/all", INLINE)]), default=rules.shop_defaults())
-    return got.select("name", "sku_id", F.array_join("image_urls", ",").alias("images"))
+    return _found(_shown(spark, sf_dir, F.lit(f"{SHOP}/w/all"), F.lit(INLINE)), default=rules.shop_defaults())
 
 
-CARDS = '<div data-testid="product-card"><a class="link" href="/t/one/ON1-1">One</a><img src="/1.jpg" srcset="/1s.png 320w"></div><div data-testid="product-card"><a class="link" href="/t/none">Two</a><img src="/2.jpg"></div>'
+CARDS = '<div data-testid="product-card"><a class="link" href="/t/one/ON$k-1">$n</a><img src="/1.jpg" srcset="/s$k.png 320w"></div><div data-testid="product-card"><a class="link" href="/t/none">Two</a><img src="/2.jpg"></div>'
 
 
-@query("SELECT * FROM (VALUES ('One', 'ON1-1', 'https://shop.example.com/1.jpg,https://shop.example.com/1s.png')) v(name, sku_id, images)")
+@query(f"SELECT p_partkey AS page_id, p_name AS name, 'ON' || p_partkey || '-1' AS sku_id, '{SHOP}/1.jpg,{SHOP}/s' || p_partkey || '.png' AS images FROM part")
 def card_products(spark, sf_dir):
     own = rules.Rules(product_card=rules.CardRule('//div[@data-testid="product-card"]', '//a[contains(@class,"link")]'), json_sources=())
-    got = X.products(_pages(spark, [(1, "https://shop.example.com/w/all", CARDS)]), default=own)
-    return got.select("name", "sku_id", F.array_join("image_urls", ",").alias("images"))
+    return _found(_shown(spark, sf_dir, F.lit(f"{SHOP}/w/all"), F.lit(CARDS)), default=own)
 
 
-DOM = '<div data-sku="SK1-2" data-product-name="Cap"><span><img src="/cap.jpg"></span></div><picture><source srcset="https://c.example.com/pic.webp 2x"></picture><meta property="og:image" content="https://c.example.com/og.png"><b>https://c.example.com/bare.gif</b>'
+DOM = f'<div data-sku="SK$k-2" data-product-name="$n"><span><img src="/cap$k.jpg"></span></div><picture><source srcset="{CDN}/pic$k.webp 2x"></picture><meta property="og:image" content="{CDN}/og.png"><b>{CDN}/bare$k.gif</b>'
 
 
-@query("SELECT * FROM (VALUES (0, 'https://shop.example.com/cap.jpg', 'Cap', 'SK1-2'), (1, 'https://c.example.com/pic.webp', NULL, NULL), (2, 'https://c.example.com/og.png', NULL, NULL), (3, 'https://c.example.com/bare.gif', NULL, NULL)) v(ord, url, dom_name, dom_sku)")
+@query(
+    f"SELECT p_partkey AS page_id, unnest([0, 1, 2, 3]) AS ord, unnest(['{SHOP}/cap' || p_partkey || '.jpg', '{CDN}/pic' || p_partkey || '.webp', '{CDN}/og.png', '{CDN}/bare' || p_partkey || '.gif']) AS url,"
+    " unnest([p_name, NULL, NULL, NULL]) AS dom_name, unnest(['SK' || p_partkey || '-2', NULL, NULL, NULL]) AS dom_sku FROM part"
+)
 def image_candidates(spark, sf_dir):
-    return X.candidates(_pages(spark, [(1, "https://shop.example.com/x", DOM)])).select("ord", "url", "dom_name", "dom_sku")
+    return X.candidates(_shown(spark, sf_dir, F.lit(f"{SHOP}/x"), F.lit(DOM))).select("page_id", "ord", "url", "dom_name", "dom_sku")
+
+
+@query(
+    "SELECT n_name AS domain, CASE WHEN n_nationkey % 5 = 0 THEN 'stored' WHEN n_nationkey % 3 = 0 THEN 'inferred' ELSE 'default' END AS origin, CASE WHEN n_nationkey % 5 = 0 THEN 0 WHEN n_nationkey % 3 = 0 THEN 1 ELSE 3 END AS sources,"
+    " n_nationkey % 5 <> 0 AS written, (SELECT count(*) FROM nation) AS stored FROM nation"
+)
+def config_infer(spark, sf_dir):
+    """Rules of every nation's site: stored ones of today, inferred ones that find something on its samples, else the usual ones."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("domain"), F.col("n_nationkey").alias("k"))
+    now = datetime.datetime(2026, 5, 2, 9)
+    at = F.when(F.col("k") % 5 == 0, F.lit(now)).otherwise(F.lit(now - datetime.timedelta(days=1))).cast("timestamp")
+    blank = spark.createDataFrame([], rules.SCHEMA)
+    stored = nation.where("k % 2 = 0 or k % 5 = 0").select("domain", *(F.lit(None).cast(f.dataType).alias(f.name) for f in blank.schema[1:-1]), at.alias("updated_at"))
+    page = F.when(F.col("k") % 3 == 0, F.concat(F.lit(CODE[0] + '{"@type":"Product","name":"'), "domain", F.lit('","image":"/a.jpg"}' + CODE[1]))).otherwise("<p>no product</p>")
+    samples = nation.select("domain", F.lit(0).alias("ord"), F.lit(f"{SHOP}/p/1").alias("url"), page.alias("html"))
+    used, table_now = rules.load_or_infer(nation, stored, samples, lambda prompt, domain: rules.generic(domain), now)
+    kept = table_now.agg(F.count("*").alias("stored"))
+    return used.select("domain", "origin", F.coalesce(F.size("json_sources"), F.lit(0)).alias("sources"), (F.col("origin") != "stored").alias("written")).withColumn("sources", F.greatest("sources", F.lit(0))).withColumn("stored", kept.scalar())
 
 
 @query("SELECT event_id, 0 AS ord, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS node FROM events")
@@ -130,26 +161,36 @@ def social_distinct_text(spark, sf_dir):
     return social.status_texts(found).select("profile", "nth", "text")
 
 
-TIMELINE = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"user": {"screen_name": "Brand", "description": " We make things "}, "other": {"screen_name": "x", "description": "no"}, "entries": [
-    {"id_str": "1", "full_text": "New collection", "entities": {"media": [{"type": "photo", "media_url_https": "https://pbs.twimg.com/1.jpg"}]}, "extended_entities": {"media": [{"type": "video", "media_url_https": "https://v.example.com/v.mp4"}, {"media_url": "http://m.example.com/2.jpg"}]}},
-    {"id_str": "1", "full_text": "again"}, {"id_str": "2", "text": "50% off", "entities": {}}, {"id_str": "3", "text": "NEW collection"}, {"text": "no id", "entities": {}}, {"text": "not a post"}]}) + "</script>"
+def _timelines(spark, sf_dir):
+    """Conversations as pages of a timeline: a user, the turns as posts with a photograph or a film, one post again, and what is none."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    key = F.concat(F.col("conv_id"), F.lit("_"), F.col("turn"))
+    media = F.array(F.struct(F.when(F.col("turn") % 2 == 0, "photo").otherwise("video").alias("type"), F.concat(F.lit("https://pbs.twimg.com/"), key, F.lit(".jpg")).alias("media_url_https")))
+    post = F.struct(key.alias("id_str"), F.col("text").alias("full_text"), F.struct(media.alias("media")).alias("entities"))
+    posts = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", post.alias("p")))), lambda x: x["p"]).alias("posts"))
+    user = F.struct(F.concat(F.lit("BRAND"), "conv_id").alias("screen_name"), F.concat(F.lit(" We make things "), "conv_id", F.lit(" ")).alias("description"))
+    other = F.struct(F.lit("x").alias("screen_name"), F.lit("no").alias("description"))
+    whole = F.to_json(F.struct(other.alias("first"), user.alias("user"), F.concat("posts", F.slice("posts", 1, 1)).alias("entries"), F.array(F.struct(F.lit("not a post").alias("text"))).alias("rest")))
+    html = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), whole, F.lit("</script>"))
+    return social.timeline_objects(posts.select(F.concat(F.lit("brand"), "conv_id").alias("profile"), html.alias("html")))
+
+
+_CUT = "CASE WHEN length(s) <= 800 THEN s ELSE rtrim(substr(s, 1, 799)) || '…' END"
 
 
-@query("SELECT * FROM (VALUES ('brand', 1, '1', 'New collection'), ('brand', 4, NULL, 'no id')) v(profile, nth, id, text)")
+@query(f"SELECT profile, nth, id, text FROM (SELECT 'brand' || conv_id AS profile, CAST(pos + 1 AS INTEGER) AS nth, conv_id || '_' || turn AS id, {_CUT} AS text, row_number() OVER (PARTITION BY conv_id, lower({_CUT}) ORDER BY pos) AS n FROM (SELECT conv_id, turn, pos, {_SAID} AS s FROM {_TURNS} WHERE pos < 20 AND text IS NOT NULL) WHERE s <> '') WHERE n = 1")
 def timeline_texts(spark, sf_dir):
-    found = social.statuses(social.timeline_objects(spark.createDataFrame([("brand", TIMELINE)], "profile string, html string")))
-    return social.status_texts(found).select("profile", "nth", "id", "text")
+    return social.status_texts(social.statuses(_timelines(spark, sf_dir))).select("profile", "nth", "id", "text")
 
 
-@query("SELECT * FROM (VALUES ('brand', 0, 'http://m.example.com/2.jpg'), ('brand', 1, 'https://pbs.twimg.com/1.jpg?name=large')) v(profile, pos, url)")
+@query(f"SELECT 'brand' || conv_id AS profile, CAST(pos + 1 AS INTEGER) AS nth, 0 AS pos, 'https://pbs.twimg.com/' || conv_id || '_' || turn || '.jpg?name=large' AS url FROM {_TURNS} WHERE pos < 20 AND turn % 2 = 0 AND text IS NOT NULL")
 def timeline_images(spark, sf_dir):
-    found = social.statuses(social.timeline_objects(spark.createDataFrame([("brand", TIMELINE)], "profile string, html string")))
-    return social.status_images(found).select("profile", "pos", "url")
+    return social.status_images(social.statuses(_timelines(spark, sf_dir))).select("profile", "nth", "pos", "url")
 
 
-@query("SELECT 'brand' AS profile, 'We make things' AS text")
+@query("SELECT DISTINCT 'brand' || conv_id AS profile, 'We make things ' || conv_id AS text FROM conversations WHERE conv_id IS NOT NULL")
 def timeline_biography(spark, sf_dir):
-    return social.biography(social.timeline_objects(spark.createDataFrame([("brand", TIMELINE)], "profile string, html string")))
+    return social.biography(_timelines(spark, sf_dir))
 
 
 # -- images ----------------------------------------------------------------------------------
@@ -158,19 +199,32 @@ def timeline_biography(spark, sf_dir):
 def png(width: int, height: int, colour: tuple[int, int, int]) -> bytes:
     """A one-colour PNG with a white border of a tenth."""
     edge = max(1, min(width, height) // 10)
-    white, inner = b"\xff\xff\xff", bytes(colour)
-    rows = b"".join(b"\0" + (white * width if y < edge or y >= height - edge else white * edge + inner * (width - 2 * edge) + white * edge) for y in range(height))
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    x = np.full((height, width, 3), 255, dtype=np.uint8)
+    x[edge : height - edge, edge : width - edge] = colour
+    return I.png_bytes(x)
 
 
-def _drawn(spark):
-    return [(f"i{k}", bytearray(png(40 + 10 * k, 60, (200, 20 * k, 90)))) for k in range(5)] + [("broken", bytearray(b"nope"))]
+@query("SELECT p_partkey, CASE WHEN p_partkey % 6 <> 5 THEN CAST(40 + p_partkey % 700 AS INTEGER) END AS width, CASE WHEN p_partkey % 6 <> 5 THEN CAST(60 + p_size AS INTEGER) END AS height FROM part")
+def image_dims(spark, sf_dir):
+    """Sizes from the heads of pictures, one a part; every sixth isn't a picture."""
+    number = lambda c: F.lpad(F.hex(c), 8, "0")
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(40 + F.col("p_partkey") % 700), number(60 + F.col("p_size")), F.lit("0802000000"))
+    content = F.unhex(F.when(F.col("p_partkey") % 6 != 5, head).otherwise(F.concat(F.lit("FFD8"), head)))
+    return table(spark, sf_dir, "part").select("p_partkey", I.png_size(content).alias("s")).select("p_partkey", "s.width", "s.height")
 
 
-@query("SELECT 'i' || k AS url, CAST(40 + 10 * k AS INTEGER) AS width, 60 AS height FROM range(5) t(k) UNION ALL SELECT 'broken', NULL, NULL")
-def image_dims(spark, sf_dir):
-    return spark.createDataFrame(_drawn(spark), "url string, content binary").select("url", I.png_size(F.col("content")).alias("s")).select("url", "s.width", "s.height")
+@query(
+    "WITH i AS (SELECT p_brand, 20 + 90 * (p_size % 3) AS r, 30 + 120 * (p_partkey % 2) AS g, 40 AS b, 100 * (1 + p_partkey % 4) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part), c AS (SELECT p_brand, r, g, b, sum(n) AS n FROM i WHERE k <= 30 GROUP BY ALL)"
+    " SELECT p_brand AS brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, r, g, b) AS INTEGER) AS rank, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, CAST(n AS BIGINT) AS n FROM c"
+)
+def palette_pixels(spark, sf_dir):
+    """Palettes by median cut over pictures of one colour, ten pixels high, whose cut gives just their colours."""
+    part = table(spark, sf_dir, "part").withColumn("w", (10 * (1 + F.col("p_partkey") % 4)).cast("int"))
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    pixel = F.concat(byte(20 + 90 * (F.col("p_size") % 3)), byte(30 + 120 * (F.col("p_partkey") % 2)), byte(F.lit(40)))
+    pictures = part.select(F.col("p_partkey").cast("string").alias("url"), F.col("w").alias("width"), F.lit(10).alias("height"), F.unhex(F.repeat(pixel, F.col("w") * 10)).alias("rgb"))
+    images = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").cast("string").alias("url"), F.col("p_partkey").alias("ord"))
+    return palette.of_thumbnails(pictures, images, "brand").select("brand", "rank", "r", "g", "b", "n")
 
 
 # -- whole reports ---------------------------------------------------------------------------
@@ -207,14 +261,11 @@ def report_full(spark, sf_dir):
     return got.select("brand_id", "name", "status", F.to_json("clusters").alias("clusters"), F.to_json("names").alias("names"), F.size("texts").alias("prompt_texts"))
 
 
-@query(None)
+@query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 def page_stream_once(spark, sf_dir):
-    """Pages as a stream, each address once, into a table in memory."""
+    """Pages as a stream, each address once, written to the shared folder and read again."""
     rows = stream.read(spark, f"{sf_dir}/pages.parquet*", "page_id bigint, url string, html string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
-    name = f"pages_{uuid.uuid4().hex}"
-    run = stream.once(rows.select("page_id", "url", "at"), ["url"], "at").writeStream.format("memory").queryName(name).outputMode("append").start()
-    try:
-        run.processAllAvailable()
-    finally:
-        run.stop()
-    return spark.table(name).select("page_id", "url")
+    folder = f"{crawl.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    run = stream.once(rows.select("page_id", "url", "at"), ["url"], "at").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
+    run.awaitTermination()
+    return spark.read.schema("page_id bigint, url string, at timestamp").parquet(f"{folder}/rows").select("page_id", "url")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as T, urls as U
-from ..operators import clusters, gates, merge, palette, sampling, themes as TH
+from ..functions import rules as R, text as T, urls as U
+from ..operators import clusters, gates, merge, palette, sampling, scoring, themes as TH
 
 MOST_IMAGES, PROMPT_TEXTS, PROMPT_NAMES = 100, 30, 40
 
@@ -25,9 +25,12 @@ def prompt_texts(texts: DataFrame, most: int = PROMPT_TEXTS) -> DataFrame:
     return top.groupBy("brand_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("lines"))
 
 
-def build(bundles: DataFrame, images: DataFrame, texts: DataFrame, vectors: DataFrame, colours: DataFrame | None = None, provider=None, strategy: str = "heuristic") -> DataFrame:
+def build(bundles: DataFrame, images: DataFrame, texts: DataFrame, vectors: DataFrame, colours: DataFrame | None = None, provider=None, strategy: str = "heuristic", told: bool = False) -> DataFrame:
     """One row a brand: ``status`` tells brands without images, or whose images the gate all removed, from finished ones.
 
+    With ``told``, listeners hear how many rows each stage had and kept: ``images`` (with name and SKU), ``gate`` (of a shape
+    that counts) and ``texts`` (that go into prompts).
+
     ``images`` and ``texts`` carry ``(brand_id, bundle_ord, ord)``; ``vectors`` are ``(url, embedding)``;
     ``colours`` are ``(url, r, g, b, n)``.
     """
@@ -35,6 +38,10 @@ def build(bundles: DataFrame, images: DataFrame, texts: DataFrame, vectors: Data
     every = sampling.numbered(merge.images(images), ["brand_id"], ["bundle_ord", "ord"]).drop("ord", "total").withColumnRenamed("nth", "ord")
     ranked = merge.texts(texts)
     chosen = sampling.diverse(every, ["brand_id"], MOST_IMAGES).drop("rank")
+    if told:
+        every = scoring.observed(every, "images", R.complete(F.col("product_name"), F.col("sku_id")))
+        chosen = scoring.observed(chosen, "gate", R.aspect_ok(F.col("width"), F.col("height")))
+        ranked = scoring.observed(ranked, "texts", F.col("rank") <= PROMPT_TEXTS)
     gated = gates.gate(chosen, strategy).join(vectors, "url")
     usable = sampling.numbered(gated, ["brand_id"], ["ord"]).drop("ord", "total").withColumnRenamed("nth", "ord")
     found, assigned = TH.analysed(usable, provider)

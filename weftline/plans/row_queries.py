@@ -105,6 +105,47 @@ def crawl_sample_pages(spark, sf_dir):
     return crawl.sample_pages(got).select(F.col("src").alias("page_id"), F.col("dst").alias("href"), "rank")
 
 
+@query("SELECT page_id, unnest(hrefs) AS href FROM (SELECT page_id, list_filter(list_distinct(list_transform(string_split(html, '<a '), lambda x: CASE WHEN contains(x, 'href=\"') THEN split_part(split_part(x, 'href=\"', 2), '\"', 1) END)), lambda x: x <> '') AS hrefs FROM pages)")
+def html_links_any_markup(spark, sf_dir):
+    """Links of the pages written anew: in single quotes, bare and in upper case, with other attributes before, and in comments, which don't count."""
+    from ..sources.pages import links
+
+    k = F.col("page_id") % 4
+    upper = F.regexp_replace("html", '<a [^>]*?href="([^"]*)"', "<A data-href=\"/no\" title='a > b'\n HREF = \"$1\"")
+    single = F.regexp_replace("html", '<a [^>]*?href="([^"]*)"', "<a id=x href='$1'")
+    bare = F.regexp_replace("html", '<a [^>]*?href="([^"\\s>]+)"', "<a href=$1 class=y")
+    html = F.when(k == 0, upper).when(k == 1, single).when(k == 2, bare).otherwise(F.concat(F.lit("<!-- <a href='/c'> --><script>'<a href=/s>'</script><abbr href='/n'>"), "html"))
+    return links(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).select("page_id", "href")
+
+
+def _walk(spark, sf_dir):
+    """Ten sites of pages with four links each; every fifth page was not captured."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"))
+    m = F.greatest(F.floor(F.lit(pages.agg(F.count("*").alias("n")).scalar()) / 10), F.lit(1))
+    site, k = F.col("id") % 10, F.floor(F.col("id") / 10)
+    name = lambda i: F.concat(F.lit("https://s"), (i % 10).cast("string"), F.when(i % 3 == 0, "/t/").otherwise("/a/"), i.cast("string"))
+    ends = F.posexplode(F.array(*(site + 10 * ((a * k + b) % m) for a, b in ((3, 1), (7, 5), (1, 2), (5, 3)))))
+    links = pages.where("id % 5 <> 4").select(site.alias("site"), name(F.col("id")).alias("src"), ends.alias("pos", "to")).select("site", "src", "pos", name(F.col("to")).alias("dst"))
+    captured = pages.where("id % 5 <> 4").select(site.alias("site"), name(F.col("id")).alias("url"))
+    return links, pages.where("id < 10").select(site.alias("site"), name(F.col("id")).alias("url")), captured
+
+
+_NAME = "'https://s' || ({0}) % 10 || CASE WHEN ({0}) % 3 = 0 THEN '/t/' ELSE '/a/' END || ({0})"
+
+
+@query(
+    f"WITH RECURSIVE m AS (SELECT greatest(count(*) // 10, 1) AS m FROM pages), l AS (SELECT page_id, pos, page_id % 10 + 10 * ((a * (page_id // 10) + b) % m) AS dst FROM pages, m, (VALUES (0, 3, 1), (1, 7, 5), (2, 1, 2), (3, 5, 3)) v(pos, a, b) WHERE page_id % 5 <> 4),"
+    f" kids AS (SELECT {_NAME.format('page_id')} AS url, coalesce(list({_NAME.format('dst')} ORDER BY pos) FILTER (WHERE dst % 3 = 0), []) AS p, coalesce(list({_NAME.format('dst')} ORDER BY pos) FILTER (WHERE dst % 3 <> 0), []) AS o FROM l GROUP BY page_id),"
+    f" w AS (SELECT page_id % 10 AS site, [{_NAME.format('page_id')}] AS q, []::VARCHAR[] AS seen, []::VARCHAR[] AS took FROM pages WHERE page_id < 10 UNION ALL"
+    " SELECT site, CASE WHEN list_contains(seen, q[1]) OR kids.url IS NULL OR len(took) = 3 THEN q[2:] ELSE q[2:] || list_filter(p, lambda x: x <> q[1] AND NOT list_contains(seen, x))[:2] || CASE WHEN len(took) = 0 THEN list_filter(o, lambda x: x <> q[1] AND NOT list_contains(seen, x))[:1] ELSE [] END END,"
+    " CASE WHEN list_contains(seen, q[1]) THEN seen ELSE list_append(seen, q[1]) END, CASE WHEN list_contains(seen, q[1]) OR kids.url IS NULL THEN took ELSE list_append(took, q[1]) END FROM w LEFT JOIN kids ON kids.url = w.q[1] WHERE len(q) > 0 AND len(took) < 4)"
+    " SELECT site, CAST(unnest(range(len(took))) AS INTEGER) AS nth, unnest(took) AS url FROM w WHERE len(q) = 0 OR len(took) = 4"
+)
+def crawl_sampled(spark, sf_dir):
+    links, seeds, captured = _walk(spark, sf_dir)
+    return crawl.sampled(links, seeds, captured).select("site", "nth", "url")
+
+
 # -- candidates and products -----------------------------------------------------------------
 
 _ORD = "(l_orderkey * 100 + l_linenumber) * 100000 + l_suppkey"
@@ -207,13 +248,13 @@ def single_product_fill(spark, sf_dir):
 
 
 @query(
-    f"WITH p AS (SELECT * FROM {_PRODUCTS}), c AS (SELECT DISTINCT p_brand, image AS url, CASE product_ord % 3 WHEN 0 THEN 'cd9-1' WHEN 1 THEN 'dom' END AS dom_sku FROM p WHERE product_ord % 10 < 5), e AS (SELECT p_brand, image AS url, arg_max(name, product_ord) AS name, arg_max(sku_id, product_ord) AS sku FROM p GROUP BY 1, 2)"
+    f"WITH p AS (SELECT * FROM {_PRODUCTS}), c AS (SELECT DISTINCT p_brand, image AS url, CASE product_ord % 3 WHEN 0 THEN 'cd9-1' WHEN 1 THEN 'dom' END AS dom_sku FROM p), e AS (SELECT p_brand, image AS url, arg_max(name, product_ord) AS name, arg_max(sku_id, product_ord) AS sku FROM p GROUP BY 1, 2)"
     f" SELECT p_brand, url, dom_sku, e.name AS product_name, CASE WHEN regexp_matches(upper(coalesce(dom_sku, e.sku)), '{U.STYLE_CODE}') THEN upper(coalesce(dom_sku, e.sku)) ELSE coalesce(dom_sku, e.sku) END AS sku_id FROM c JOIN e USING (p_brand, url)"
 )
 def candidate_match(spark, sf_dir):
     products = _products(spark, sf_dir)
     m = F.col("product_ord") % 3
-    cands = products.where("product_ord % 10 < 5").select("p_brand", F.col("image_urls")[0].alias("url"), F.when(m == 0, "cd9-1").when(m == 1, "dom").alias("dom_sku"), F.lit(None).cast("string").alias("dom_name")).distinct()
+    cands = products.select("p_brand", F.col("image_urls")[0].alias("url"), F.when(m == 0, "cd9-1").when(m == 1, "dom").alias("dom_sku"), F.lit(None).cast("string").alias("dom_name")).distinct()
     return match.matched(cands, products, ["p_brand"]).select("p_brand", "url", "dom_sku", "product_name", "sku_id")
 
 
@@ -364,15 +405,24 @@ def theme_members(spark, sf_dir):
     return themes.members(found, assigned).select("brand_id", F.col("theme_ord").cast("long").alias("theme_ord"), F.array_join("images", ",").alias("images"))
 
 
-CLAIMS = """(1,0,0,12,0,'a',array(1,3,13)),(1,0,0,12,1,'b',array(3,2)),(1,0,0,12,2,'zzz',array(4)),(1,1,12,12,0,'b',array(1,1,0)),(1,1,12,12,1,'a',array(2)),(2,0,0,5,0,'a',array(5,6))"""
+_BATCHES = "(SELECT l_suppkey % 20 AS brand_id, CAST(l_linenumber % 4 AS INTEGER) AS batch_no, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS assignment_ord, 't' || l_partkey % 7 AS cluster_label, l_partkey % 15 AS a, l_suppkey % 13 AS b, l_orderkey % 14 AS c FROM lineitem)"
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0, 0), (1, 0, 1, 2), (1, 0, 2, 13), (1, 1, 0, 1), (1, 1, 1, 12), (2, 0, 0, 4)) v(brand_id, theme_ord, pos, image_ord)")
+@query(
+    f"WITH e AS (SELECT brand_id, CAST(substr(cluster_label, 2) AS INTEGER) AS theme_ord, batch_no, assignment_ord, unnest([0, 1, 2]) AS p, unnest([a, b, c]) AS i, cluster_label FROM {_BATCHES}), k AS (SELECT *, batch_no * 12 + i - 1 AS image_ord FROM e WHERE cluster_label < 't5' AND i BETWEEN 1 AND 12),"
+    " o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_id, image_ord ORDER BY batch_no, assignment_ord, p) AS n FROM k) WHERE n = 1)"
+    " SELECT brand_id, theme_ord, CAST(row_number() OVER (PARTITION BY brand_id, theme_ord ORDER BY batch_no, assignment_ord, p) - 1 AS INTEGER) AS pos, CAST(image_ord AS BIGINT) AS image_ord FROM o"
+)
 def theme_first_claim(spark, sf_dir):
-    assignments = values(spark, CLAIMS, "brand_id, batch_no, batch_start, batch_len, assignment_ord, cluster_label, image_indices")
-    found = values(spark, "(1,'a',0),(1,'b',1),(2,'a',0)", "brand_id, cluster_label, theme_ord")
-    images = spark.range(24).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("brand_id"), F.col("id").cast("int").alias("ord"))
-    return themes.claimed(assignments, images, found).select("brand_id", "theme_ord", "pos", "image_ord")
+    """Order lines as what a model said of batches of twelve images: some labels and numbers are wrong, and most images are claimed often."""
+    li = table(spark, sf_dir, "lineitem")
+    batch = (F.col("l_linenumber") % 4).cast("int")
+    said = li.select((F.col("l_suppkey") % 20).alias("brand_id"), batch.alias("batch_no"), (batch * 12).alias("batch_start"), F.lit(12).alias("batch_len"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("assignment_ord"),
+        F.concat(F.lit("t"), F.col("l_partkey") % 7).alias("cluster_label"), F.array(F.col("l_partkey") % 15, F.col("l_suppkey") % 13, F.col("l_orderkey") % 14).alias("image_indices"))
+    brands = li.select((F.col("l_suppkey") % 20).alias("brand_id")).distinct()
+    found = brands.select("brand_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("theme_ord")).withColumn("cluster_label", F.concat(F.lit("t"), "theme_ord"))
+    images = brands.select("brand_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("ord"))
+    return themes.claimed(said, images, found).select("brand_id", "theme_ord", "pos", F.col("image_ord").cast("long").alias("image_ord"))
 
 
 _PICKS = (
@@ -402,12 +452,19 @@ def cluster_backfill(spark, sf_dir):
     return got.select("brand_id", F.col("theme_ord").cast("long").alias("theme_ord"), "url")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'b'), (1, 2, 'c'), (2, 0, 'a'), (2, 1, NULL), (2, 2, NULL), (2, 3, NULL)) v(brand_id, theme_ord, url)")
+@query(
+    "WITH t AS (SELECT c_custkey AS brand_id, unnest(range(c_custkey % 6 + 1)) AS theme_ord FROM customer), h AS (SELECT *, theme_ord < c.f AS filled FROM t JOIN (SELECT c_custkey, c_nationkey % 5 AS f FROM customer) c ON c.c_custkey = brand_id),"
+    " n AS (SELECT brand_id, count(*) AS every, count_if(filled) AS fuller FROM h GROUP BY 1) SELECT brand_id, theme_ord, CASE WHEN filled THEN 'u' || theme_ord END AS url FROM h JOIN n USING (brand_id) WHERE filled OR every <= 3 OR fuller < 3"
+)
 def cluster_drop_empty(spark, sf_dir):
-    found = values(spark, "(1,0),(1,1),(1,2),(1,3),(2,0),(2,1),(2,2),(2,3)", "brand_id, theme_ord")
-    images = values(spark, "(1,0,'a','product'),(1,1,'b','product'),(1,2,'c','product'),(2,0,'a','product')", "brand_id, ord, url, source_kind")
-    assigned = images.select("brand_id", F.col("ord").alias("theme_ord"), F.lit(0).alias("pos"), F.col("ord").alias("image_ord"))
-    return clusters.representatives(found, assigned, images, values(spark, "(3,0,'z')", "brand_id, pool_ord, url")).select("brand_id", "theme_ord", "url")
+    """Customers as brands of one to six themes, of which the first none to four have an image."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("brand_id"), F.col("c_nationkey").alias("k"))
+    found = customer.select("brand_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("brand_id") % 6)).alias("theme_ord"))
+    filled = found.join(customer, "brand_id").where("theme_ord < k % 5")
+    images = filled.select("brand_id", F.col("theme_ord").alias("ord"), F.concat(F.lit("u"), "theme_ord").alias("url"), F.lit("product").alias("source_kind"))
+    assigned = filled.select("brand_id", "theme_ord", F.lit(0).alias("pos"), F.col("theme_ord").alias("image_ord"))
+    pool = images.limit(0).select("brand_id", F.col("ord").alias("pool_ord"), "url")
+    return clusters.representatives(found, assigned, images, pool).select("brand_id", "theme_ord", "url")
 
 
 # -- perceptual hashes and palettes ----------------------------------------------------------
@@ -436,7 +493,13 @@ def phash_exact_best(spark, sf_dir):
     return hamming.exact_best(rows, ["brand_id"]).select("phash", "width", "ord")
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE i AS (SELECT vec_id % 5 AS brand_id, vec_id AS ord, CAST(100 + vec_id % 7 AS INTEGER) AS width, h, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY vec_id) AS k FROM {_HASHES}),"
+    " w AS (SELECT brand_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(ord BIGINT, width INTEGER, h BIGINT)[]) AS kept FROM (SELECT DISTINCT brand_id FROM i) UNION ALL"
+    " SELECT brand_id, k, CASE WHEN spot IS NULL OR spot = 0 THEN list_append(kept, me) WHEN me.width > kept[spot].width THEN kept[: spot - 1] || [me] || kept[spot + 1 :] ELSE kept END FROM (SELECT brand_id, k, kept, me, list_position(list_transform(kept, lambda x: bit_count(xor(x.h, me.h)) <= 20), true) AS spot"
+    " FROM (SELECT w.brand_id, i.k, w.kept, {'ord': i.ord, 'width': i.width, 'h': i.h} AS me FROM w JOIN i ON i.brand_id = w.brand_id AND i.k = w.k + 1)))"
+    " SELECT brand_id, x.ord AS ord, x.width AS width, 100 AS height, x.h AS phash FROM (SELECT brand_id, unnest(kept) AS x FROM (SELECT * FROM w QUALIFY k = max(k) OVER (PARTITION BY brand_id)))"
+)
 def phash_greedy(spark, sf_dir):
     rows = _hashes(spark, sf_dir).select((F.col("vec_id") % 5).alias("brand_id"), F.col("vec_id").alias("ord"), (100 + F.col("vec_id") % 7).cast("int").alias("width"), F.lit(100).alias("height"), "phash")
     return hamming.greedy(rows, "brand_id", 20)
@@ -459,7 +522,13 @@ def palette_filter(spark, sf_dir):
     return palette.coloured(_colours(spark, sf_dir))
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE c AS (SELECT *, round(n * 100.0 / sum(n) OVER (PARTITION BY p_brand), 1) AS pct, NOT (greatest(r, g, b) - least(r, g, b) > 8 AND (greatest(r, g, b) + least(r, g, b)) / 2.0 / 255 BETWEEN 0.04 AND 0.93) AS grey FROM {_COLOURS}),"
+    " i AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY grey, n DESC, r, g, b) AS k FROM c), w AS (SELECT p_brand, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(r INTEGER, g INTEGER, b INTEGER, n BIGINT, pct DOUBLE)[]) AS taken, 0 AS coloured FROM (SELECT DISTINCT p_brand FROM i) UNION ALL"
+    " SELECT p_brand, k, CASE WHEN fits THEN list_append(taken, me) ELSE taken END, CASE WHEN grey THEN coloured ELSE coloured + CAST(fits AS INTEGER) END FROM (SELECT w.p_brand, i.k, taken, coloured, i.grey, {'r': i.r, 'g': i.g, 'b': i.b, 'n': i.n, 'pct': i.pct} AS me,"
+    " len(taken) < 8 AND NOT (i.grey AND coloured >= 3) AND len(list_filter(taken, lambda y: abs(i.r - y.r) + abs(i.g - y.g) + abs(i.b - y.b) < 40)) = 0 AS fits FROM w JOIN i ON i.p_brand = w.p_brand AND i.k = w.k + 1))"
+    " SELECT p_brand, CAST(rank AS INTEGER) AS rank, x.r AS r, x.g AS g, x.b AS b, x.n AS n, x.pct AS pct, printf('#%02X%02X%02X', x.r, x.g, x.b) AS hex FROM (SELECT p_brand, taken, unnest(range(1, len(taken) + 1)) AS rank, unnest(taken) AS x FROM (SELECT * FROM w QUALIFY k = max(k) OVER (PARTITION BY p_brand)))"
+)
 def palette_greedy(spark, sf_dir):
     return palette.distinct_colours(_colours(spark, sf_dir), "p_brand")
 

@@ -6,6 +6,9 @@ for bytes it can't decode.
 
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +71,50 @@ def hashes(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "url string, width int, height int, phash bigint")
 
 
+def _thumbnail(x: np.ndarray, side: int, border: float) -> np.ndarray:
+    """At most ``side`` wide and high, without its border if enough is left."""
+    scale = min(1.0, side / max(x.shape[:2]))
+    x = x.astype(np.float64)
+    x = _shrunk(x, max(1, round(x.shape[0] * scale)), max(1, round(x.shape[1] * scale))) if scale < 1 else x
+    dy, dx = int(x.shape[0] * border), int(x.shape[1] * border)
+    if x.shape[0] - 2 * dy >= 8 and x.shape[1] - 2 * dx >= 8:
+        x = x[dy : x.shape[0] - dy, dx : x.shape[1] - dx]
+    return x
+
+
+def thumbnails(images: DataFrame, side: int = 96, border: float = 0.15) -> DataFrame:
+    """``(url, width, height, rgb)``: small pictures without their borders, as rows of bytes."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for url, *picture in zip(*(b.column(c).to_pylist() for c in ("url", "data", "width", "height", "nChannels"))):
+                x = np.rint(_thumbnail(_pixels(*picture), side, border)).astype(np.uint8)
+                out.append((url, x.shape[1], x.shape[0], x.tobytes()))
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["url", "width", "height", "rgb"])
+
+    return images.mapInArrow(run, "url string, width int, height int, rgb binary")
+
+
+def png_bytes(x: np.ndarray) -> bytes:
+    """An RGB picture as a PNG."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + r.tobytes() for r in np.ascontiguousarray(x, dtype=np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", x.shape[1], x.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def model_uris(images: DataFrame, longest: int = 768) -> DataFrame:
+    """``(url, data_uri)`` of decoded images for a model request, none wider or higher than ``longest``; as PNG, which needs no library."""
+
+    def run(batches):
+        for b in batches:
+            out = [png_bytes(np.rint(_thumbnail(_pixels(*p), longest, 0.0))) for p in zip(*(b.column(c).to_pylist() for c in ("data", "width", "height", "nChannels")))]
+            yield pa.RecordBatch.from_arrays([b.column("url"), pa.array(["data:image/png;base64," + base64.b64encode(x).decode() for x in out], pa.string())], names=["url", "data_uri"])
+
+    return images.mapInArrow(run, "url string, data_uri string")
+
+
 def colours(images: DataFrame, side: int = 96, border: float = 0.15, levels: int = 16) -> DataFrame:
     """``(url, r, g, b, n)``: pixels of the inner part of a thumbnail by colour, in ``levels`` steps a channel."""
 
@@ -75,12 +122,7 @@ def colours(images: DataFrame, side: int = 96, border: float = 0.15, levels: int
         for b in batches:
             out: list[tuple] = []
             for url, data, w, h, n in zip(*(b.column(c).to_pylist() for c in ("url", "data", "width", "height", "nChannels"))):
-                x = _pixels(data, w, h, n).astype(np.float64)
-                scale = min(1.0, side / max(w, h))
-                x = _shrunk(x, max(1, round(h * scale)), max(1, round(w * scale))) if scale < 1 else x
-                dy, dx = int(x.shape[0] * border), int(x.shape[1] * border)
-                if x.shape[0] - 2 * dy >= 8 and x.shape[1] - 2 * dx >= 8:
-                    x = x[dy : x.shape[0] - dy, dx : x.shape[1] - dx]
+                x = _thumbnail(_pixels(data, w, h, n), side, border)
                 step = 256 // levels
                 q = np.minimum((x.reshape(-1, 3) // step) * step + step // 2, 255).astype(np.int64)
                 kinds, counts = np.unique(q, axis=0, return_counts=True)

@@ -22,7 +22,7 @@ SNIPPETS = "array<struct<kind:string,text:string,weight:double,ord:int>>"
 
 def without_code(html: Column) -> Column:
     """Html without scripts, styles and comments."""
-    return F.regexp_replace(html, "(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
+    return F.regexp_replace(html, "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
 
 
 def plain(markup_text: Column) -> Column:
@@ -33,9 +33,25 @@ def plain(markup_text: Column) -> Column:
     return F.trim(F.regexp_replace(said, "[ \\t\\n\\r]+", " "))
 
 
+#: An anchor up to its href: quoted in either way or bare, in any case, whatever attributes stand before.
+ANCHOR = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def hrefs(html: Column) -> Column:
+    """The href of every anchor in page order, trimmed, its commonest references decoded; those without any are left out."""
+
+    def plain_href(h: Column) -> Column:
+        said = F.regexp_replace(h, r"""^["']|["']$""", "")
+        for a, b in (("&#38;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            said = F.replace(said, F.lit(a), F.lit(b))
+        return F.trim(said)
+
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), plain_href), lambda h: h != "")
+
+
 def links(pages: DataFrame, per_page: bool = True) -> DataFrame:
-    """``(page_id, url, href)`` of anchors in double quotes; each href once a page."""
-    found = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
+    """``(page_id, url, href)`` of anchors outside scripts, styles and comments; each href once a page."""
+    found = hrefs(without_code(F.col("html")))
     return pages.select("page_id", "url", F.explode(F.array_distinct(found) if per_page else found).alias("href"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -83,6 +84,31 @@ class Document:
             self.y -= size * 1.4
             self.pages[-1].append(b"BT /F%d %.1f Tf %.1f %.1f Td %s Tj ET" % (2 if bold else 1, size, MARGIN, self.y, _said(line)))
 
+    def section(self, title: str) -> None:
+        """A heading with a line under it, which keeps some room for what follows."""
+        self.room(90)
+        self.y -= 10
+        self.text(title, 16, True)
+        self.y -= 6
+        self.pages[-1].append(b"0.6 w %.1f %.1f m %.1f %.1f l S" % (MARGIN, self.y, WIDTH - MARGIN, self.y))
+        self.y -= 6
+
+    def pairs(self, rows: list[tuple[str, str]], label: float = 130.0, size: float = 10.0) -> None:
+        """Names on the left, what they stand for on the right."""
+        for name, said in rows:
+            lines = wrapped(said, size, WIDTH - 2 * MARGIN - label)
+            for k, line in enumerate(lines):
+                self.room(size * 1.4)
+                self.y -= size * 1.4
+                if not k:
+                    self.pages[-1].append(b"BT /F2 %.1f Tf %.1f %.1f Td %s Tj ET" % (size, MARGIN, self.y, _said(name)))
+                self.pages[-1].append(b"BT /F1 %.1f Tf %.1f %.1f Td %s Tj ET" % (size, MARGIN + label, self.y, _said(line)))
+            self.y -= 3
+
+    def pills(self, items: list[str]) -> None:
+        for row in pill_rows(items, WIDTH - 2 * MARGIN):
+            self.text(" · ".join(row), 8)
+
     def fields(self, colours: list[str]) -> None:
         """A row of colours with their names; a grey one if there are none."""
         colours = colours or ["#CCCCCC"]
@@ -132,37 +158,73 @@ class Document:
         return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(at) + 1, table, len(at) + 1, len(out))
 
 
-def rendered(name: str, palette: list[str], clusters: list[dict], texts: list[str], pictures: dict[str, bytes]) -> bytes:
-    """Cover, palette, themes with pictures, and voice; sections without content are left out."""
-    d = Document()
+#: Parts of a profile: ``(title, its text, its named values, its lists of labels)``, by fields of the profile.
+SECTIONS = (
+    ("Summary", ("summary",), (("Industry", "industry"), ("Position", "positioning")), ("keywords",)),
+    ("Visual identity", ("visual_identity",), (("Photography", "photography"), ("Composition", "composition"), ("Materials", "materials"), ("Colours", "colours")), ("visual_keywords",)),
+    ("Voice", ("voice",), (("Tone", "tone"), ("Vocabulary", "vocabulary"), ("Messages", "messages")), ("voice_traits",)),
+    ("Audience", ("audience",), (("Age", "age"), ("Lifestyle", "lifestyle"), ("Motives", "motives")), ("audience_signals",)),
+)
+NOTES = ("Strategic notes", ("notes",), (("Strengths", "strengths"), ("Risks", "risks"), ("Openings", "openings")), ())
+
+
+def _there(profile: dict, section: tuple) -> tuple[list[str], list[tuple[str, str]], list[str]]:
+    """What a profile says for a section; blank fields are left out."""
+    said = lambda k: str(profile.get(k) or "").strip() if not isinstance(profile.get(k), list) else ", ".join(map(str, profile[k]))
+    _, texts, named, labels = section
+    return [said(k) for k in texts if said(k)], [(n, said(k)) for n, k in named if said(k)], [str(x) for k in labels for x in profile.get(k) or () if str(x).strip()]
+
+
+def _written(d: Document, profile: dict, section: tuple, more: list[str] = ()) -> None:
+    texts, named, labels = _there(profile, section)
+    if texts or named or labels or more:
+        d.section(section[0])
+        for t in texts:
+            d.text(t)
+        d.pairs(named)
+        d.pills(labels)
+        for t in more:
+            d.text(t)
+
+
+def rendered(name: str, palette: list[str], clusters: list[dict], texts: list[str], pictures: dict[str, bytes], profile: dict | None = None) -> bytes:
+    """Cover, summary, visual identity, palette, voice, audience, themes with pictures, and notes; sections without content are left out."""
+    d, profile = Document(), profile or {}
     d.y = HEIGHT / 2
     d.text(name, 32, True)
     d.turn()
-    d.text("Palette", 16, True)
+    summary, visual, voice, audience = SECTIONS
+    _written(d, profile, summary)
+    _written(d, profile, visual)
+    d.section("Palette")
     d.fields(palette)
+    _written(d, profile, voice, texts)
+    _written(d, profile, audience)
     if clusters:
-        d.text("Themes", 16, True)
+        d.section("Themes")
     for c in clusters:
         d.text(c["label"] or "", 12, True)
-        for row in pill_rows(list(c.get("key_elements") or ()), WIDTH - 2 * MARGIN):
-            d.text("   ".join(row), 8)
+        if c.get("description"):
+            d.text(c["description"])
+        d.pills(list(c.get("key_elements") or ()))
         d.strip([pictures[u] for u in c.get("image_urls") or () if u in pictures])
-    if texts:
-        d.text("Voice", 16, True)
-    for t in texts:
-        d.text(t)
+    _written(d, profile, NOTES)
     return d.bytes()
 
 
 def documents(reports: DataFrame, blobs: DataFrame) -> DataFrame:
-    """``(brand_id, pdf)``; ``blobs`` are ``(url, content)``, of which each report meets its own few."""
+    """``(brand_id, pdf)``; ``blobs`` are ``(url, content)``, of which each report meets its own few.
+
+    A column ``profile`` (a struct, or JSON text) fills the sections of summary, identity, voice, audience and notes.
+    """
+    profile = F.lit(None).cast("string") if "profile" not in reports.columns else F.col("profile") if reports.schema["profile"].dataType.simpleString() == "string" else F.to_json("profile")
     wanted = reports.select("brand_id", F.explode("clusters").alias("c")).select("brand_id", F.explode("c.image_urls").alias("url")).distinct()
     shown = wanted.join(blobs, "url").groupBy("brand_id").agg(F.collect_list(F.struct("url", "content")).alias("pictures"))
-    rows = reports.select("brand_id", "name", F.transform("palette", lambda p: p["hex"]).alias("palette"), "clusters", "texts").join(shown, "brand_id", "left")
+    rows = reports.select("brand_id", "name", F.transform("palette", lambda p: p["hex"]).alias("palette"), "clusters", "texts", profile.alias("profile")).join(shown, "brand_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [rendered(r["name"] or "", r["palette"] or [], r["clusters"] or [], r["texts"] or [], {p["url"]: p["content"] for p in r["pictures"] or ()}) for r in b.to_pylist()]
+            out = [rendered(r["name"] or "", r["palette"] or [], r["clusters"] or [], r["texts"] or [], {p["url"]: p["content"] for p in r["pictures"] or ()}, json.loads(r["profile"] or "{}")) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("brand_id"), pa.array(out, pa.binary())], names=["brand_id", "pdf"])
 
     return rows.mapInArrow(run, "brand_id bigint, pdf binary")

@@ -5,9 +5,12 @@ Rules are data, one row a domain; the structs below are the schema of that table
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls as U
@@ -131,6 +134,43 @@ def resolve(wanted: DataFrame, stored: DataFrame, inferred: DataFrame, today) ->
     return got.select("domain", origin.alias("origin"), F.when(is_fresh, F.col("stored")).otherwise(F.col("inferred")).alias("rules"))
 
 
+def load_or_infer(wanted: DataFrame, stored: DataFrame, samples: DataFrame, infer: Callable[[str, str], Rules], now: datetime, refresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(rules in use, the table from now on)``: stored rules of today, else inferred ones.
+
+    ``samples`` are ``(domain, ord, url, html)``, a few pages a domain.  ``infer(prompt, domain)`` gives rules; those that
+    find nothing on the domain's own samples make way for the usual ones of shops, with the inferred card rule.  The
+    rules in use carry ``origin``: ``stored``, ``inferred`` or ``default``.
+    """
+    from ..functions.rules import fresh
+    from ..plans.prompts import extraction
+
+    today = F.lit(now.date())
+    kept = stored.where(F.lit(not refresh) & F.coalesce(fresh(F.col("updated_at"), today), F.lit(False)))
+    names = wanted.select("domain").distinct()
+    seen = F.struct("ord", "url", U.sample_type(F.col("url")).alias("page_type"), "html")
+    told = samples.groupBy("domain").agg(F.sort_array(F.collect_list(seen)).alias("samples"))
+    due = names.join(kept, "domain", "left_anti").join(told, "domain", "left")
+    due = due.withColumn("prompt", extraction(F.col("domain"), F.coalesce("samples", F.array().cast(told.schema["samples"].dataType))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .products import finds_anything
+
+        for b in batches:
+            out = []
+            for domain, prompt, pages in zip(*(b.column(c).to_pylist() for c in ("domain", "prompt", "samples"))):
+                got = infer(prompt, domain)
+                valid = finds_anything(got, [(p["url"] or "", p["html"] or "") for p in pages or ()])
+                said = asdict(replace(settled(got, valid), domain=domain, updated_at=None))
+                out.append((domain, "inferred" if valid else "default", json.dumps(said)))
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["domain", "origin", "rules"])
+
+    got = due.select("domain", "prompt", "samples").mapInArrow(run, "domain string, origin string, rules string")
+    got = got.select("origin", F.from_json("rules", SCHEMA).alias("r")).select("origin", "r.*").withColumn("updated_at", F.lit(now).cast("timestamp"))
+    used = kept.join(names, "domain", "left_semi").withColumn("origin", F.lit("stored")).unionByName(got)
+    return used, upsert(stored, got.drop("origin"))
+
+
 def settled(inferred: Rules, valid: bool) -> Rules:
     """Inferred rules if they found something on the samples, else the usual ones of shops with the inferred card rule."""
     if valid:

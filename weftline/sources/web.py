@@ -119,6 +119,12 @@ def send(rows: DataFrame, url: str, method: str = "POST") -> DataFrame:
     return said.mapInArrow(run, "status int").groupBy("status").agg(F.count("*").alias("n"))
 
 
+def store_ready(spark: SparkSession, path: str) -> bool:
+    """Whether the store of a table answers and the table's folder is there; an unreachable store is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def healthy(pages: DataFrame) -> DataFrame:
     """Every page, or an error that names the first thing wrong with one."""
     html = F.make_valid_utf8(F.col("body").cast("string"))

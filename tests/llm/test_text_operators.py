@@ -48,7 +48,6 @@ def test_replay_equals_tiktoken(encoder):
 def test_long_text_in_runs(encoder, monkeypatch):
     own, other = encoder
     monkeypatch.setattr(bpe, "RUN", 64)
-    monkeypatch.setattr(bpe, "KEPT", 5)
     text = "words in a row, again and again. " * 50
     assert np.frombuffer(own.encode_block([text, "x"])[0], dtype="<u4").tolist() == other.encode_ordinary(text)
 
@@ -64,6 +63,22 @@ def test_bpe_digest_and_round_trip(spark, odd, encoder):
     assert bpe.digest(odd.limit(0), path, P.PATTERN).count() == 0
 
 
+@needs_data
+def test_a_corpus_in_many_blocks(spark, encoder):
+    """Words are numbered anew in each block and replayed once, in whichever part of the vocabulary they fall."""
+    P = pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(3)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, block=100_000, postings=700).collect()}
+    assert got == {r.doc_id: encoder[1].encode_ordinary(r.text or "") for r in docs.collect()}
+
+
+def test_numbers_are_packed_and_unpacked():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 5, 70_000):
+        x = r.integers(0, 1 << 20, n).astype(np.int32)
+        assert np.array_equal(bpe.unpacked(bpe.packed(x), n), x)
+
+
 # -- chat ------------------------------------------------------------------------------------
 
 

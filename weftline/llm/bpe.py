@@ -1,15 +1,23 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pre-tokens of a block of texts are laid out as one array of byte tokens.  An
-inverted index maps the rank of a token pair to the positions where the pair stands; merges
-are taken from a queue in rank order, each applied to all of its positions at once, and only
-the pairs next to a merged position are looked up anew.  A pre-token's ids are kept in a
-bounded table for the next blocks of the same task, so common words are replayed about once
-a task, and no word ever has to be shuffled.
+Texts are split into pre-tokens once.  Those of a block of texts are numbered, and the block is
+stored in the shared folder as its texts' numbers, packed, and its distinct pre-tokens.  These are
+dealt by pre-token over the cluster, so that each part of the corpus's vocabulary lies in one
+place, with the blocks it stands in; there its words are laid out as one array of byte tokens.
+An inverted index maps the rank of a token pair to the positions where the pair stands; merges are
+taken from a queue in rank order, each applied to all of its positions at once, and only the pairs
+next to a merged position are looked up anew.  The ids go back to the blocks as (number, ids),
+where texts are put together from them.
+
+Scale: what is shuffled is one short row for each distinct pre-token of a block, twice, and the
+packed numbers once.  No pre-token has more rows than there are blocks, so none is hot.  Memory
+is that of a block's numbers and vocabulary, and of ``POSTINGS`` rows where words are replayed;
+a word that stands on more rows of its part than that is replayed once for each.
 
 Edge cases: a null text is an empty text; an empty text has no tokens; one row in, one row
-out, repeated rows included; other columns are not read.  A text of any length works: its
-pre-tokens are taken in runs.
+out, repeated rows included; an empty table gives none; other columns are not read; a text of any
+length works: its pre-tokens are taken in runs.  Ranks are unique, so merges never tie; of places
+of one pair that overlap, the left one is merged.
 """
 
 from __future__ import annotations
@@ -17,22 +25,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, spread, table
+from .common import blocks, shared_dir, sorted_groups, spread, starts_of, table, tidy
 
-#: Bytes of text whose new pre-tokens are replayed together.
-BLOCK = 6 << 20
-#: Pre-tokens kept between the blocks of a task; beyond it only those that the next block has again stay.
-KEPT = 300_000
-#: Pre-tokens of one text taken at a time.
-RUN = 1 << 20
+#: Bytes of text that share one numbering, and those split at a time.
+BLOCK, PIECE = 32 << 20, 2 << 20
+#: Rows of pre-tokens replayed together.
+POSTINGS = 500_000
+#: Pre-tokens, or ids, of one text taken at a time.
+RUN = 1 << 18
 
 
 class Replay:
@@ -61,7 +71,6 @@ class Replay:
         self.careful = np.zeros(top, dtype=bool)
         self.careful[a[r < a]] = True
         self.careful[b[r < b]] = True
-        self.kept: dict[str, bytes] = {}
         self.size = np.array([len(t) for t in self.token], dtype=np.int64)
         self.start = np.r_[0, np.cumsum(self.size)[:-1]]
         self.flat = np.frombuffer(b"".join(self.token), dtype=np.uint8)
@@ -139,40 +148,28 @@ class Replay:
         stop = (np.cumsum(count) * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *stop[:-1]], stop)]
 
-    def learn(self, found: set[str]) -> None:
-        """Put the ids of these pre-tokens into the table."""
-        if len(self.kept) + len(found) > KEPT:
-            self.kept = {w: ids for w in found if (ids := self.kept.get(w)) is not None}
-        new = [w for w in found if w not in self.kept]
-        raw = [w.encode() for w in new]
-        hard = []
-        for w, b in zip(new, raw):
-            if (r := self.ranks.get(b)) is not None:
-                self.kept[w] = r.to_bytes(4, "little")
-            else:
-                hard.append((w, b))
-        if hard:
-            for (w, _), ids in zip(hard, self.replay([b for _, b in hard])):
-                self.kept[w] = ids
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; whole tokens need no replay."""
+        out = [b"" if (r := self.ranks.get(w)) is None else r.to_bytes(4, "little") for w in words]
+        hard = [i for i, x in enumerate(out) if not x and words[i]]
+        for i, ids in zip(hard, self.replay([words[i] for i in hard]) if hard else ()):
+            out[i] = ids
+        return out
+
+    def numbers(self, text: str, number: dict[str, int]) -> np.ndarray:
+        """The numbers of a text's pre-tokens; new ones are numbered."""
+        found, parts = (m.group() for m in self.pattern.finditer(text)) if len(text) > RUN else iter(self.pattern.findall(text)), []
+        while part := list(islice(found, RUN)):
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in part), dtype=np.int32, count=len(part)))
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        if any(len(t) > RUN for t in texts):
-            return [self.encode_long(t) if len(t) > RUN else self.encode_block([t])[0] for t in texts]
-        pieces = [self.pattern.findall(t) for t in texts]
-        found: set[str] = set()
-        for p in pieces:
-            found.update(p)
-        self.learn(found)
-        get = self.kept.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    def encode_long(self, text: str) -> bytes:
-        out, found = [], (m.group() for m in self.pattern.finditer(text))
-        while part := list(islice(found, RUN // 4)):
-            self.learn(set(part))
-            out.append(b"".join(map(self.kept.__getitem__, part)))
-        return b"".join(out)
+        """Packed ids of each text of a corpus that is at hand."""
+        number: dict[str, int] = {}
+        found = [self.numbers(t, number) for t in texts]
+        ids = self.encode_words([w.encode() for w in number])
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        return [gathered(x, np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size, size) for x in found]
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes of packed ids."""
@@ -186,6 +183,28 @@ class Replay:
         return b"".join(out)
 
 
+def gathered(numbers: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """The ids of numbered words one after the other, from where each begins and how many it has."""
+    out = []
+    for a in range(0, len(numbers), RUN):
+        n = numbers[a : a + RUN]
+        s = size[n]
+        out.append(flat[np.arange(int(s.sum())) + np.repeat(start[n] - (np.cumsum(s) - s), s)].astype("<u4").tobytes())
+    return b"".join(out)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
+
+
+def unpacked(said: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(said, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file of lines ``base64 rank``."""
     with open(path, "rb") as f:
@@ -198,23 +217,108 @@ def replay_of(path: str, pattern: str) -> Replay:
     return Replay(read_ranks(path), pattern)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
+def _numbered(docs: DataFrame, path: str, pattern: str, key: str, most: int) -> DataFrame:
+    """Blocks: rows ``(block, i, word)`` of their distinct pre-tokens, and rows ``(block, n, said, key)`` of their texts' numbers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, number, seen, block = replay_of(path, pattern), {}, 0, TaskContext.get().partitionId() << 32
 
+        def words() -> Iterator[pa.RecordBatch]:
+            w = list(number)
+            for a in range(0, len(w), 50_000):
+                part = w[a : a + 50_000]
+                yield rows(pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.string()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), kind))
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """``(key, ids array<int>)`` of each text."""
+        def rows(i: pa.Array, word: pa.Array, said: pa.Array, keys: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), i, word, said, keys], names=["block", "i", "word", "said", "of"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = replay_of(path, pattern)
         for whole in batches:
-            for b in blocks(whole, "text", BLOCK):
-                ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in r.encode_block(_texts(b))]
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
-        r.kept.clear()  # a worker process outlives its task
+            kind = whole.schema.field(key).type
+            for b in blocks(whole, "text", PIECE):
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                found = [r.numbers(t, number) for t in texts]
+                yield rows(pa.array(map(len, found), pa.int32()), pa.nulls(len(found), pa.string()), pa.array(map(packed, found), pa.binary()), b.column(key))
+                seen += sum(map(len, texts))
+                if seen > most:
+                    yield from words()
+                    number, seen, block = {}, 0, block + 1
+        if number:
+            yield from words()
+        tidy()
+
+    kind_ = docs.schema[key].dataType.simpleString()
+    folder = f"{shared_dir(docs.sparkSession)}/bpe-{uuid.uuid4().hex}"
+    schema = f"block bigint, i int, word string, said binary, of {kind_}"
+    docs.select(key, "text").mapInArrow(run, schema).write.parquet(folder)
+    return docs.sparkSession.read.schema(schema).parquet(folder)
+
+
+def _replayed(path: str, pattern: str, postings: int):
+    """Ids of words, which are all rows of their part of the vocabulary at once, or ``postings`` of them."""
+
+    def ids_of(rows: pa.Table) -> pa.RecordBatch:
+        word = rows.column("word").combine_chunks().dictionary_encode()
+        ids = pa.array(replay_of(path, pattern).encode_words([w.encode() for w in word.dictionary.to_pylist()]), pa.binary())
+        return pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), rows.column("i").combine_chunks(), ids.take(word.indices)], names=["block", "i", "said"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    def run(batches):
+        kept, n = [], 0
+        for b in batches:
+            kept.append(b)
+            n += b.num_rows
+            if n >= postings:
+                yield ids_of(pa.Table.from_batches(kept))
+                kept, n = [], 0
+        if n:
+            yield ids_of(pa.Table.from_batches(kept))
+        tidy()
+
+    return run
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, key: str, finish: Callable[[list[bytes]], list[pa.Array]], names: list[str], schema: str, block: int = BLOCK, postings: int = POSTINGS) -> DataFrame:
+    """``(key, ...)`` of each text, where ``finish`` makes the other columns from packed ids."""
+    stored = _numbered(docs, path, pattern, key, block)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = stored.where("word is not null").select("block", "i", "word").repartition(n, "word")
+    kind = docs.schema[key].dataType
+    ids = words.mapInArrow(_replayed(path, pattern, postings), "block bigint, i int, said binary").select("block", F.lit(0).alias("kind"), "i", "said", F.lit(None).cast(kind).alias("of"))
+    texts = stored.where("word is null").select("block", F.lit(1).alias("kind"), "i", "said", "of")
+
+    def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            t = t.combine_chunks()
+            cuts = starts_of(np.asarray(t.column("block")))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = t.slice(a, b - a)
+                is_text = np.asarray(own.column("kind")) == 1
+                word, text = own.filter(pa.array(~is_text)).combine_chunks(), own.filter(pa.array(is_text)).combine_chunks()
+                flat, start, size = _table_of(word)
+                for c in range(0, text.num_rows, 1000):
+                    part = text.slice(c, 1000)
+                    got = [gathered(unpacked(x, n), flat, start, size) for x, n in zip(part.column("said").to_pylist(), part.column("i").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([part.column("of").combine_chunks(), *finish(got)], names=[key, *names])
+
+    return sorted_groups(ids.union(texts), ["block"], [], run, f"`{key}` {kind.simpleString()}, {schema}")
+
+
+def _table_of(word: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block's words, and by number where each word's begin and how many there are."""
+    i, said = np.asarray(word.column("i")), word.column("said").to_pylist()
+    size = np.zeros(len(i), dtype=np.int64)
+    size[i] = np.fromiter(map(len, said), dtype=np.int64, count=len(said)) // 4
+    order = np.empty(len(i), dtype=np.int64)
+    order[i] = np.arange(len(i))
+    return np.frombuffer(b"".join(map(said.__getitem__, order.tolist())), dtype="<u4"), np.cumsum(size) - size, size
+
+
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", block: int = BLOCK, postings: int = POSTINGS) -> DataFrame:
+    """``(key, ids array<int>)`` of each text, by blocks of about ``block`` characters."""
+
+    def finish(ids: list[bytes]) -> list[pa.Array]:
+        return [pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))]
+
+    return _encoded(docs, path, pattern, key, finish, ["ids"], "ids array<int>", block, postings)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -233,24 +337,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode each text, decode its ids again, and return counts and digests of both."""
 
-    def run(batches):
+    def finish(ids: list[bytes]) -> list[pa.Array]:
         r = replay_of(path, pattern)
-        for whole in batches:
-            for b in blocks(whole, "text", BLOCK):
-                ids = r.encode_block(_texts(b))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(r.decode(x)).hexdigest() for x in ids]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-        r.kept.clear()  # a worker process outlives its task
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(r.decode(x)).hexdigest() for x in ids], pa.string())]
+
+    return _encoded(docs, path, pattern, "doc_id", finish, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

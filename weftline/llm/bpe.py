@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Texts are split into pre-tokens once.  Those of a block of texts are numbered, and the block is
-stored in the shared folder as its texts' numbers, packed, and its distinct pre-tokens.  These are
-dealt by pre-token over the cluster, so that each part of the corpus's vocabulary lies in one
-place, with the blocks it stands in; there its words are laid out as one array of byte tokens.
+Texts are split into pre-tokens once.  Those of a block of texts are numbered by frequency, and the block is
+stored in the shared folder as its texts' numbers and its distinct pre-tokens, both packed.  The
+latter are dealt by pre-token over the cluster, so that each part of the corpus's vocabulary lies in
+one place, with the blocks it stands in; there its words are laid out as one array of byte tokens.
 An inverted index maps the rank of a token pair to the positions where the pair stands; merges are
 taken from a queue in rank order, each applied to all of its positions at once, and only the pairs
 next to a merged position are looked up anew.  The ids go back to the blocks as (number, ids),
 where texts are put together from them.
 
-Scale: what is shuffled is one short row for each distinct pre-token of a block, twice, and the
-packed numbers once.  No pre-token has more rows than there are blocks, so none is hot.  Memory
-is that of a block's numbers and vocabulary, and of ``POSTINGS`` rows where words are replayed;
-a word that stands on more rows of its part than that is replayed once for each.
+Scale: what is shuffled is one row for each block and part of the vocabulary, twice, with some bytes
+a word, and the packed numbers once.  No pre-token is in a block's row twice, so none is hot.  Memory
+is that of a block's numbers and vocabulary, and of ``POSTINGS`` words where they are replayed;
+a word that stands in more blocks of its part than fit into that is replayed once for each lot.
 
 Edge cases: a null text is an empty text; an empty text has no tokens; one row in, one row
 out, repeated rows included; an empty table gives none; other columns are not read; a text of any
@@ -26,12 +26,14 @@ import base64
 import hashlib
 import heapq
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,10 +41,12 @@ from .common import blocks, shared_dir, sorted_groups, spread, starts_of, table,
 
 #: Bytes of text that share one numbering, and those split at a time.
 BLOCK, PIECE = 32 << 20, 2 << 20
-#: Rows of pre-tokens replayed together.
+#: Pre-tokens of blocks replayed together.
 POSTINGS = 500_000
-#: Pre-tokens, or ids, of one text taken at a time.
-RUN = 1 << 18
+#: Pre-tokens, or ids, of one text taken at a time, and numbers of texts in a row.
+RUN, ROW = 1 << 18, 1 << 20
+#: Of compression: what is stored and shuffled counts, time hardly.
+LEVEL = 9
 
 
 class Replay:
@@ -195,7 +199,11 @@ def gathered(numbers: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers by planes of their bytes, compressed."""
-    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
+    return _squeezed(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()) if len(numbers) else b""
+
+
+def _squeezed(said: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(said, asbytes=True)
 
 
 def unpacked(said: bytes, n: int) -> np.ndarray:
@@ -217,60 +225,113 @@ def replay_of(path: str, pattern: str) -> Replay:
     return Replay(read_ranks(path), pattern)
 
 
-def _numbered(docs: DataFrame, path: str, pattern: str, key: str, most: int) -> DataFrame:
-    """Blocks: rows ``(block, i, word)`` of their distinct pre-tokens, and rows ``(block, n, said, key)`` of their texts' numbers."""
+_PACKED = "block bigint, part int, n int, numbers binary, sizes binary, said binary"
+_NAMES = ["block", "part", "n", "numbers", "sizes", "said"]
+
+
+def _row(block: int, part: int | None, n: int, numbers: bytes | None, sizes: bytes | None, said: bytes) -> tuple:
+    return block, part, n, numbers, sizes, said
+
+
+def _batch(rows: list[tuple], more: list[pa.Array] = (), names: list[str] = ()) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)), *more], names=[*_NAMES, *names])
+
+
+def _words_of(block: int, raw: list[bytes], parts: int) -> tuple[list[tuple], bytes]:
+    """A block's vocabulary, one row for each part of that of the corpus, and the words' numbers in the order of the rows."""
+    part = np.fromiter(map(zlib.crc32, raw), dtype=np.int64, count=len(raw)) % parts
+    order = np.argsort(part, kind="stable")
+    cuts, out = starts_of(part[order]), []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        words = [raw[i] for i in order[a:b].tolist()]
+        out.append(_row(block, int(part[order[a]]), b - a, None, packed(np.fromiter(map(len, words), dtype=np.int64, count=b - a)), _squeezed(b"".join(words))))
+    return out, packed(np.diff(order, prepend=0))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, number, seen, block = replay_of(path, pattern), {}, 0, TaskContext.get().partitionId() << 32
 
-        def words() -> Iterator[pa.RecordBatch]:
-            w = list(number)
-            for a in range(0, len(w), 50_000):
-                part = w[a : a + 50_000]
-                yield rows(pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.string()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), kind))
+def _texts_of(block: int, found: list[np.ndarray], numbers: bytes) -> Iterator[tuple[int, tuple]]:
+    """Texts of a block, about ``ROW`` numbers a row: how many texts, and the row; the first has the words' numbers."""
+    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    group = np.cumsum(size) // ROW
+    cuts = starts_of(group)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield b - a, _row(block, None, b - a, None if a else numbers, packed(size[a:b]), packed(np.concatenate(found[a:b])))
 
-        def rows(i: pa.Array, word: pa.Array, said: pa.Array, keys: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), i, word, said, keys], names=["block", "i", "word", "said", "of"])
+
+def _numbered(docs: DataFrame, path: str, pattern: str, key: str, most: int, parts: int) -> DataFrame:
+    """Blocks: rows of their distinct pre-tokens, by part, and rows without part of their texts' numbers, with the keys as ``of``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, number, seen, block = replay_of(path, pattern), {}, 0, TaskContext.get().partitionId() << 32
+        found: list[np.ndarray] = []
+        keys: list[pa.Array] = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            count = np.zeros(len(number), dtype=np.int64)
+            for a in range(0, len(found), 1000):
+                count += np.bincount(np.concatenate(found[a : a + 1000]), minlength=len(number))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(number), dtype=np.int32)
+            rank[order] = np.arange(len(number))
+            raw = list(number)
+            rows, numbers = _words_of(block, [raw[i].encode() for i in order.tolist()], parts)
+            yield _batch(rows, [pa.nulls(len(rows), pa.list_(keys[0].type))], ["of"])
+            all_keys, at = pa.chunked_array(keys).combine_chunks(), 0
+            for n, row in _texts_of(block, [rank[x] for x in found], numbers):
+                yield _batch([row], [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), all_keys.slice(at, n))], ["of"])
+                at += n
 
         for whole in batches:
-            kind = whole.schema.field(key).type
             for b in blocks(whole, "text", PIECE):
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                found = [r.numbers(t, number) for t in texts]
-                yield rows(pa.array(map(len, found), pa.int32()), pa.nulls(len(found), pa.string()), pa.array(map(packed, found), pa.binary()), b.column(key))
+                found += [r.numbers(t, number) for t in texts]
+                keys.append(b.column(key))
                 seen += sum(map(len, texts))
                 if seen > most:
-                    yield from words()
+                    yield from ended()
                     number, seen, block = {}, 0, block + 1
-        if number:
-            yield from words()
+                    found.clear()
+                    keys.clear()
+        if found:
+            yield from ended()
         tidy()
 
-    kind_ = docs.schema[key].dataType.simpleString()
+    schema = f"{_PACKED}, of array<{docs.schema[key].dataType.simpleString()}>"
     folder = f"{shared_dir(docs.sparkSession)}/bpe-{uuid.uuid4().hex}"
-    schema = f"block bigint, i int, word string, said binary, of {kind_}"
     docs.select(key, "text").mapInArrow(run, schema).write.parquet(folder)
     return docs.sparkSession.read.schema(schema).parquet(folder)
 
 
 def _replayed(path: str, pattern: str, postings: int):
-    """Ids of words, which are all rows of their part of the vocabulary at once, or ``postings`` of them."""
-
-    def ids_of(rows: pa.Table) -> pa.RecordBatch:
-        word = rows.column("word").combine_chunks().dictionary_encode()
-        ids = pa.array(replay_of(path, pattern).encode_words([w.encode() for w in word.dictionary.to_pylist()]), pa.binary())
-        return pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), rows.column("i").combine_chunks(), ids.take(word.indices)], names=["block", "i", "said"])
+    """Ids of words, which are all of their part of the vocabulary at once, or about ``postings`` of them."""
+
+    def ids_of(rows: list[dict]) -> pa.RecordBatch:
+        number: dict[bytes, int] = {}
+        which, out = [], []
+        for x in rows:
+            size = unpacked(x["sizes"], x["n"])
+            ends = np.cumsum(size).tolist()
+            text = pa.decompress(x["said"], decompressed_size=ends[-1], codec="zstd", asbytes=True)
+            which.append(np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends)), dtype=np.int64, count=x["n"]))
+        ids = replay_of(path, pattern).encode_words(list(number))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        for x, w in zip(rows, which):
+            got = np.frombuffer(gathered(w, flat, start, size), dtype="<u4")
+            out.append(_row(x["block"], x["part"], x["n"], None, packed(size[w]), packed(got)))
+        return _batch(out)
 
     def run(batches):
         kept, n = [], 0
         for b in batches:
-            kept.append(b)
-            n += b.num_rows
-            if n >= postings:
-                yield ids_of(pa.Table.from_batches(kept))
-                kept, n = [], 0
-        if n:
-            yield ids_of(pa.Table.from_batches(kept))
+            for x in b.to_pylist():
+                kept.append(x)
+                n += x["n"]
+                if n >= postings:
+                    yield ids_of(kept)
+                    kept, n = [], 0
+        if kept:
+            yield ids_of(kept)
         tidy()
 
     return run
@@ -278,12 +339,10 @@ def _replayed(path: str, pattern: str, postings: int):
 
 def _encoded(docs: DataFrame, path: str, pattern: str, key: str, finish: Callable[[list[bytes]], list[pa.Array]], names: list[str], schema: str, block: int = BLOCK, postings: int = POSTINGS) -> DataFrame:
     """``(key, ...)`` of each text, where ``finish`` makes the other columns from packed ids."""
-    stored = _numbered(docs, path, pattern, key, block)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = stored.where("word is not null").select("block", "i", "word").repartition(n, "word")
-    kind = docs.schema[key].dataType
-    ids = words.mapInArrow(_replayed(path, pattern, postings), "block bigint, i int, said binary").select("block", F.lit(0).alias("kind"), "i", "said", F.lit(None).cast(kind).alias("of"))
-    texts = stored.where("word is null").select("block", F.lit(1).alias("kind"), "i", "said", "of")
+    stored, kind = _numbered(docs, path, pattern, key, block, 2 * n), docs.schema[key].dataType
+    words = stored.where("part is not null").select(*_NAMES).repartition(n, "part")
+    ids = words.mapInArrow(_replayed(path, pattern, postings), _PACKED).withColumn("of", F.lit(None).cast(stored.schema["of"].dataType))
 
     def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for t in tables:
@@ -291,25 +350,31 @@ def _encoded(docs: DataFrame, path: str, pattern: str, key: str, finish: Callabl
             cuts = starts_of(np.asarray(t.column("block")))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own = t.slice(a, b - a)
-                is_text = np.asarray(own.column("kind")) == 1
-                word, text = own.filter(pa.array(~is_text)).combine_chunks(), own.filter(pa.array(is_text)).combine_chunks()
-                flat, start, size = _table_of(word)
-                for c in range(0, text.num_rows, 1000):
-                    part = text.slice(c, 1000)
-                    got = [gathered(unpacked(x, n), flat, start, size) for x, n in zip(part.column("said").to_pylist(), part.column("i").to_pylist())]
-                    yield pa.RecordBatch.from_arrays([part.column("of").combine_chunks(), *finish(got)], names=[key, *names])
-
-    return sorted_groups(ids.union(texts), ["block"], [], run, f"`{key}` {kind.simpleString()}, {schema}")
-
-
-def _table_of(word: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                is_text = own.column("part").is_null()
+                text = own.filter(is_text).combine_chunks()
+                numbers = next(x for x in text.column("numbers").to_pylist() if x is not None)
+                flat, start, size = _table_of(own.filter(pa.compute.invert(is_text)).select(_NAMES).to_pylist(), numbers)
+                for c, (many, said, n) in enumerate(zip(*(text.column(x).to_pylist() for x in ("sizes", "said", "n")))):
+                    ends = np.cumsum(unpacked(many, n))
+                    numbers = unpacked(said, int(ends[-1]))
+                    cuts_ = np.r_[0, np.cumsum(size[numbers])][np.r_[0, ends]] * 4
+                    ids = gathered(numbers, flat, start, size)
+                    got = [ids[x:y] for x, y in zip(cuts_[:-1].tolist(), cuts_[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([text.column("of").chunk(0).slice(c, 1).flatten(), *finish(got)], names=[key, *names])
+
+    return sorted_groups(ids.union(stored.where("part is null")), ["block"], [], run, f"`{key}` {kind.simpleString()}, {schema}")
+
+
+def _table_of(rows: list[dict], numbers: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids of a block's words, and by number where each word's begin and how many there are."""
-    i, said = np.asarray(word.column("i")), word.column("said").to_pylist()
-    size = np.zeros(len(i), dtype=np.int64)
-    size[i] = np.fromiter(map(len, said), dtype=np.int64, count=len(said)) // 4
-    order = np.empty(len(i), dtype=np.int64)
-    order[i] = np.arange(len(i))
-    return np.frombuffer(b"".join(map(said.__getitem__, order.tolist())), dtype="<u4"), np.cumsum(size) - size, size
+    rows = sorted(rows, key=lambda x: x["part"])
+    own = np.cumsum(unpacked(numbers, sum(x["n"] for x in rows)))
+    many = np.concatenate([np.zeros(0, dtype=np.int64), *(unpacked(x["sizes"], x["n"]) for x in rows)])
+    start, size = np.empty(len(own), dtype=np.int64), np.empty(len(own), dtype=np.int64)
+    start[own], size[own] = np.cumsum(many) - many, many
+    each = np.cumsum(many)[np.cumsum([x["n"] for x in rows]) - 1] if rows else []
+    flat = [unpacked(x["said"], n) for x, n in zip(rows, np.diff(each, prepend=0).tolist())]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *flat]).astype("<u4"), start, size
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", block: int = BLOCK, postings: int = POSTINGS) -> DataFrame:

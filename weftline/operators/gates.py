@@ -32,11 +32,19 @@ def prompt_share(vectors: DataFrame, prompts: DataFrame, key: str = "vec_id") ->
     """
     if prompts.count() > 1000:
         raise ValueError("prompts are a short list")
-    told = prompts.agg(F.collect_list(F.struct("positive", F.col("prompt").alias("p"))).alias("told")).scalar()
-    sims = vectors.withColumn("_told", told).select(key, F.transform("_told", lambda t: F.struct(t["positive"].alias("positive"), (cosine(F.col("embedding"), t["p"]) * SCALE).alias("s"))).alias("x"))
-    top = sims.withColumn("m", F.array_max(F.transform("x", lambda e: e["s"])))
-    total = lambda keep: F.aggregate("x", F.lit(0.0), lambda acc, e: acc + F.when(keep(e), F.exp(e["s"] - F.col("m"))).otherwise(0.0))
-    return top.select(key, (total(lambda e: e["positive"]) / total(lambda e: F.lit(True))).alias("share"))
+    told = prompts.agg(F.collect_list(F.struct("positive", F.col("prompt").alias("p"), norm(F.col("prompt")).alias("n"))).alias("told")).scalar()
+
+    def share(x: Column) -> Column:
+        m = F.array_max(F.transform(x, lambda e: e["s"]))
+        total = lambda m, keep: F.aggregate(x, F.lit(0.0), lambda acc, e: acc + F.when(keep(e), F.exp(e["s"] - m)).otherwise(0.0))
+        return F.get(F.transform(F.array(m), lambda m: total(m, lambda e: e["positive"]) / total(m, lambda e: F.lit(True))), F.lit(0))
+
+    def similar(own: Column) -> Column:
+        return F.transform(F.col("_told"), lambda t: F.struct(t["positive"].alias("positive"), (dot(F.col("embedding"), t["p"]) / (own * t["n"]) * SCALE).alias("s")))
+
+    # Values that are used more than once pass through a transform of one element, which computes them once.
+    sims = F.get(F.transform(F.array(norm(F.col("embedding"))), similar), F.lit(0))
+    return vectors.withColumn("_told", told).select(key, F.get(F.transform(F.array(sims), share), F.lit(0)).alias("share"))
 
 
 def by_prompts(vectors: DataFrame, prompts: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id") -> DataFrame:

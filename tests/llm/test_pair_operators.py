@@ -150,7 +150,9 @@ def expected_lines(rows, most=2):
     return classes
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("part", [linededup.LIST, 3])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(linededup, "LIST", part)
     r = random.Random(6)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(20, 70))) for _ in range(25)]
     rows = [(k, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 2, 3]), "abc") for _ in range(r.randrange(1, 6)))) for k in range(60)]
@@ -193,7 +195,28 @@ def test_short_lines_take_part(spark):
     assert got == {1: rows[0][1], 2: "\nAB", 3: " ", 4: ""}
 
 
-def test_every_link_is_counted(spark, monkeypatch):
+def test_lists_are_found_across_batches():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    rows = sorted((r.randrange(12), r.randrange(2), r.randrange(6)) for _ in range(90))
+    want = set()
+    for k in range(12):
+        lines = {x for key, _, x in rows if key == k}
+        if len(lines) > 1 and any(key == k and role == 0 for key, role, _ in rows):
+            want |= {(k, x) for x in lines}
+    for size in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=["key", "role", "line"]) for i in range(0, 90, size)]
+        got = [tuple(x.values()) for b in linededup._meeting(iter(batches)) for x in b.to_pylist()]
+        assert {(k, x) for k, x, _ in got} == want
+        for k in {k for k, _ in want}:
+            places = sorted(at for key, _, at in got if key == k)
+            assert places == list(range(len(places)))
+
+
+@pytest.mark.parametrize("part", [linededup.LIST, 4])
+def test_every_link_is_counted(spark, monkeypatch, part):
+    monkeypatch.setattr(linededup, "LIST", part)
     monkeypatch.setattr(linededup, "PAIRS", 50)
     r = random.Random(8)
     base = ["".join(r.choice("abc ") for _ in range(n)) for n in (3, 4, 5, 9, 30, 31, 33, 60) for _ in range(3)]

@@ -11,10 +11,12 @@ what both ends share and a banded bit-parallel edit distance.
 Scale: index entries and probes are 16 bytes and are shuffled once, a line's once a task, however
 often the line stands in it (``KNOWN`` lines are remembered at a time); entries that meet nothing
 go at once.  Only lines that meet another are fetched again as text, known by a bit filter of
-fixed size.  Equal lines are one line throughout.  An index list with very many lines is walked
+fixed size.  Equal lines are one line throughout.  Index lists are found in one sorted pass that
+remembers a row; one of more than ``LIST`` lines is cut into parts of so many, and every two parts are
+compared in a group of their own, so no task holds more than two parts of a list.  A group is walked
 with histograms of characters before any pair is verified, pairs already in one class are
 skipped, and it reports at most one link a line, which is enough for the classes.  Where links
-are counted, every pair that meets is verified, once, in its list; only counts leave it.  Lines and
+are counted, every pair that meets is verified, once, in its group; only counts leave it.  Lines and
 classes with very many members are sent to their rows.  A line is known by 64 bits of its hash.
 
 Edge cases: lines are compared after trimming white space; those of fewer than ``LEAST_CHARS``
@@ -47,9 +49,13 @@ LEAST_CHARS = EDITS + 1
 FILTER_BITS = 1 << 25
 #: Lines a task remembers as seen.
 KNOWN = 1 << 19
+#: Lines in a part of an index list.
+LIST = 1 << 10
 #: Pairs of lines taken at a time where links are counted, and the longest lines compared all at once.
 PAIRS = 1 << 17
 SHORT = 32
+#: The side of all lines of a group that is one part.
+NO_SIDE = -1
 
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -196,46 +202,69 @@ def _entered(edits: int):
     return run
 
 
-def _meeting(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """Entries whose key is held by two lines, one of them indexed."""
-    for t in tables:
-        t = t.combine_chunks()
-        key, line, role = (np.asarray(t.column(c)) for c in ("key", "line", "role"))
-        cuts = starts_of(key)
-        a = cuts[:-1]
-        ok = (np.minimum.reduceat(line, a) != np.maximum.reduceat(line, a)) & (np.minimum.reduceat(role, a) == 0)
-        kept = np.repeat(ok, np.diff(cuts))
-        if kept.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(line[kept])], names=["key", "line"])
+def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries, sorted by key, role and line, whose key is held by two lines, one of them indexed, and their places in the list of the key.
+
+    A line that is both indexed and probed under a key may come twice.  Of a list only the first line and the last row are remembered.
+    """
+    last, first, indexed, place = None, 0, False, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, line, role = (np.asarray(b.column(c)) for c in ("key", "line", "role"))
+        opens = np.r_[last is None or last[0] != key[0], key[1:] != key[:-1]]
+        other = opens | np.r_[last is None or last[1] != line[0], line[1:] != line[:-1]]
+        total, group, starts = np.cumsum(other), np.cumsum(opens), np.flatnonzero(opens)
+        at = total - np.r_[-place, total[starts]][group]
+        firsts, held = np.r_[first, line[starts]], np.r_[indexed, role[starts] == 0]
+        kept = held[group] & other & (at > 0)
+        second = kept & (at == 1)
+        columns = np.r_[key[second], key[kept]], np.r_[firsts[group[second]], line[kept]], np.r_[np.zeros(second.sum(), dtype=np.int64), at[kept]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "line", "at"])
+        last, first, indexed, place = (key[-1], line[-1]), firsts[group[-1]], held[group[-1]], at[-1]
+
+
+def _in_parts(met: DataFrame) -> DataFrame:
+    """``(key, line, side, parts)``: the part of its list that each entry is in, and the last part there is."""
+    long = met.groupBy("key").agg(F.max("at").alias("last")).where(F.col("last") >= LIST)
+    return met.join(long, "key", "left").selectExpr("key", "line", f"at div {LIST} as side", f"coalesce(last div {LIST}, 0L) as parts")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Entries once for each part that theirs is compared with, its own among them; ``pair`` names the two."""
+    each = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
+    return each.select("key", "line", "text", "side", (F.least("side", "part") * F.lit(1 << 32) + F.greatest("side", "part")).alias("pair"))
 
 
 def _verified(edits: int, counted: bool):
     def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for t in tables:
             t = t.combine_chunks()
-            key, line = np.asarray(t.column("key")), np.asarray(t.column("line"))
-            cuts = starts_of(key)
+            key, line, pair, side = (np.asarray(t.column(c)) for c in ("key", "line", "pair", "side"))
+            side = np.where(pair >> 32 == pair & 0xFFFFFFFF, NO_SIDE, side)
+            cuts = starts_of(key, pair)
             u, v = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 ids, first = np.unique(line[a:b], return_index=True)
                 if len(ids) > 1:
                     texts = t.column("text").take(pa.array(first + a)).to_pylist()
-                    for i, j in linked(texts, edits):
+                    for i, j in linked(texts, edits, side[first + a]):
                         u.append(int(ids[i]))
                         v.append(int(ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([0] * len(u), pa.int64())], names=["u", "v", "n"])
             if counted:
-                n = link_counts(key, line, t.column("text").to_pylist(), edits)
+                n = link_counts(key, line, t.column("text").to_pylist(), edits, pair, side)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(line[at]), pa.array(line[at]), pa.array(n[at])], names=["u", "v", "n"])
 
     return run
 
 
-def linked(texts: list[str], edits: int) -> list[tuple[int, int]]:
-    """Pairs that join all texts within the distance of each other; at most one less than there are."""
+def linked(texts: list[str], edits: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that join all texts within the distance of each other, if given only those of different sides; at most one less than there are."""
     n = len(texts)
     label = np.arange(n)
+    side = np.full(n, NO_SIDE) if side is None else side
     size = np.fromiter(map(len, texts), dtype=np.int64, count=n)
     kinds = np.zeros((n, 32), dtype=np.int16)
     if n > 8:
@@ -244,7 +273,7 @@ def linked(texts: list[str], edits: int) -> list[tuple[int, int]]:
             kinds[i] = np.minimum(np.bincount(code % 32, minlength=32), 30_000)
     out = []
     for i in range(1, n):
-        near = (label[:i] != label[i]) & (np.abs(size[:i] - size[i]) <= edits)
+        near = (label[:i] != label[i]) & (np.abs(size[:i] - size[i]) <= edits) & ((side[:i] != side[i]) | (side[i] == NO_SIDE))
         if n > 8 and near.any():
             at = np.flatnonzero(near)
             near[at] = np.abs(kinds[at] - kinds[i]).sum(axis=1, dtype=np.int64) <= 2 * edits
@@ -255,16 +284,18 @@ def linked(texts: list[str], edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_counts(key: np.ndarray, line: np.ndarray, texts: list[str], edits: int) -> np.ndarray:
-    """How many links each row has that are counted in its list; rows of a list stand together.
+def link_counts(key: np.ndarray, line: np.ndarray, texts: list[str], edits: int, pair: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """How many links each row has that are counted in its list, or in a pair of its parts, and there between its sides.
 
     Two lines may meet in several lists.  Their link is counted in that of the first segment of
     the shorter line (of equally long ones, that of smaller id) that the other holds near its
     place, so each link once; pairs are taken some at a time and none is handed on.
     """
     n = len(line)
-    order = np.lexsort((line, key))
-    out, (key, line) = np.zeros(n, dtype=np.int64), (key[order], line[order])
+    pair = np.zeros(n, dtype=np.int64) if pair is None else pair
+    side = np.full(n, NO_SIDE) if side is None else side
+    order = np.lexsort((line, pair, key))
+    out, (key, line, pair, side) = np.zeros(n, dtype=np.int64), (x[order] for x in (key, line, pair, side))
     texts = [texts[i] for i in order]
     size = np.fromiter(map(len, texts), dtype=np.int64, count=n)
     own, probes = np.empty((edits + 1, n), dtype=np.int64), {}
@@ -279,7 +310,7 @@ def link_counts(key: np.ndarray, line: np.ndarray, texts: list[str], edits: int)
     for i, x in enumerate(texts):
         if len(x) <= SHORT:
             short[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype="<u4")
-    cuts = starts_of(key)
+    cuts = starts_of(key, pair)
     before = np.arange(n) - np.repeat(cuts[:-1], np.diff(cuts))
     ends = np.cumsum(before)
     row = 0
@@ -289,7 +320,7 @@ def link_counts(key: np.ndarray, line: np.ndarray, texts: list[str], edits: int)
         b = np.repeat(np.arange(row, stop), many)
         a = np.arange(len(b)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.arange(row, stop) - many, many)
         row = stop
-        kept = (np.abs(size[a] - size[b]) <= edits) & (line[a] != line[b])
+        kept = (np.abs(size[a] - size[b]) <= edits) & (line[a] != line[b]) & ((side[a] != side[b]) | (side[a] == NO_SIDE))
         a, b = a[kept], b[kept]
         swap = size[a] > size[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -366,7 +397,9 @@ def classes(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> tuple
     """``(node, root)`` of the lines, by id, that are within reach of a different line, and ``(node, links)``, if counted."""
     texts = docs.select("text").where("text is not null")
     entered = texts.mapInArrow(_entered(edits), "key bigint, line bigint, role byte")
-    met = cut(sorted_groups(entered, ["key"], [], _meeting, "key bigint, line bigint").distinct())
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = entered.repartition(n, "key").sortWithinPartitions("key", "role", "line").mapInArrow(_meeting, "key bigint, line bigint, at bigint")
+    met = cut(lists.groupBy("key", "line").agg(F.min("at").alias("at")))
     known = docs.sparkSession.sparkContext.broadcast(_bits(met))
 
     def fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,9 +411,8 @@ def classes(docs: DataFrame, edits: int = EDITS, counted: bool = False) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([said[i] for i in kept], pa.string())], names=["line", "text"])
 
     lines = texts.mapInArrow(fetched, "line bigint, text string")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = lines.repartition(n, "line").sortWithinPartitions("line").mapInArrow(_first_of, "line bigint, text string")
-    pairs = sorted_groups(met.join(once, "line"), ["key"], [], _verified(edits, counted), "u bigint, v bigint, n bigint")
+    pairs = sorted_groups(_paired(_in_parts(met).join(once, "line")), ["key", "pair"], [], _verified(edits, counted), "u bigint, v bigint, n bigint")
     pairs = cut(pairs)
     forget(met)
     if not counted:

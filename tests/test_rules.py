@@ -380,3 +380,21 @@ def test_near_hashes_meet_by_pairs_of_bands(spark):
     want = {(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if (a ^ b).bit_count() <= 8}
     got = hamming.near_pairs(spark.createDataFrame([(x,) for x in rows], "phash bigint")).collect()
     assert {(x.a, x.b) for x in got} == want and len(got) == len(want) and all(x.bits == (x.a ^ x.b).bit_count() for x in got)
+
+
+def test_wide_searches_compare_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK", 90)
+    monkeypatch.setattr(hamming, "SPREAD_ROWS", 50)
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(60)]
+    signed = [x - (1 << 64) if x >> 63 else x for b in base for x in {b ^ sum(1 << i for i in r.sample(range(64), r.randrange(0, 20))) for _ in range(8)}]
+    keyed = [(k, h) for k in range(3) for h in signed[k :: 3 - k]] + [(0, None), (9, 5), (9, 5), (None, 5), (None, 7)]
+    near = lambda own: {(min(a, b), max(a, b), n) for i, a in enumerate(own) for b in own[:i] if 0 < (n := ((a ^ b) & (1 << 64) - 1).bit_count()) <= 14}
+    df = spark.createDataFrame(keyed, "brand bigint, phash bigint")
+    got = rows(hamming.near_pairs(df, 14, ["brand"]))
+    assert got == sorted((k, *x) for k in range(3) for x in near(list({h for j, h in keyed if j == k and h is not None})))
+    every = hamming.near_pairs(df, 14)
+    assert rows(every) == sorted(near(list({h for _, h in keyed if h is not None})))
+    assert not hamming.near_pairs(df.where("brand = 8"), 14).collect()
+    # At fourteen bits single bands hold nearly all pairs: rows of pairs aren't made at all.
+    assert "Join" not in every._jdf.queryExecution().optimizedPlan().toString()

@@ -196,6 +196,34 @@ def test_streams(spark, tmp_path):
     assert sorted(r.k for r in spark.table("stream_o").collect()) == ["a", "b"]
 
 
+def test_pages_of_any_age_and_order(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from weftline.plans import catalog
+    from weftline.streaming import pages as stream
+
+    # More files than a batch takes, the oldest pages in the last ones, and addresses that come again after hours.
+    r, folder = random.Random(6), tmp_path / "in" / "pages.parquet"
+    folder.mkdir(parents=True)
+    said = [(k * 1000, r.choice([f"u{k % 7}", f"v{k}", None])) for k in range(200)]
+    for n in range(20):
+        own = said[::-1][n * 10 : n * 10 + 10]
+        pq.write_table(pa.table({"page_id": pa.array([x for x, _ in own], pa.int64()), "url": pa.array([u for _, u in own], pa.string()), "html": pa.array(["<p>"] * 10)}), folder / f"{n:02}.parquet")
+        os.utime(folder / f"{n:02}.parquet", (1_700_000_000 + n,) * 2)
+    want: dict = {}
+    for page, url in said:
+        want[url] = min(page, want.get(url, page))
+    got = catalog.queries()["page_stream_once"](spark, str(tmp_path / "in")).collect()
+    assert len(got) == len(want) and {x.url: x.page_id for x in got} == want
+    single = stream.earliest(stream.read(spark, str(folder), "page_id bigint, url string", 1), ["url"], "page_id", str(tmp_path / "shared"))
+    assert rows(single.where("url is not null")) == sorted((u, p) for u, p in want.items() if u is not None)
+    (tmp_path / "none").mkdir()
+    assert not stream.earliest(stream.read(spark, str(tmp_path / "none"), "page_id bigint, url string"), ["url"], "page_id", str(tmp_path / "shared")).collect()
+
+
 # -- web, presence, prompts, documents -----------------------------------------------------------
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -263,9 +262,6 @@ def report_full(spark, sf_dir):
 
 @query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 def page_stream_once(spark, sf_dir):
-    """Pages as a stream, each address once, written to the shared folder and read again."""
-    rows = stream.read(spark, f"{sf_dir}/pages.parquet*", "page_id bigint, url string, html string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
-    folder = f"{crawl.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    run = stream.once(rows.select("page_id", "url", "at"), ["url"], "at").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
-    run.awaitTermination()
-    return spark.read.schema("page_id bigint, url string, at timestamp").parquet(f"{folder}/rows").select("page_id", "url")
+    """Pages as a stream, each address once with its least page, by way of the shared folder."""
+    rows = stream.read(spark, f"{sf_dir}/pages.parquet*", "page_id bigint, url string, html string")
+    return stream.earliest(rows, ["url"], "page_id", crawl.shared_folder(spark)).select("page_id", "url")

@@ -178,6 +178,23 @@ def test_chat_query_adds_its_conversation(spark):
     assert got.n_turns == 2 and got.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got.loss_chars == len(said)
 
 
+def test_the_query_renders_every_prefix_whole(monkeypatch):
+    from dataclasses import replace
+
+    turns = [("assistant" if k % 3 == 1 else "user", t) for k, t in enumerate(["### a:\n", "", "\\", "</turn>", "\x86\x87 x", "ü😀"] * 4)]
+    reader, seen, whole = chat._Reader(chat.PLAIN), [], chat.plain_template
+    monkeypatch.setattr(reader, "template", replace(chat.PLAIN, render=lambda own: seen.append(list(own)) or whole(own)))
+    for role, text in turns:
+        reader.feed(role, text)
+    reader.end()
+    probes = [x[-1][1] for x in seen if x and x[-1][1] != turns[len(x) - 1][1]]
+    assert [len(x) for x in seen if x == turns[: len(x)] and x] == list(range(1, len(turns) + 1))
+    assert len(probes) == len(turns) and len(set(probes)) == 1 and not any(probes[0][0] in t for _, t in turns)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    assert reader.turns.hexdigest() == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert reader.loss.hexdigest() == hashlib.sha256(loss.encode()).hexdigest() and reader.formatted == len(whole(turns))
+
+
 # -- html ------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><header>Head</header>

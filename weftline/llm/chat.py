@@ -6,7 +6,7 @@ of the last text; what precedes and follows the probe frames the text, and what
 k turns adds to that of k-1 is the turn's span.  Where the output of k-1 turns is not a prefix
 of that of k, the template rewrites history: that is reported, and spans then come from
 probing each turn inside the whole output.  Every prefix is rendered whole, so a black box costs
-the square of a conversation's turns and holds a whole conversation.
+the square of a conversation's turns and holds a whole conversation.  The query's template is such a black box.
 
 A template that is known never to rewrite history can bring a ``step``, which renders one turn
 from a state that stands for all turns before: the next prefix is then the last one and what the
@@ -25,6 +25,7 @@ turns of a conversation stream through one task in order, as its digests are seq
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -40,12 +41,16 @@ Render = Callable[[list[Turn]], str]
 
 #: Prefixes that a template with steps renders both ways.
 COMPARED = 4
+#: The plain template remembers how it wrote so many turns, of texts up to so many characters.
+REMEMBERED, SHORT = 8192, 4096
 
 CONTROL = re.compile(r"\\|#{3,}|</turn>")
 
 
 def escape(text: str) -> str:
     """Put backslashes into each control string, so that none is left whole."""
+    if not ("\\" in text or "###" in text or "</turn>" in text):
+        return text
     return CONTROL.sub(lambda m: "\\</turn\\>" if m[0][0] == "<" else "".join("\\" + c for c in m[0]), text)
 
 
@@ -60,7 +65,14 @@ def _named(role: str) -> str:
 
 def plain_template(turns: list[Turn]) -> str:
     """``### role:`` and a line break, the text, and ``</turn>``, for each turn."""
-    return "".join(f"### {_named(role)}:\n{escape(text)}\n</turn>\n" for role, text in turns)
+    return "".join([(_remembered if len(text) <= SHORT else _written)(role, text) for role, text in turns])
+
+
+def _written(role: str, text: str) -> str:
+    return f"### {_named(role)}:\n{escape(text)}\n</turn>\n"
+
+
+_remembered = functools.lru_cache(REMEMBERED)(_written)
 
 
 def role_of(head: str) -> str:
@@ -83,7 +95,8 @@ class Template:
     unescape: Callable[[str], str] = str
 
 
-PLAIN = Template(plain_template, lambda _, role, text: (None, plain_template([(role, text)])), role_of, unescape)
+#: Without steps: every prefix is rendered whole.
+PLAIN = Template(plain_template, role=role_of, unescape=unescape)
 
 
 @dataclass
@@ -104,22 +117,24 @@ class Rendered:
 
 
 def _probe(used: str) -> str:
-    return next(chr(c) * 3 for c in range(0xE000, 0xF8FF) if chr(c) not in used)
+    """A sign that isn't used, three times: a control one if any is left, as it doesn't make narrow outputs wide."""
+    return next(chr(c) * 3 for c in (*range(0x86, 0xA0), *range(0xE000, 0xF8FF)) if chr(c) not in used)
 
 
-def _added(start: int, output: str, probed: str, probe: str) -> Span | None:
-    """The span of a turn that ends the output; None where what precedes the probe isn't in it."""
-    at = probed.find(probe)
+def _added(prefix: str, output: str, probed: str, probe: str) -> Span | None:
+    """The span of a turn that ends the output and follows the prefix; None where what precedes the probe isn't in it."""
+    start, kept = len(prefix), probed.startswith(prefix)
+    at = probed.find(probe, start if kept else 0)
     if at < 0:
         return Span(start, len(output), len(output), len(output))
-    if at < start or not output.startswith(probed[:at]):
+    if not kept or output[start:at] != probed[start:at]:
         return None
-    return Span(start, len(output), at, at + _size(output, probed, probe))
+    return Span(start, len(output), at, at + _size(output, probed, probe, at))
 
 
-def _size(output: str, probed: str, probe: str) -> int:
-    """Characters of the text that the probe stands for, which the template may write several times."""
-    return (len(output) - len(probed)) // probed.count(probe) + len(probe)
+def _size(output: str, probed: str, probe: str, at: int) -> int:
+    """Characters of the text that the probe stands for, which the template may write several times, first at ``at``."""
+    return (len(output) - len(probed)) // probed.count(probe, at) + len(probe)
 
 
 def locate(template: Render, turns: list[Turn]) -> Rendered:
@@ -127,7 +142,7 @@ def locate(template: Render, turns: list[Turn]) -> Rendered:
     probe, prefix, spans = _probe("".join(r + t for r, t in turns)), _opening(template), []
     for k, (role, text) in enumerate(turns):
         output = template(turns[: k + 1])
-        span = _added(len(prefix), output, template(turns[:k] + [(role, probe)]), probe) if output.startswith(prefix) else None
+        span = _added(prefix, output, template(turns[:k] + [(role, probe)]), probe) if output.startswith(prefix) else None
         if span is None:
             break
         spans.append(span)
@@ -138,7 +153,7 @@ def locate(template: Render, turns: list[Turn]) -> Rendered:
     for k, (role, text) in enumerate(turns):
         probed = template(turns[:k] + [(role, probe)] + turns[k + 1 :])
         at = probed.find(probe)
-        end = at + _size(whole, probed, probe) if at >= 0 else 0
+        end = at + _size(whole, probed, probe, at) if at >= 0 else 0
         spans.append(Span(max(at, 0), end, max(at, 0), end))
     return Rendered(whole, spans, True)
 
@@ -168,7 +183,7 @@ class _Reader:
             return
         state, output = self.template.step(self.state, role, text)
         probe = _probe(output)
-        span = _added(0, output, self.template.step(self.state, role, probe)[1], probe)
+        span = _added("", output, self.template.step(self.state, role, probe)[1], probe)
         if self.n < COMPARED:
             self.held.append((role, text))
             self.shown += output

@@ -426,3 +426,10 @@ def test_wide_searches_compare_blocks(spark, monkeypatch):
     assert not hamming.near_pairs(df.where("brand = 8"), 14).collect()
     # At fourteen bits single bands hold nearly all pairs: rows of pairs aren't made at all.
     assert "Join" not in every._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [8, 14])
+def test_images_of_one_hash_are_members(spark, most):
+    images = [(1, 5, "p"), (1, 5, "q"), (1, 7, "r"), (2, 5, "s"), (2, 5, "s"), (3, -1, "t"), (3, None, "u"), (None, 5, "v"), (None, 5, "w"), (4, 9, None)]
+    got = rows(hamming.near_pairs(spark.createDataFrame(images, "brand bigint, phash bigint, url string"), most, ["brand"], "url"))
+    assert sorted(got, key=str) == sorted([(1, 5, 7, 1, None), *((k, h, h, 0, u) for k, h, u in images if k is not None and h is not None)], key=str)
